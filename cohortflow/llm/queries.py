@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality
+from . import bpe, packing, quality, substring
 from .common import table
 
 try:  # the folder of vocabulary files; pass another path to the operators where there is none
@@ -26,9 +26,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_packing": op3_packing, "op7_bpe": op7_bpe}
+QUERIES = {"op1_quality": op1_quality, "op3_packing": op3_packing, "op4_substring": op4_substring, "op7_bpe": op7_bpe}
 ORACLES: dict[str, str] = {}
