@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, substring
+from . import bpe, packing, quality, substring, suffix
 from .common import table
 
 try:  # the folder of vocabulary files; pass another path to the operators where there is none
@@ -34,5 +34,9 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_packing": op3_packing, "op4_substring": op4_substring, "op7_bpe": op7_bpe}
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op3_packing": op3_packing, "op4_substring": op4_substring, "op7_bpe": op7_bpe, "op8_suffix": op8_suffix}
 ORACLES: dict[str, str] = {}
