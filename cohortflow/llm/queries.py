@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, substring, suffix
+from . import bpe, minhash, packing, quality, substring, suffix
 from .common import table
 
 try:  # the folder of vocabulary files; pass another path to the operators where there is none
@@ -22,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), tokenizer_path("word_bpe_49k.json"))
 
@@ -38,5 +42,5 @@ def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_packing": op3_packing, "op4_substring": op4_substring, "op7_bpe": op7_bpe, "op8_suffix": op8_suffix}
+QUERIES = {"op1_quality": op1_quality, "op2_minhash": op2_minhash, "op3_packing": op3_packing, "op4_substring": op4_substring, "op7_bpe": op7_bpe, "op8_suffix": op8_suffix}
 ORACLES: dict[str, str] = {}
