@@ -8,6 +8,7 @@ compressed share and length into the probability of label 1.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -76,21 +77,26 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) ->
     return b
 
 
-def fit(labelled: DataFrame, params: Params | None = None) -> Model:
-    """Fit on columns doc_id, text, label (0 or 1; rows with other labels or null text are left out).
+def fit(docs: DataFrame, marks: DataFrame, params: Params | None = None) -> Model:
+    """Fit on docs (doc_id, text) and marks (doc_id, label 0 or 1; one row per doc_id). Null texts are left
+    out.
 
-    The sample of each label is the rows_per_label texts with the smallest hash of doc_id (ties: text),
-    a random one that does not depend on partitions. Class weights restore the labels' shares.
-    With fewer than 8 texts of a label the model returns the share of label 1 for every text.
+    The sample of each label is the rows_per_label documents with the smallest hash of doc_id (ties: doc_id)
+    among those of at most sample_chars characters: random, but the same in any partitioning. Only ids and
+    lengths are shuffled; the sample's texts are then picked by a broadcast of its ids. Class weights
+    restore the labels' shares. With fewer than 8 texts of a label the model returns the share of label 1
+    for every text.
     """
     p = params or Params()
-    rows = labelled.where(F.col("label").isin(0, 1) & F.col("text").isNotNull()).select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    sizes = docs.where(F.col("text").isNotNull()).select("doc_id", F.length("text").alias("n_text"))
+    rows = sizes.join(marks.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label")), "doc_id").persist()
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    samples = []
-    for label in (0, 1):
-        fits = rows.where((F.col("label") == label) & (F.length("text") <= p.sample_chars))
-        picked = fits.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "text").limit(p.rows_per_label).collect()  # bounded by params
-        samples.append([r.text.encode() for r in picked])
+    ids = [rows.where((F.col("label") == k) & (F.col("n_text") <= p.sample_chars)).select("doc_id", "label").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(p.rows_per_label) for k in (0, 1)]
+    picked = ids[0].union(ids[1])  # bounded by params
+    texts = docs.where(F.length("text") <= p.sample_chars).select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id").collect()
+    rows.unpersist()
+    texts.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.text))
+    samples = [[r.text.encode() for r in texts if r.label == k][: p.rows_per_label] for k in (0, 1)]
     total = sum(counts.values())
     prior = (counts.get(1, 0) + 1) / (total + 2)
     if min(len(x) for x in samples) < 8:
@@ -139,4 +145,4 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, params: Params | None = No
     """Fit on `labels.quality` of the documents that are not held out. The labels are reduced to one per
     doc_id (the smallest) so that repeated rows count once."""
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    return fit(docs.where(~held_out()).select("doc_id", "text").join(marks, "doc_id"), params)
+    return fit(docs.where(~held_out()), marks, params)
