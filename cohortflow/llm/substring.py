@@ -72,7 +72,7 @@ class FingerprintIndex:
                     self.levels.append([])
                 self.levels[k + 1].append(name)
 
-    def repeated(self, docs: DataFrame) -> DataFrame:
+    def repeated(self, docs: DataFrame, columns: tuple = ()) -> DataFrame:
         """key, list: for each indexed document of docs the windows that also start anywhere else
         (first << 8 | count, in words)."""
         hits = self.hits[0]
@@ -88,7 +88,7 @@ class FingerprintIndex:
         whole = judged.where("whole").select("key", "at").union(marked.select("key", (-1 - F.col("at")).alias("at")))
         edges = spans.lists(judged.where("edge"), F.struct("fp", "at", "whole"))
         same = W.partitionBy("fp", "h1", "h2")
-        compared = spans.with_text(docs, edges, "inner", partial(window_hashes, window=self.window), "fp long, h1 long, h2 long, key long, at long, whole boolean")
+        compared = spans.with_text(docs, edges, "inner", partial(window_hashes, window=self.window), "fp long, h1 long, h2 long, key long, at long, whole boolean", *columns)
         single = compared.withColumn("n", F.count("*").over(same)).where("n > 1 AND NOT whole").select("key", "at")
         return spans.lists(whole.union(single), F.col("at"))
 
@@ -152,4 +152,4 @@ def dedup(docs: DataFrame, window: int = WINDOW, inner: int = INNER, batches: in
     index = FingerprintIndex(docs.sparkSession, window, inner)
     for k in range(batches):
         index.append(docs.where(F.pmod(F.xxhash64("_key"), F.lit(batches)) == k))
-    return removed(docs, index.repeated(docs), window, *columns, texts=texts)
+    return removed(docs, index.repeated(docs, ("doc_id", *columns)), window, *columns, texts=texts)

@@ -214,13 +214,13 @@ def snippets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(keys[row]), pa.array(at), pa.array(cut, pa.binary())], ["fp", "key", "at", "cut"])
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, inner: int = INNER, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated(docs: DataFrame, window: int = WINDOW, inner: int = INNER, shard_bytes: int = SHARD_BYTES, columns: tuple = ()) -> DataFrame:
     """key, list: the windows of each document that also start earlier (first << 8 | count, in bytes)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = spans.winnowed(docs, "bytes", window, inner).repartition(parts, "fp")
     judged = spans.judged(rows, later_only=True).where("whole OR edge")
     edges = spans.lists(judged.where("edge"), F.struct("fp", "at"))
-    cuts = spans.with_text(docs, edges, "inner", partial(snippets, window=window), "fp long, key long, at long, cut binary")
+    cuts = spans.with_text(docs, edges, "inner", partial(snippets, window=window), "fp long, key long, at long, cut binary", *columns)
     shards = cuts.repartition(parts, "fp").sortWithinPartitions("fp", "key", "at")
     single = shards.mapInArrow(partial(judge_shards, window=window, shard_bytes=shard_bytes), "key long, at long")
     return spans.lists(judged.where("whole").select("key", "at").union(single), F.col("at"))
@@ -258,4 +258,4 @@ def dedup(docs: DataFrame, window: int = WINDOW, inner: int = INNER, texts: bool
     gives no rows. kept is the rest of the text as bytes (texts) or its sha256.
     """
     docs = keyed(docs, "doc_id", "text", *columns)
-    return removed(docs, repeated(docs, window, inner), window, texts, *columns)
+    return removed(docs, repeated(docs, window, inner, columns=("doc_id", *columns)), window, texts, *columns)
