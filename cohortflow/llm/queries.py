@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, quality, substring, suffix
+from . import bpe, licenses, minhash, onebit, packing, pigeonhole, quality, substring, suffix, urls
 from .common import table
 
 try:  # the folder of vocabulary files; pass another path to the operators where there is none
@@ -34,6 +34,14 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pigeonhole.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -42,5 +50,13 @@ def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_minhash": op2_minhash, "op3_packing": op3_packing, "op4_substring": op4_substring, "op7_bpe": op7_bpe, "op8_suffix": op8_suffix}
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
+
+
+def op10_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_minhash, op3_packing, op4_substring, op5_pigeonhole, op6_licenses, op7_bpe, op8_suffix, op9_urls, op10_onebit)}
 ORACLES: dict[str, str] = {}
