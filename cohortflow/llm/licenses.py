@@ -40,9 +40,20 @@ class Params:
     most_templates: int = 10_000
 
 
+#: Marks that are dropped from both ends of a word.
+MARKS = ".,;:!?\"'()[]{}<>*#|/\\`_-+=%&$"
+
+
 def word_list(text: Column) -> Column:
     """Lower-case words without the marks around them, so that quotes and full stops do not matter."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}.+-]+|[.+-]+(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[.+-]+"), "")
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\x0B\f\r]+")
+    return F.array_remove(F.transform(words, lambda w: F.btrim(w, F.lit(MARKS))), "")
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column by a generator: Spark merges projections, and would work `value` out anew for every
+    window that uses it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def runs(words: Column, n: int) -> Column:
@@ -56,9 +67,11 @@ def masks(n: int) -> list[int]:
     return [(((k + 1) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) - (1 << 63) for k in range(n)]
 
 
-def bands(window: Column, n: int) -> Column:
-    """The smallest of the hashes under each mask (one row a band), marked with the band's number."""
-    return F.array(*[F.array_min(F.transform(window, lambda h, m=m: h.bitwiseXOR(F.lit(m)))) for m in masks(n)])
+def bands(hashes: list[Column], n: int) -> list[Column]:
+    """The smallest of a window's hashes under each mask: one row a band. Nulls, beyond the text's end,
+    do not count."""
+    smallest = F.least if len(hashes) > 1 else lambda x: x
+    return [smallest(*[h.bitwiseXOR(F.lit(m)) for h in hashes]) for m in masks(n)]
 
 
 def template_table(spark: SparkSession, templates: tuple = TEMPLATES, params: Params | None = None) -> DataFrame:
@@ -85,23 +98,19 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, params: Params | None =
     spark = docs.sparkSession
     known = template_table(spark, templates, p)
     # BANDS values for each run of each template; bounded by most_templates
-    wanted = known.select("template", F.explode("runs").alias("run")).select("template", F.posexplode(bands(F.array("run"), p.bands)).alias("band", "value")).distinct()
+    wanted = known.select("template", F.explode("runs").alias("run")).select("template", F.posexplode(F.array(*bands([F.col("run")], p.bands))).alias("band", "value")).distinct()
     values = sorted({(r.band, r.value) for r in wanted.select("band", "value").distinct().collect()})
     per_band = [[v for b, v in values if b == k] for k in range(p.bands)]
-    words = docs.select("doc_id", word_list(F.col("text")).alias("words")).select("doc_id", "words", runs(F.col("words"), p.words).alias("runs"))
-
-    def retrieved(start: Column) -> Column:
-        """Whether some band of the window that starts at this run (from 0) is a template's."""
-        window = F.slice("runs", start + 1, p.step)
-        hit = F.lit(False)
-        for mask, mine in zip(masks(p.bands), per_band, strict=True):
-            hit = hit | F.array_min(F.transform(window, lambda h, m=mask: h.bitwiseXOR(F.lit(m)))).isin(mine)
-        return hit
-
-    starts = F.when(F.size("runs") > 0, F.sequence(F.lit(0), F.size("runs") - 1, F.lit(p.step))).otherwise(F.array().cast("array<int>"))
-    hits = words.select("doc_id", "runs", F.filter(starts, retrieved).alias("starts")).where(F.size("starts") > 0)
-    windows = hits.select("doc_id", "runs", F.explode("starts").alias("start"))
-    keys = windows.select("doc_id", "runs", "start", F.posexplode(bands(F.slice("runs", F.col("start") + 1, p.step), p.bands)).alias("band", "value"))
+    words = once(docs.select("doc_id", "text"), "words", word_list(F.col("text"))).select("doc_id", "words")
+    texts = once(words, "runs", runs(F.col("words"), p.words)).select("doc_id", "runs")
+    # each window with its hashes as columns: all that follows, until windows are retrieved, is generated code
+    together = F.arrays_zip(*[F.slice("runs", k + 1, F.greatest(F.size("runs") - k, F.lit(0))).alias(f"h{k}") for k in range(p.step)])
+    windows = texts.select("doc_id", "runs", F.posexplode(together).alias("start", "w")).where(F.col("start") % p.step == 0)
+    value = bands([F.col("w").getField(f"h{k}") for k in range(p.step)], p.bands)
+    hit = F.lit(False)
+    for v, mine in zip(value, per_band, strict=True):
+        hit = hit | v.isin(mine)
+    keys = windows.where(hit).select("doc_id", "runs", "start", F.posexplode(F.array(*value)).alias("band", "value"))
     found = keys.join(F.broadcast(wanted), ["band", "value"]).drop("band", "value")
     # a template's other runs lie within its length before or after the window
     low = F.greatest(F.col("start") - F.col("n_words"), F.lit(0))

@@ -176,18 +176,9 @@ def similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), kept (doc_id = class_id), copies (documents of the
-    same text): one row per document. Classes are what copies and pairs of Jaccard similarity >= 0.8 over
-    runs of five words connect.
-
-    Null texts count as empty; texts without words are classes of their own copies, texts of one to four
-    words are one run. If doc_ids repeat or are null, documents are numbered by (doc_id, text), and
-    class_id is the number. An empty table gives no rows; extra columns do no harm.
-    """
-    p = params or Params()
+def classes_of(docs: DataFrame, p: Params) -> DataFrame:
+    """docs: _key, text. Returns _key, component (smallest _key of the class), copies."""
     spark = docs.sparkSession
-    docs = keyed(docs)
     signed = stored(docs.select("_key", "text").mapInArrow(partial(sign, p=p), "_key long, copy binary, bands array<long>"))
     classes = signed.groupBy("copy").agg(F.min("_key").alias("key"), F.count("*").alias("copies"))
     members = signed.join(classes.select(F.col("key").alias("_key")), "_key", "left_semi").select(F.col("_key").alias("key"), F.explode("bands").alias("band"))
@@ -221,4 +212,27 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
         tried = tried.union(pairs)
     of_class = classes.withColumn("component", F.col("key")) if label is None else classes.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
     of_key = signed.select("_key", "copy").join(of_class.select("copy", "component", "copies"), "copy")
+    return of_key.select("_key", "component", "copies")
+
+
+def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), kept (doc_id = class_id), copies (documents of the
+    same text): one row per document. Classes are what copies and pairs of Jaccard similarity >= 0.8 over
+    runs of five words connect.
+
+    Null texts count as empty; texts without words are classes of their own copies, texts of one to four
+    words are one run. If doc_ids repeat or are null, documents are numbered by (doc_id, text), and
+    class_id is the number. An empty table gives no rows; extra columns do no harm.
+    """
+    p = params or Params()
+    docs = keyed(docs)
+    of_key = classes_of(docs, p)
     return docs.select("_key", "doc_id").join(of_key, "_key").select("doc_id", F.col("component").alias("class_id"), (F.col("_key") == F.col("component")).alias("kept"), "copies")
+
+
+def keep_one(docs: DataFrame, params: Params | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, that are the first of their class."""
+    columns = docs.columns
+    rows = keyed(docs, "doc_id", "text", *[c for c in columns if c not in ("doc_id", "text")])
+    first = classes_of(rows, params or Params()).where("_key = component").select("_key")
+    return rows.join(first, "_key", "left_semi").select(*columns)

@@ -116,7 +116,8 @@ def window_hashes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
 
 
 def removed(docs: DataFrame, repeated: DataFrame, window: int, *columns: str, texts: bool = False) -> DataFrame:
-    """doc_id, columns, n_words, n_removed, and kept_sha256 or (texts) the kept words joined by spaces."""
+    """doc_id, columns, n_words, n_removed, and kept_sha256 or (texts) kept: the kept words joined by spaces,
+    but the text as it was where all words stay."""
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +131,10 @@ def removed(docs: DataFrame, repeated: DataFrame, window: int, *columns: str, te
                     a, b = w.first[r - s.lo], w.first[r - s.lo + 1]
                     gone = spans.covered(windows[r] or [], b - a, window)
                     stay = np.flatnonzero(~gone) + a
-                    text = b" ".join([raw[i:j] for i, j in zip(w.start[stay].tolist(), w.end[stay].tolist(), strict=True)])
+                    if texts and len(stay) == b - a:
+                        text = raw[s.off[r - s.lo] : s.off[r - s.lo + 1]]
+                    else:
+                        text = b" ".join([raw[i:j] for i, j in zip(w.start[stay].tolist(), w.end[stay].tolist(), strict=True)])
                     n_words.append(b - a)
                     n_removed.append(b - a - len(stay))
                     kept.append(text.decode("utf-8", "replace") if texts else hashlib.sha256(text).hexdigest())
@@ -141,7 +145,7 @@ def removed(docs: DataFrame, repeated: DataFrame, window: int, *columns: str, te
     return out if texts else out.withColumnRenamed("kept", "kept_sha256")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, inner: int = INNER, batches: int = 2, texts: bool = False, *columns: str) -> DataFrame:
+def dedup(docs: DataFrame, *columns: str, window: int = WINDOW, inner: int = INNER, batches: int = 2, texts: bool = False) -> DataFrame:
     """Remove every word in a window of `window` words that also starts anywhere else in docs.
 
     The documents enter the index in `batches` batches, as they would day by day. Null and empty texts

@@ -249,7 +249,7 @@ def removed(docs: DataFrame, repeats: DataFrame, window: int, texts: bool, *colu
     return out if texts else out.withColumnRenamed("kept", "kept_sha256")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, inner: int = INNER, texts: bool = False, *columns: str) -> DataFrame:
+def dedup(docs: DataFrame, *columns: str, window: int = WINDOW, inner: int = INNER, texts: bool = False) -> DataFrame:
     """Remove every byte in a `window`-byte string that also starts earlier: in a document of smaller
     doc_id, or earlier in its own.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import packing, quality
+from cohortflow.llm import minhash, packing, quality, substring
 from cohortflow.llm.common import shared_dir, table
 from cohortflow.llm.queries import tokenizer_path
 
@@ -17,12 +17,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go; so do documents of which nothing is left. Others stay as they are."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    out = substring.dedup(docs, *others, texts=True)
+    left = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    return left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("substring_dedup", substring_stage),
     ("packing", packing_stage),
 ]
 
