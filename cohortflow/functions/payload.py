@@ -44,12 +44,16 @@ def number_label(x: Column) -> Column:
     return F.when(whole, x.cast("bigint").cast("string")).otherwise(x.cast("string"))
 
 
+def json_label(j: Column) -> Column:
+    """A grouping key from a value's JSON text: 1, 1.0 and true share one; strings and containers stay as
+    they are shown. Null for JSON null."""
+    number = F.when(j.rlike("^-?[0-9]"), number_label(j.try_cast("double")))
+    return F.when(j == "true", "1").when(j == "false", "0").when(j != "null", F.coalesce(number, j))
+
+
 def label(payload: Column, name: str) -> Column:
-    """A grouping key for values of any type: 1, 1.0 and true share one; strings and containers are
-    shown as JSON. Null where the field is absent or null."""
-    k, v = kind(payload, name), field(payload, name)
-    as_number = F.when(k == "BOOLEAN", F.try_variant_get(payload, _path(name), "boolean").cast("double")).otherwise(number(payload, name))
-    return F.when(present(payload, name), F.coalesce(number_label(as_number), F.to_json(v)))
+    """json_label() of the field; the field is fetched once."""
+    return F.element_at(F.transform(F.array(F.to_json(field(payload, name))), json_label), 1)
 
 
 def strings(payload: Column, name: str) -> Column:

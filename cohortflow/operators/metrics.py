@@ -16,9 +16,12 @@ def evaluations(events: DataFrame) -> DataFrame:
 
 def long_fields(events: DataFrame, payload: str, fields: list[str], *keep: str) -> DataFrame:
     """One row per event and declared field: keep, field, there, label, number, text. One pass."""
-    col = F.col(payload)
-    one = [F.struct(F.lit(f).alias("field"), P.present(col, f).alias("there"), P.label(col, f).alias("label"), P.number(col, f).alias("number"), P.string(col, f).alias("text")) for f in fields]
-    return events.select(*keep, F.explode(F.array(*one)).alias("_f")).select(*keep, "_f.*")
+    one = [F.struct(F.lit(f).alias("field"), F.to_json(P.field(F.col(payload), f)).alias("j")) for f in fields]
+    j = F.col("j")
+    number = F.when(j.rlike("^-?[0-9]"), j.try_cast("double"))
+    text = F.when(j.startswith('"'), F.get_json_object(F.concat(F.lit('{"a":'), j, F.lit("}")), "$.a"))
+    rows = events.select(*keep, F.explode(F.array(*one)).alias("_f")).select(*keep, "_f.*")
+    return rows.select(*keep, "field", F.coalesce(j != "null", F.lit(False)).alias("there"), P.json_label(j).alias("label"), number.alias("number"), text.alias("text"))
 
 
 def run_summary(events: DataFrame) -> DataFrame:
