@@ -8,9 +8,10 @@ all coordinates are hit need throwing: some size * (ln size + 4) for a whole doc
 size for every element.
 
 Signatures are cut into bands; documents that share a band meet. Copies of a text meet once, as one
-class. Within a band documents are not paired with one another but with one centre, and the exact
-Jaccard similarity decides; documents that are still apart get other partners, round by round, until a
-round links nothing more.
+class. Within a band documents are not paired with one another but with a centre, and the exact Jaccard
+similarity decides. Bands whose documents are still apart take further centres, four times as many each
+round, until their documents are connected or each of them has been a centre: no candidate pair across
+components is left untried, and near copies, however many, take a round or two.
 """
 
 from __future__ import annotations
@@ -40,7 +41,6 @@ class Params:
     bands: int = 30
     rows: int = 6
     counted: bool = False  # weight of a shingle: its count; else 1
-    rounds: int = 6
 
 
 #: Time is cut at FIRST, 2 FIRST, 4 FIRST, ..., weight at 1, 2, 4, ...
@@ -186,20 +186,19 @@ def classes_of(docs: DataFrame, p: Params) -> DataFrame:
     members = stored(members.join(crowded, "band", "left_semi"))
     candidates = docs.select("_key", "text").join(members.select(F.col("key").alias("_key")).distinct(), "_key", "left_semi")
     sets = stored(candidates.mapInArrow(partial(shingle_sets, p=p), "key long, set binary"))
-    links = spark.createDataFrame([], "a long, b long")
-    tried, found, label = links, 0, None
-    for k in range(p.rounds):
-        now = members if label is None else members.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        if label is None:
-            now = now.withColumn("component", F.col("key"))
-        if k == 1:  # neighbours in order of key
-            order = W.partitionBy("band").orderBy("key")
-            paired = now.select("key", "component", F.lag("key").over(order).alias("other"), F.lag("component").over(order).alias("their"))
-        else:  # the smallest key; later any, by a hash of key and round
-            pick = F.min("key") if k == 0 else F.min_by("key", F.xxhash64("key", F.lit(k)))
-            their = F.min_by("component", "key") if k == 0 else F.min_by("component", F.xxhash64("key", F.lit(k)))
-            paired = now.join(now.groupBy("band").agg(pick.alias("other"), their.alias("their")), "band")
-        pairs = paired.where("other <> key AND component <> their").select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b")).distinct()
+    links = tried = served = spark.createDataFrame([], "a long, b long")
+    found, label, k = 0, None, 0
+    while True:
+        now = members.withColumn("component", F.col("key")) if label is None else members.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        if k:  # bands whose documents are not all connected yet
+            mixed = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+            now = stored(now.join(mixed, "band", "left_semi"))
+        waiting = now.join(served.select(F.col("a").alias("band"), F.col("b").alias("key")), ["band", "key"], "left_anti") if k else now
+        slot = F.pmod(F.xxhash64("key"), F.lit(1 << min(2 * k, 62)))
+        centres = waiting.groupBy("band", slot.alias("slot")).agg(F.min(F.struct(F.col("key").alias("other"), F.col("component").alias("their"))).alias("c")).select("band", "c.*")
+        centres = stored(centres)
+        paired = now.join(centres, "band").where("other <> key AND component <> their")
+        pairs = paired.select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b")).distinct()
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti") if k else pairs)
         near = pairs.join(sets.withColumnRenamed("key", "a").withColumnRenamed("set", "x"), "a").join(sets.withColumnRenamed("key", "b").withColumnRenamed("set", "y"), "b")
         near = stored(near.select("a", "b", "x", "y").mapInArrow(partial(similar, least=p.similarity), "a long, b long"))
@@ -207,9 +206,9 @@ def classes_of(docs: DataFrame, p: Params) -> DataFrame:
         if more:
             links, found = links.union(near), found + more
             label = components(links).withColumnRenamed("id", "key")
-        elif k:
+        if centres.isEmpty():  # in every band all documents are connected, or each has been a centre
             break
-        tried = tried.union(pairs)
+        tried, served, k = tried.union(pairs), served.union(centres.select(F.col("band").alias("a"), F.col("other").alias("b"))), k + 1
     of_class = classes.withColumn("component", F.col("key")) if label is None else classes.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
     of_key = signed.select("_key", "copy").join(of_class.select("copy", "component", "copies"), "copy")
     return of_key.select("_key", "component", "copies")
