@@ -38,6 +38,19 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def aside(docs: DataFrame, *plain: str) -> tuple[DataFrame, list[str]]:
+    """docs with all columns but `plain` under names that clash with nothing, and those names."""
+    others = [c for c in docs.columns if c not in plain]
+    names = [f"_other{i}" for i in range(len(others))]
+    return docs.select(*plain, *[F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)]), names
+
+
+def back(docs: DataFrame, columns: list[str], *plain: str) -> DataFrame:
+    """The columns of aside() under their own names, in order of `columns`."""
+    others = iter(range(len(columns)))
+    return docs.select(*[F.col(c) if c in plain else F.col(f"_other{next(others)}").alias(c) for c in columns])
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *others: str) -> DataFrame:
     """Columns _key (unique long, ordered as id_col), id_col, text_col and `others`.
 

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import keyed, stored
+from .common import aside, back, keyed, stored
 from .components import components
 
 
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
 
 def keep_one(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their class."""
-    columns = docs.columns
-    rows = keyed(docs, "doc_id", "text", *[c for c in columns if c not in ("doc_id", "text")])
+    renamed, others = aside(docs, "doc_id", "text")
+    rows = keyed(renamed, "doc_id", "text", *others)
     first = classes_of(rows, params or Params()).where("_key = component").select("_key")
-    return rows.join(first, "_key", "left_semi").select(*columns)
+    return back(rows.join(first, "_key", "left_semi"), docs.columns, "doc_id", "text")
