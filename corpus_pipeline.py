@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.llm import minhash, packing, quality, substring
-from cohortflow.llm.common import shared_dir, table
+from cohortflow.llm.common import aside, back, shared_dir, table
 from cohortflow.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit_on_labels(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
+    renamed, _ = aside(docs, "doc_id", "text")
+    return back(quality.score(renamed, model).where(F.col("predicted") == 1), docs.columns, "doc_id", "text")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +24,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; so do documents of which nothing is left. Others stay as they are."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = substring.dedup(docs, *others, texts=True)
+    plain = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    renamed, others = aside(docs, *plain)
+    out = substring.dedup(renamed, *others, texts=True)
     left = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+    left = left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
+    return back(left, docs.columns, *plain)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
