@@ -64,7 +64,7 @@ class Schedule:
         top = float((self.total / self.weight).max()) + 1
         hi = np.full(len(goal), np.float64(top).view(np.int64))
         while (lo < hi).any():  # positive doubles sort as their bits do
-            mid = (lo + hi) >> 1
+            mid = lo + ((hi - lo) >> 1)  # lo + hi may pass 2**63
             enough = self.paid(mid.view(np.float64)).sum(1) >= goal
             hi, lo = np.where(enough, mid, hi), np.where(enough, lo, mid + 1)
         due = hi.view(np.float64)
