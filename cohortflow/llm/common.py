@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,19 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for what is written meanwhile: a batch's size in memory, on both
+    sides of the pipe to Python, is then bounded by so many of its rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def aside(docs: DataFrame, *plain: str) -> tuple[DataFrame, list[str]]:
     """docs with all columns but `plain` under names that clash with nothing, and those names."""
     others = [c for c in docs.columns if c not in plain]

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import aside, back, keyed, stored
+from .common import aside, back, keyed, small_batches, stored
 from .components import components
 
 
@@ -178,6 +178,11 @@ def similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
 
 def classes_of(docs: DataFrame, p: Params) -> DataFrame:
     """docs: _key, text. Returns _key, component (smallest _key of the class), copies."""
+    with small_batches(docs.sparkSession, 512):  # rows of texts, and of two sets of shingles each
+        return _classes_of(docs, p)
+
+
+def _classes_of(docs: DataFrame, p: Params) -> DataFrame:
     spark = docs.sparkSession
     signed = stored(docs.select("_key", "text").mapInArrow(partial(sign, p=p), "_key long, copy binary, bands array<long>"))
     classes = signed.groupBy("copy").agg(F.min("_key").alias("key"), F.count("*").alias("copies"))
