@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
+from .common import small_batches
 
 #: Distinct spans that a worker remembers before it starts anew.
 REMEMBERED = 600_000
@@ -139,6 +140,7 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
     Null and empty texts have no ids. No shuffle: one pass over the text column.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(lambda it: digest_batches(it, vocabulary), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -149,6 +151,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     One character may be split over several ids; the spans of such ids lie inside it.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

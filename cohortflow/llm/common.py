@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,17 +38,16 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most `rows` rows for what is written meanwhile: a batch's size in memory, on both
-    sides of the pipe to Python, is then bounded by so many of its rows."""
+#: Rows of an Arrow batch where the session has Spark's default of 10,000: whole texts are long, and a batch
+#: is held several times on both sides of the pipe to Python.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to BATCH_ROWS, unless the user chose a number of rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def aside(docs: DataFrame, *plain: str) -> tuple[DataFrame, list[str]]:
@@ -72,6 +69,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *othe
     Usually _key is the id itself. If ids repeat or are null, rows are sorted by (id, text), nulls
     first, and numbered in that order, so that every row stays a document of its own.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(id_col, F.col(text_col).cast("string").alias(text_col), *others)
     odd = docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count()
     if not odd and dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import flat
 from .bpe import SpanEncoder
-from .common import stored
+from .common import small_batches, stored
 
 WINDOW = 2048
 END_ID = 1
@@ -79,6 +79,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID, sou
     """doc_id, source, part, ids (little-endian uint16, end id included), n, before: the tokens of the
     same source that stand earlier in the same partition. Written to the shared folder."""
     kind = dict(docs.dtypes)["doc_id"]
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = SpanEncoder.get(vocabulary, False), {}

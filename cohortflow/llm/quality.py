@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
+from .common import small_batches
 
 
 @dataclass(frozen=True)
@@ -124,6 +125,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     params.threshold). Null and empty texts are scored as texts of length 0. One pass, no shuffle;
     own columns named score or predicted are replaced."""
     docs = docs.drop("score", "predicted")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of dictionary_bytes at most
     threshold = model.params.threshold
 

@@ -9,8 +9,8 @@
 4. removed(): one list of removed windows per document meets the text again.
 
 Columns: fp, span, key (of the document), at = first window << 8 | number of windows. Third and further
-copies within one Arrow batch are marked at once (at < 0, fp spread over all partitions): a passage that
-a third of all documents share then sends two rows a batch, not one a document, to its partition.
+copies within TOGETHER rows of a task are marked at once (at < 0, fp spread over all partitions): a passage that
+a third of all documents share then sends two rows in TOGETHER, not one a document, to its partition.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import flat
 
+TOGETHER = 1 << 18
 ROWS = "fp long, span long, key long, at long"
 
 
@@ -51,19 +52,26 @@ def copies_before(fp: np.ndarray, span: np.ndarray) -> np.ndarray:
 def winnowed(docs: DataFrame, by: str, window: int, inner: int) -> DataFrame:
     """docs: _key, text."""
 
+    def flush(found: list) -> pa.RecordBatch:
+        fp, span, key, at = (np.concatenate(x).astype(np.int64, copy=False) for x in zip(*found, strict=True))
+        more = copies_before(fp, span) >= 2
+        at = np.where(more, -1 - at, at)
+        fp = np.where(more, flat.mix(key.view(np.uint64) * np.uint64(3) + at.view(np.uint64)).view(np.int64), fp)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, span, key, at)], ["fp", "span", "key", "at"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            found = []
             for s in flat.slices(batch.column(1), 1 << 18):
                 a = flat.anchors(*units(s, by), window, inner)
                 found.append((a.key, a.span, keys[s.lo + a.row], a.start << 8 | a.count))
-            if found:
-                fp, span, key, at = (np.concatenate(x).astype(np.int64, copy=False) for x in zip(*found, strict=True))
-                more = copies_before(fp, span) >= 2
-                at = np.where(more, -1 - at, at)
-                fp = np.where(more, flat.mix(key.view(np.uint64) * np.uint64(3) + at.view(np.uint64)).view(np.int64), fp)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, span, key, at)], ["fp", "span", "key", "at"])
+                size += len(a.key)
+                if size >= TOGETHER:
+                    yield flush(found)
+                    found, size = [], 0
+        if found:
+            yield flush(found)
 
     return docs.select("_key", "text").mapInArrow(run, ROWS)
 
