@@ -37,10 +37,10 @@ def units(s: flat.Slice, by: str) -> tuple[np.ndarray, np.ndarray]:
     return flat.prefix(flat.BYTE_VALUE[s.data]), s.off
 
 
-def copies_before(fp: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """How many earlier rows have the same fp and span."""
+def copies_before(fp: np.ndarray, span: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many rows with the same fp and span are smaller by key and at, whatever the order of the rows."""
     both = fp.view(np.uint64) ^ flat.mix(span.view(np.uint64))
-    order = np.argsort(both, kind="stable")
+    order = np.lexsort((at, key, both))
     same = np.zeros(len(order), bool)
     same[1:] = both[order[1:]] == both[order[:-1]]
     i = np.arange(len(order))
@@ -54,7 +54,7 @@ def winnowed(docs: DataFrame, by: str, window: int, inner: int) -> DataFrame:
 
     def flush(found: list) -> pa.RecordBatch:
         fp, span, key, at = (np.concatenate(x).astype(np.int64, copy=False) for x in zip(*found, strict=True))
-        more = copies_before(fp, span) >= 2
+        more = copies_before(fp, span, key, at) >= 2
         at = np.where(more, -1 - at, at)
         fp = np.where(more, flat.mix(key.view(np.uint64) * np.uint64(3) + at.view(np.uint64)).view(np.int64), fp)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, span, key, at)], ["fp", "span", "key", "at"])

@@ -229,6 +229,17 @@ def test_suffix_across_shards(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()} == brute.suffix(texts)
 
 
+def test_suffix_of_a_table_not_in_order_of_ids(spark):
+    """Several copies in one partition, read from the largest id down and shuffled: the smallest id keeps its text."""
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    text, passage = word(400), word(180)
+    texts = {i: text for i in (10, 20, 30, 40)} | {i: word(150) + passage + word(150) for i in range(50, 90, 10)}
+    for ids in (sorted(texts, reverse=True), rng.permutation(sorted(texts)).tolist()):
+        docs = spark.createDataFrame([(i, texts[i]) for i in ids], "doc_id long, text string").coalesce(1)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup(docs).collect()} == brute.suffix(texts)
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(2)
     for alphabet, sizes in ((2, [30, 1, 50]), (1, [40, 40]), (200, [100])):
