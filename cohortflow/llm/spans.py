@@ -11,6 +11,10 @@
 Columns: fp, span, key (of the document), at = first window << 8 | number of windows. Third and further
 copies within TOGETHER rows of a task are marked at once (at < 0, fp spread over all partitions): a passage that
 a third of all documents share then sends two rows in TOGETHER, not one a document, to its partition.
+
+A passage in ever different surroundings has one fp and as many kinds. crowded() finds such fps in a sample of
+the documents; it decides only how rows are dealt, never what is removed. Their rows (at >= CROWDED, fp ^ span
+for fp) are spread over all partitions by kind, all kinds are edges, and their windows are dealt one by one.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from pyspark.sql import functions as F
 from . import flat
 
 TOGETHER = 1 << 18
+CROWDED = 1 << 62
+#: An fp is crowded with CROWD rows or more in one of SAMPLE documents: some 1,000 rows in all.
+SAMPLE, CROWD = 64, 16
 ROWS = "fp long, span long, key long, at long"
 
 
@@ -49,14 +56,41 @@ def copies_before(fp: np.ndarray, span: np.ndarray, key: np.ndarray, at: np.ndar
     return out
 
 
-def winnowed(docs: DataFrame, by: str, window: int, inner: int) -> DataFrame:
-    """docs: _key, text."""
+def spread(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """An fp of its own for rows that need no others."""
+    return flat.mix(key.view(np.uint64) * np.uint64(3) + at.view(np.uint64)).view(np.int64)
+
+
+def runs(key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """key and at of runs of consecutive windows, given each window by itself."""
+    order = np.lexsort((first, key))
+    key, first = key[order], first[order]
+    i = np.arange(len(key))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (first[1:] != first[:-1] + 1)
+    new |= (i - np.maximum.accumulate(np.where(new, i, 0))) % 128 == 0  # counts have 8 bits
+    start = np.flatnonzero(new)
+    return key[start], first[start] << 8 | np.diff(np.append(start, len(key)))
+
+
+def crowded(docs: DataFrame, by: str, window: int, inner: int) -> np.ndarray:
+    """The crowded fps, in order. They are rows / (SAMPLE * CROWD) at most."""
+    sample = docs.where(F.pmod(F.xxhash64("_key", F.lit("sample")), F.lit(SAMPLE)) == 0)
+    counts = winnowed(sample, by, window, inner).where("at >= 0").groupBy("fp").count()
+    return np.sort(counts.where(F.col("count") >= CROWD).select("fp").toArrow().column(0).to_numpy())
+
+
+def winnowed(docs: DataFrame, by: str, window: int, inner: int, crowd: np.ndarray | None = None) -> DataFrame:
+    """docs: _key, text. crowd: fps whose rows are dealt by kind."""
 
     def flush(found: list) -> pa.RecordBatch:
         fp, span, key, at = (np.concatenate(x).astype(np.int64, copy=False) for x in zip(*found, strict=True))
         more = copies_before(fp, span, key, at) >= 2
         at = np.where(more, -1 - at, at)
-        fp = np.where(more, flat.mix(key.view(np.uint64) * np.uint64(3) + at.view(np.uint64)).view(np.int64), fp)
+        if crowd is not None and len(crowd):
+            of_crowd = ~more & (crowd[np.minimum(np.searchsorted(crowd, fp), len(crowd) - 1)] == fp)
+            at, fp = np.where(of_crowd, at | CROWDED, at), np.where(of_crowd, fp ^ span, fp)
+        fp = np.where(more, spread(key, at), fp)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, span, key, at)], ["fp", "span", "key", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +111,7 @@ def winnowed(docs: DataFrame, by: str, window: int, inner: int) -> DataFrame:
 
 
 def judged(rows: DataFrame, later_only: bool) -> DataFrame:
-    """rows plus `whole` (all its windows go), `edge` (its windows need comparing one by one).
+    """rows plus `whole` (all its windows go), `edge` (its windows need comparing one by one), `crowded`.
 
     later_only: a window goes if it also starts earlier; else if it starts anywhere else too.
     """
@@ -85,7 +119,10 @@ def judged(rows: DataFrame, later_only: bool) -> DataFrame:
     in_order = kind.orderBy("key", "at")
     rows = rows.withColumn("rn", F.row_number().over(in_order)).withColumn("kinds", F.sum(F.when(F.col("rn") == 1, 1).otherwise(0)).over(W.partitionBy("fp")))
     twice = F.col("rn") > 1 if later_only else F.count("*").over(kind) > 1
-    return rows.select("fp", "key", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"), ((F.col("at") < 0) | twice).alias("whole"), ((F.col("at") >= 0) & (F.col("rn") == 1) & (F.col("kinds") > 1)).alias("edge"))
+    crowd = F.col("at") >= CROWDED
+    place = F.when(F.col("at") < 0, -1 - F.col("at")).when(crowd, F.col("at") - F.lit(CROWDED)).otherwise(F.col("at"))
+    edge = (F.col("at") >= 0) & (F.col("rn") == 1) & ((F.col("kinds") > 1) | crowd)
+    return rows.select("fp", "key", place.alias("at"), ((F.col("at") < 0) | twice).alias("whole"), edge.alias("edge"), crowd.alias("crowded"))
 
 
 def lists(rows: DataFrame, what: Column) -> DataFrame:

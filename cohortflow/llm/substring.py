@@ -4,7 +4,8 @@ An index is a list of immutable runs, tables of winnowed window hashes bucketed
 append() writes a batch's hashes as a new run and merge-joins it with the runs before it (equal
 buckets: no shuffle); hashes found in more than one place are kept as hits. When a level holds `fanout`
 runs they are compacted into one run of the next level. repeated() verifies: windows behind hits
-are compared by 128 bits of their own hashes, so that equal samples alone remove nothing.
+are compared by 128 bits of their own hashes, so that equal samples alone remove nothing. Rows of crowded
+hashes (spans.py) are hits anyway: they lie in the runs by kind, and take no part in the merge-joins.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from . import flat, spans
 from .common import drop_stored, keyed, shared_dir, stored
 
 WINDOW, INNER = 35, 12
+#: Rows of a run that lie by their own fp.
+BY_FP = f"at >= 0 AND at < {spans.CROWDED}"
 
 
 class FingerprintIndex:
@@ -33,6 +36,7 @@ class FingerprintIndex:
         self.folder = shared_dir(spark)
         self.levels: list[list[str]] = [[]]
         self.hits: list[DataFrame] = []
+        self.crowd = np.zeros(0, np.int64)
 
     def runs(self) -> list[str]:
         return [run for level in self.levels for run in level]
@@ -45,11 +49,15 @@ class FingerprintIndex:
 
     def append(self, docs: DataFrame) -> None:
         """docs: _key (unique over all batches), text."""
-        name = self.write_run(spans.winnowed(docs, "words", self.window, self.inner))
-        new = self.spark.table(name).where("at >= 0").select("fp")
+        crowd = spans.crowded(docs, "words", self.window, self.inner)
+        self.crowd = np.union1d(self.crowd, crowd)
+        name = self.write_run(spans.winnowed(docs, "words", self.window, self.inner, crowd))
+        new = self.spark.table(name).where(BY_FP).select("fp")
         found = [new.groupBy("fp").count().where("count > 1").select("fp")]
         for old in self.runs():
-            found.append(new.join(self.spark.table(old).where("at >= 0").select("fp").hint("merge"), "fp", "left_semi"))
+            found.append(new.join(self.spark.table(old).where(BY_FP).select("fp").hint("merge"), "fp", "left_semi"))
+        if len(crowd):
+            found.append(self.spark.createDataFrame(pa.table({"fp": crowd})))
         hits = found[0]
         for x in found[1:]:
             hits = hits.union(x)
@@ -82,23 +90,42 @@ class FingerprintIndex:
         rows = marked = None
         for name in self.runs():
             run = self.spark.table(name)
-            part, done = run.where("at >= 0").join(hits, "fp", "left_semi"), run.where("at < 0")
+            part, done = run.where(BY_FP).join(hits, "fp", "left_semi"), run.where("at < 0")
             rows, marked = (part, done) if rows is None else (rows.unionByName(part), marked.unionByName(done))
+        crowd = np.union1d(self.crowd, spans.crowded(docs, "words", self.window, self.inner))
+        if len(crowd):  # as winnowed() does, for runs in which these hashes were not crowded yet
+            of_crowd = F.broadcast(self.spark.createDataFrame(pa.table({"fp": crowd})).withColumn("c", F.lit(True)))
+            rows = rows.join(of_crowd, "fp", "left").select(F.when(F.col("c"), F.col("fp").bitwiseXOR(F.col("span"))).otherwise(F.col("fp")).alias("fp"), "span", "key", F.when(F.col("c"), F.col("at") + F.lit(spans.CROWDED)).otherwise(F.col("at")).alias("at"))
+            for name in self.runs():
+                rows = rows.unionByName(self.spark.table(name).where(f"at >= {spans.CROWDED}"))
         judged = spans.judged(rows, later_only=False)
         whole = judged.where("whole").select("key", "at").union(marked.select("key", (-1 - F.col("at")).alias("at")))
-        edges = spans.lists(judged.where("edge"), F.struct("fp", "at", "whole"))
+        edges = spans.lists(judged.where("edge"), F.struct(F.when(F.col("crowded"), F.lit(0)).otherwise(F.col("fp")).alias("fp"), "at", "whole"))
         same = W.partitionBy("fp", "h1", "h2")
         compared = spans.with_text(docs, edges, "inner", partial(window_hashes, window=self.window), "fp long, h1 long, h2 long, key long, at long, whole boolean", *columns)
-        single = compared.withColumn("n", F.count("*").over(same)).where("n > 1 AND NOT whole").select("key", "at")
+        single = compared.withColumn("n", F.count("*").over(same)).where("(n > 1 OR at < 0) AND NOT whole").select("key", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"))
         return spans.lists(whole.union(single), F.col("at"))
 
 
 def window_hashes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Two hashes of each window of the edges: over the words' hashes, and over their bytes."""
+    """Two hashes of each window of the edges: over the words' hashes, and over their bytes.
+
+    Third and further copies within spans.TOGETHER windows go (at < 0, in runs); the two before them tell others.
+    """
     second = flat.mix(np.arange(1, 257, dtype=np.uint64) << np.uint64(20))
+
+    def flush(found: list) -> pa.RecordBatch:
+        fp, h1, h2, key, at, whole = (np.concatenate(x) for x in zip(*found, strict=True))
+        more = spans.copies_before(h1, h2, key, at) >= 2
+        go = more & ~whole
+        k, run = spans.runs(key[go], at[go] >> 8)
+        apart, no = spans.spread(k, run), np.zeros(len(k), np.int64)
+        rows = zip((no, apart, no, k, -1 - run, no.astype(bool)), (fp, h1, h2, key, at, whole), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y[~more]])) for x, y in rows], ["fp", "h1", "h2", "key", "at", "whole"])
+
+    found, size = [], 0
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
-        found = []
         for s in flat.slices(batch.column(1), 1 << 18):
             w = flat.words(s)
             sums, raw = flat.prefix(w.hash), flat.prefix(second[s.data])
@@ -110,9 +137,13 @@ def window_hashes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
             inside = np.zeros(len(e), np.uint64)
             for k in range(window):  # words alone, not the white space between them
                 inside = flat.mix(inside + flat.span_hash(raw, w.start[i + k], w.end[i + k]))
-            found.append((fp[e], flat.span_hash(sums, i, i + window).view(np.int64), inside.view(np.int64), keys[row[e]], first << 8 | 1, whole[e]))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["fp", "h1", "h2", "key", "at", "whole"])
+            found.append((fp[e], flat.span_hash(sums, i, i + window).view(np.int64), inside.view(np.int64), keys[row[e]], first << 8 | 1, whole[e].astype(bool)))
+            size += len(e)
+            if size >= spans.TOGETHER:
+                yield flush(found)
+                found, size = [], 0
+    if found:
+        yield flush(found)
 
 
 def removed(docs: DataFrame, repeated: DataFrame, window: int, *columns: str, texts: bool = False) -> DataFrame:

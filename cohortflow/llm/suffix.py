@@ -5,7 +5,8 @@ judged there. The texts of the rest (one for each distinct surrounding of a repe
 to shards by hash. A shard builds one suffix array over its texts by Larsson-Sadakane refinement, takes
 Kasai's common prefixes of neighbours, and groups window starts whose common prefix reaches the window.
 If the texts of one hash fill several shards, a shard's first windows are merged with the sorted
-windows of the shards before by binary search.
+windows of the shards before by binary search. Crowded hashes (spans.py) are dealt by window instead: each
+window is a text of its own, dealt by its own hash, and of equal windows in a task only the first is sent.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import keyed
 
 WINDOW, INNER = 100, 24
 SHARD_BYTES = 2 << 20
+#: Windows of crowded hashes that a task compares before it sends them.
+TOGETHER = 1 << 17
 
 
 def eights(data: np.ndarray) -> np.ndarray:
@@ -163,7 +166,8 @@ class SortedRun:
 
 
 def judge_shards(batches: Iterator[pa.RecordBatch], window: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by fp, key, at: key and at of the windows that also start earlier in another row."""
+    """Rows sorted by fp, key, at: key and at of the windows that also start earlier in another row, and of
+    the rows without text, which are judged already."""
     texts: list[bytes] = []
     fps: list[int] = []
     keys: list[int] = []
@@ -191,6 +195,10 @@ def judge_shards(batches: Iterator[pa.RecordBatch], window: int, shard_bytes: in
         return pa.RecordBatch.from_arrays([pa.array(key[t]), pa.array(((at[t] >> 8) + j) << 8 | 1)], ["key", "at"])
 
     for batch in batches:
+        done = batch.filter(batch.column(3).is_null())
+        if done.num_rows:
+            yield done.select(["key", "at"])
+            batch = batch.filter(batch.column(3).is_valid())
         fp, key, at = (batch.column(i).to_pylist() for i in range(3))
         for i, text in enumerate(batch.column(3).to_pylist()):
             if size + len(text) > shard_bytes and texts:
@@ -202,24 +210,65 @@ def judge_shards(batches: Iterator[pa.RecordBatch], window: int, shard_bytes: in
         yield shard()
 
 
+SNIPPET = ["fp", "key", "at", "cut"]
+
+
+def first_windows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """found: hash, key, first, bytes of windows. One row with text for each distinct window, its first;
+    rows without text for all others, which stand earlier too."""
+    fp, key, first, cut = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((first, key, fp))
+    fp, key, first, cut = fp[order], key[order], first[order], cut[order]
+    gone = np.zeros(len(fp), bool)
+    gone[1:] = (fp[1:] == fp[:-1]) & (cut[1:] == cut[:-1]).all(1)
+    k, at = spans.runs(key[gone], first[gone])
+    yield pa.RecordBatch.from_arrays([pa.array(spans.spread(k, at)), pa.array(k), pa.array(at), pa.nulls(len(k), pa.binary())], SNIPPET)
+    head = cut[~gone]
+    off = np.arange(len(head) + 1, dtype=np.int32) * head.shape[1]
+    texts = pa.BinaryArray.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(head))])
+    yield pa.RecordBatch.from_arrays([pa.array(fp[~gone]), pa.array(key[~gone]), pa.array(first[~gone] << 8 | 1), texts], SNIPPET)
+
+
 def snippets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    found, size = [], 0
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         for s in flat.slices(batch.column(1), 1 << 20):
-            row, fp, at = spans.listed(batch.column(2), s.lo, s.hi)
+            row, fp, at, crowded = spans.listed(batch.column(2), s.lo, s.hi)
+            crowded = crowded.astype(bool)
+            if crowded.any():
+                sums = flat.prefix(flat.BYTE_VALUE[s.data])
+                r, first = row[crowded], at[crowded] >> 8
+                count = at[crowded] & 255
+                step = TOGETHER // 256  # edges, of at most 255 windows
+                for lo in range(0, len(r), step):
+                    c = count[lo : lo + step]
+                    e = np.repeat(np.arange(lo, lo + len(c)), c)
+                    f = first[e] + np.arange(len(e)) - np.repeat(np.cumsum(c) - c, c)
+                    i = s.off[r[e] - s.lo] + f
+                    h = flat.span_hash(sums, i, i + window).view(np.int64)
+                    found.append((h, keys[r[e]], f, s.data[i[:, None] + np.arange(window)]))
+                    size += len(e)
+                    if size >= TOGETHER:
+                        yield from first_windows(found)
+                        found, size = [], 0
+                row, fp, at = row[~crowded], fp[~crowded], at[~crowded]
             raw = s.data.tobytes()
             begin = s.off[row - s.lo] + (at >> 8)
             end = begin + (at & 255) - 1 + window
             cut = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(keys[row]), pa.array(at), pa.array(cut, pa.binary())], ["fp", "key", "at", "cut"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(keys[row]), pa.array(at), pa.array(cut, pa.binary())], SNIPPET)
+    if found:
+        yield from first_windows(found)
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, inner: int = INNER, shard_bytes: int = SHARD_BYTES, columns: tuple = ()) -> DataFrame:
     """key, list: the windows of each document that also start earlier (first << 8 | count, in bytes)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = spans.winnowed(docs, "bytes", window, inner).repartition(parts, "fp")
+    crowd = spans.crowded(docs, "bytes", window, inner)
+    rows = spans.winnowed(docs, "bytes", window, inner, crowd).repartition(parts, "fp")
     judged = spans.judged(rows, later_only=True).where("whole OR edge")
-    edges = spans.lists(judged.where("edge"), F.struct("fp", "at"))
+    edges = spans.lists(judged.where("edge"), F.struct("fp", "at", "crowded"))
     cuts = spans.with_text(docs, edges, "inner", partial(snippets, window=window), "fp long, key long, at long, cut binary", *columns)
     shards = cuts.repartition(parts, "fp").sortWithinPartitions("fp", "key", "at")
     single = shards.mapInArrow(partial(judge_shards, window=window, shard_bytes=shard_bytes), "key long, at long")

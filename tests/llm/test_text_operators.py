@@ -240,6 +240,25 @@ def test_suffix_of_a_table_not_in_order_of_ids(spark):
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup(docs).collect()} == brute.suffix(texts)
 
 
+@pytest.mark.parametrize("operator", ["suffix", "substring"])
+def test_passage_in_many_surroundings(spark, monkeypatch, operator):
+    """One passage in ever different surroundings is not dealt to one task, and goes all the same."""
+    rng = np.random.default_rng(7)
+    passage = [f"p{x}" for x in rng.integers(0, 10**6, 60)]
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    texts = {i: " ".join(word(12) + passage + word(12)) for i in range(3000)}
+    ids = rng.permutation(3000).tolist()
+    docs = spark.createDataFrame([(i, texts[i]) for i in ids], "doc_id long, text string").repartition(4)
+    dealt, real = [], type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, *to: dealt.append((self, to)) or real(self, *to))
+    got = {r.doc_id: r for r in (suffix if operator == "suffix" else substring).dedup(docs).collect()}
+    assert dealt and all(df.groupBy(to[1]).count().agg(F.max("count")).first()[0] < 300 for df, to in dealt)
+    if operator == "suffix":
+        assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == brute.suffix(texts)
+    else:
+        assert {i: (r.n_words, r.n_removed) for i, r in got.items()} == {i: x[:2] for i, x in brute.substring(texts).items()}
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(2)
     for alphabet, sizes in ((2, [30, 1, 50]), (1, [40, 40]), (200, [100])):
