@@ -136,10 +136,10 @@ def flat_evaluations(events: DataFrame, outcomes: list[str], features: list[str]
 def feature_paths(events: DataFrame, payload: str) -> DataFrame:
     """path, value of all scalar leaves of an object, with dotted paths; lists are left out."""
     level = events.select("event_id", F.explode(F.try_variant_get(F.col(payload), "$", "map<string,variant>")).alias("path", "v"))
-    done = None
-    for _ in range(4):  # depth of nesting that features have
-        deeper = P.is_object(F.col("v"))
+    done, deeper = None, P.is_object(F.col("v"))
+    while True:  # one round for each level of nesting that the data have
         leaf = level.where(~deeper & ~F.schema_of_variant("v").startswith("ARRAY")).select("event_id", "path", F.to_json("v").alias("value"))
         done = leaf if done is None else done.unionByName(leaf)
+        if level.where(deeper).isEmpty():
+            return done
         level = level.where(deeper).select("event_id", "path", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("k", "w")).select("event_id", F.concat_ws(".", "path", "k").alias("path"), F.col("w").alias("v"))
-    return done
