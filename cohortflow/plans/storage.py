@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # one machine
+    if not root:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cohortflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
