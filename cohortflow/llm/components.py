@@ -13,15 +13,15 @@ def nearest(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, folder: str | None = None) -> DataFrame:
     """id, component (smallest id that links reach) of every vertex in links (a, b); none for others.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): each hangs neighbours below the
     smallest one, until every vertex hangs below its component's smallest. No vertex's neighbours are
-    ever gathered in one place; every round is written to the shared folder.
+    ever gathered in one place; every round is written to `folder`, a new one of the shared folder if not given.
     """
     spark = links.sparkSession
-    folder = shared_dir(spark)
+    folder = folder or shared_dir(spark)
     pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     pairs, seen, k = stored(pairs, f"{folder}/0"), None, 0
     while True:

@@ -8,10 +8,10 @@ all coordinates are hit need throwing: some size * (ln size + 4) for a whole doc
 size for every element.
 
 Signatures are cut into bands; documents that share a band meet. Copies of a text meet once, as one
-class. Within a band documents are not paired with one another but with a centre, and the exact Jaccard
-similarity decides. Bands whose documents are still apart take further centres, four times as many each
-round, until their documents are connected or each of them has been a centre: no candidate pair across
-components is left untried, and near copies, however many, take a round or two.
+class. Within a band documents are not paired with one another but with the band's hub, and the exact
+Jaccard similarity decides. Documents of bands that the hubs have not connected - near copies below the
+threshold may be thousands, and each of their pairs shares some band - then meet where they share a
+rare shingle (rare_pairs), which loses no pair of the threshold and makes no rows for the others.
 """
 
 from __future__ import annotations
@@ -23,12 +23,11 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import aside, back, keyed, stored
+from .common import aside, back, drop_stored, keyed, shared_dir, stored
 from .components import components
 
 
@@ -148,7 +147,7 @@ def sign(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatc
 
 def shingle_sets(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
+        lists, sizes = [], []
         for s in flat.slices(batch.column(1), 1 << 20):
             h, count, first = counted(*shingles(s, p.words))
             if p.counted:  # the c-th time a shingle comes is an element of its own
@@ -156,8 +155,12 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Re
                 c = np.arange(len(e)) - np.repeat(np.cumsum(count) - count, count)
                 first = np.concatenate([[0], np.cumsum(count)])[first]
                 h = flat.mix(h[e] + c.astype(np.uint64))
-            out += [np.sort(h[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "set"])
+            lists.append(h)
+            sizes.append(np.diff(first))
+        if sizes:
+            off = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            values = pa.array(np.concatenate(lists).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), values)], ["key", "set"])
 
 
 def similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -165,7 +168,7 @@ def similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
     for batch in batches:
         keep = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
             if min(len(x), len(y)) < least * max(len(x), len(y)):
                 keep.append(False)
                 continue
@@ -176,42 +179,93 @@ def similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def least_common(x: Column, y: Column, least: float) -> Column:
+    """How many elements two sets of these sizes have in common if their Jaccard similarity is `least`."""
+    return F.ceil((x + y) * (least / (1 + least)) - 1e-6)
+
+
+def rare_pairs(docs: DataFrame, least: float) -> DataFrame:
+    """a, b: pairs of docs (key, component, set) of different components whose sets can have the Jaccard
+    similarity `least`: an exact prefix filter (Bayardo 2007, Xiao 2008) on shingles in order of rarity.
+
+    Two such sets have one of the rarest shingles of both in common, early enough for what follows it to
+    reach the common size; the join holds that condition, so a pair that cannot reach it is never a row. Within a
+    shingle the documents of its largest component meet only those of others.
+    """
+    shingle = docs.select("key", "component", F.size("set").alias("n"), F.explode("set").alias("h"))
+    shared = shingle.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = shingle.join(shared, "h").groupBy("key", "component", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("in_order"))
+    alone = F.col("n") - F.size("in_order")  # shingles of no other document come first, and cannot be met
+    early = F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1
+    front = ranked.select("key", "component", "n", F.posexplode(F.slice("in_order", 1, F.greatest(early - alone, F.lit(0)).cast("int"))).alias("i", "fh"), alone.alias("alone"))
+    front = stored(front.select("key", "component", "n", F.col("fh.h").alias("h"), (F.col("n") - F.col("alone") - F.col("i") - 1).alias("after")))
+    main = front.groupBy("h", "component").count().groupBy("h").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    columns = ("h", "key", "component", "n", "after")
+    x = front.join(main, "h").where("component <> main").select(*[F.col(c).alias(f"{c}_x") for c in columns])
+    y = front.select(*[F.col(c).alias(f"{c}_y") for c in columns])
+    reach = 1 + F.least("after_x", "after_y") >= least_common(F.col("n_x"), F.col("n_y"), least)
+    met = x.join(y, (F.col("h_x") == F.col("h_y")) & (F.col("component_x") != F.col("component_y")) & reach)
+    return met.select(F.greatest("key_x", "key_y").alias("a"), F.least("key_x", "key_y").alias("b")).distinct()
+
+
+#: Up to so many keys (8 bytes each) are broadcast; beyond that the join shuffles both sides.
+BROADCAST_KEYS = 1 << 20
+
+
+def of_keys(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose `name` is in keys."""
+    few = keys.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, name, "left_semi")
+
+
+def labelled(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    """rows (key, ...) with their component, their own key where no link is known."""
+    if label is None:
+        return rows.withColumn("component", F.col("key"))
+    return rows.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
+
+
 def classes_of(docs: DataFrame, p: Params) -> DataFrame:
     """docs: _key, text. Returns _key, component (smallest _key of the class), copies."""
     spark = docs.sparkSession
-    signed = stored(docs.select("_key", "text").mapInArrow(partial(sign, p=p), "_key long, copy binary, bands array<long>"))
-    classes = signed.groupBy("copy").agg(F.min("_key").alias("key"), F.count("*").alias("copies"))
+    folder = shared_dir(spark)
+    part = iter(range(100))
+
+    def kept(df: DataFrame) -> DataFrame:
+        return stored(df, f"{folder}/{next(part)}")
+
+    signed = kept(docs.select("_key", "text").mapInArrow(partial(sign, p=p), "_key long, copy binary, bands array<long>"))
+    classes = kept(signed.groupBy("copy").agg(F.min("_key").alias("key"), F.count("*").alias("copies")))
     members = signed.join(classes.select(F.col("key").alias("_key")), "_key", "left_semi").select(F.col("_key").alias("key"), F.explode("bands").alias("band"))
-    crowded = members.groupBy("band").count().where("count > 1").select("band")
-    members = stored(members.join(crowded, "band", "left_semi"))
-    candidates = docs.select("_key", "text").join(members.select(F.col("key").alias("_key")).distinct(), "_key", "left_semi")
-    sets = stored(candidates.mapInArrow(partial(shingle_sets, p=p), "key long, set binary"))
-    links = tried = served = spark.createDataFrame([], "a long, b long")
-    found, label, k = 0, None, 0
-    while True:
-        now = members.withColumn("component", F.col("key")) if label is None else members.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        if k:  # bands whose documents are not all connected yet
-            mixed = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-            now = stored(now.join(mixed, "band", "left_semi"))
-        waiting = now.join(served.select(F.col("a").alias("band"), F.col("b").alias("key")), ["band", "key"], "left_anti") if k else now
-        slot = F.pmod(F.xxhash64("key"), F.lit(1 << min(2 * k, 62)))
-        centres = waiting.groupBy("band", slot.alias("slot")).agg(F.min(F.struct(F.col("key").alias("other"), F.col("component").alias("their"))).alias("c")).select("band", "c.*")
-        centres = stored(centres)
-        paired = now.join(centres, "band").where("other <> key AND component <> their")
-        pairs = paired.select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b")).distinct()
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti") if k else pairs)
-        near = pairs.join(sets.withColumnRenamed("key", "a").withColumnRenamed("set", "x"), "a").join(sets.withColumnRenamed("key", "b").withColumnRenamed("set", "y"), "b")
-        near = stored(near.select("a", "b", "x", "y").mapInArrow(partial(similar, least=p.similarity), "a long, b long"))
-        more = near.count()
-        if more:
-            links, found = links.union(near), found + more
-            label = components(links).withColumnRenamed("id", "key")
-        if centres.isEmpty():  # in every band all documents are connected, or each has been a centre
-            break
-        tried, served, k = tried.union(pairs), served.union(centres.select(F.col("band").alias("a"), F.col("other").alias("b"))), k + 1
-    of_class = classes.withColumn("component", F.col("key")) if label is None else classes.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    size = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    members = kept(members.join(size, "band"))
+    keys = members.select("key").distinct()
+    sets = kept(of_keys(docs.select("_key", "text"), keys.select(F.col("key").alias("_key")), "_key").mapInArrow(partial(shingle_sets, p=p), "key long, set array<long>"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.withColumnRenamed("key", "a").withColumnRenamed("set", "x"), "a").join(sets.withColumnRenamed("key", "b").withColumnRenamed("set", "y"), "b")
+        return kept(both.select("a", "b", "x", "y").mapInArrow(partial(similar, least=p.similarity), "a long, b long"))
+
+    # each band's documents meet its hub, the one that meets most others in all its bands
+    hubs = members.groupBy("key").agg(F.sum(F.col("size") - 1).alias("others"))
+    ranked = members.join(hubs, "key")
+    centre = ranked.groupBy("band").agg(F.max_by("key", F.struct("others", -F.col("key"))).alias("hub"))
+    links = near(members.join(centre, "band").where("hub <> key").select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct())
+    label = None if links.isEmpty() else components(links, f"{folder}/{next(part)}").withColumnRenamed("id", "key")
+    # bands of three and more whose documents are not all connected: there the rarest shingles decide
+    crowded = labelled(members.where("size > 2").select("key", "band"), label)
+    mixed = crowded.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    rest = kept(crowded.join(mixed, "band", "left_semi").select("key", "component").distinct())
+    if not rest.isEmpty():
+        more = near(rare_pairs(rest.join(sets, "key"), p.similarity))
+        if not more.isEmpty():
+            links = links.union(more)
+            label = components(links, f"{folder}/{next(part)}").withColumnRenamed("id", "key")
+    of_class = labelled(classes, label)
     of_key = signed.select("_key", "copy").join(of_class.select("copy", "component", "copies"), "copy")
-    return of_key.select("_key", "component", "copies")
+    out = stored(of_key.select("_key", "component", "copies"))
+    drop_stored(spark, folder)
+    return out
 
 
 def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
