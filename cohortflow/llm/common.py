@@ -16,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests, one machine) a local folder is set for the session.
+    Where the setting is absent, a local folder is set for the session on one machine; a cluster has no folder
+    that all see then, and is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cohortflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/cohortflow-{uuid.uuid4().hex}"
@@ -73,6 +76,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *othe
     docs = docs.select(id_col, F.col(text_col).cast("string").alias(text_col), *others)
     odd = docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count()
     if not odd and dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
-        return docs.select(F.col(id_col).cast("bigint").alias("_key"), "*")
+        # no null is left; with the filter, inner and outer joins read the same exchange of the texts
+        return docs.select(F.col(id_col).cast("bigint").alias("_key"), "*").where(F.col("_key").isNotNull())
     ordered = docs.orderBy(F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first())
     return stored(ordered.select(F.monotonically_increasing_id().alias("_key"), "*"))
