@@ -82,6 +82,8 @@ def crowded(docs: DataFrame, by: str, window: int, inner: int) -> np.ndarray:
 
 def winnowed(docs: DataFrame, by: str, window: int, inner: int, crowd: np.ndarray | None = None) -> DataFrame:
     """docs: _key, text. crowd: fps whose rows are dealt by kind."""
+    if window - inner > 254:
+        raise ValueError("windows that share an inner hash are counted in 8 bits: window - inner is at most 254")
 
     def flush(found: list) -> pa.RecordBatch:
         fp, span, key, at = (np.concatenate(x).astype(np.int64, copy=False) for x in zip(*found, strict=True))

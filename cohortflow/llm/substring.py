@@ -176,10 +176,11 @@ def removed(docs: DataFrame, repeated: DataFrame, window: int, *columns: str, te
     return out if texts else out.withColumnRenamed("kept", "kept_sha256")
 
 
-def dedup(docs: DataFrame, *columns: str, window: int = WINDOW, inner: int = INNER, batches: int = 2, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *columns: str, window: int = WINDOW, inner: int = INNER, batches: int = 4, texts: bool = False) -> DataFrame:
     """Remove every word in a window of `window` words that also starts anywhere else in docs.
 
-    The documents enter the index in `batches` batches, as they would day by day. Null and empty texts
+    The documents enter the index in `batches` batches, as they would day by day; as many as `fanout` runs, so
+    the last one is compacted. Null and empty texts
     have no words; texts shorter than a window lose none; repeated doc_ids are separate documents (so
     identical rows remove one another); an empty table gives no rows. Extra columns do no harm.
     """

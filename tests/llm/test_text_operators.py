@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -106,7 +107,7 @@ def test_packing(docs, texts, none):
 
 def test_packing_keeps_the_mixture(docs, texts):
     mix = {"s0": 1.0, "s1": 2.0, "s2": 1.0, "": 1.0}
-    rows = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), window=128, mixture=mix).collect()
+    rows = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), window=128, mixture=mix, quantum=1).collect()
     check_packed(rows, ids_of(texts), 128)
     filled = defaultdict(lambda: defaultdict(int))
     for r in rows:
@@ -118,6 +119,27 @@ def test_packing_keeps_the_mixture(docs, texts):
             assert abs(window[q] - 128 * mix[name] / 5) <= 2
 
 
+def test_packing_by_quanta(spark, docs, texts, odd):
+    """Queues stay within a quantum of their shares; pieces do not shrink with the number of sources."""
+    path = tokenizer_path("word_bpe_49k.json")
+    rng = random.Random(9)
+    many = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(90)), f"s{i % 60}") for i in range(600)]
+    frame = spark.createDataFrame(many, "doc_id long, text string, source string").withColumn("length", F.lit("x"))
+    rows = packing.pack(frame, path).collect()
+    check_packed(rows, ids_of({i: t for i, t, _ in many}), 2048)
+    total, paid = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        total[r.queue] += r.length
+        paid[r.sequence_id][r.queue] += r.length
+    everything, done = sum(total.values()), defaultdict(int)
+    for s in sorted(paid):
+        for q, n in total.items():
+            done[q] += paid[s][q]
+            assert abs(done[q] - n * min((s + 1) * 2048, everything) / everything) <= packing.QUANTUM
+    assert len(rows) < 600 * 4
+    assert sorted(r.doc_id or -1 for r in packing.pack(odd, path).where("start = 0").collect()) == [-1, -1, 7, 7, 7, 8, 8]
+
+
 # 4 substring dedup
 
 
