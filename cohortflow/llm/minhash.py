@@ -212,10 +212,10 @@ def rare_pairs(docs: DataFrame, least: float) -> DataFrame:
 BROADCAST_KEYS = 1 << 20
 
 
-def of_keys(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """The rows whose `name` is in keys."""
+def of_keys(rows: DataFrame, keys: DataFrame, name: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose `name` is in keys (left_anti: is not)."""
     few = keys.count() <= BROADCAST_KEYS
-    return rows.join(F.broadcast(keys) if few else keys, name, "left_semi")
+    return rows.join(F.broadcast(keys) if few else keys, name, how)
 
 
 def labelled(rows: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -287,5 +287,5 @@ def keep_one(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their class."""
     renamed, others = aside(docs, "doc_id", "text")
     rows = keyed(renamed, "doc_id", "text", *others)
-    first = classes_of(rows, params or Params()).where("_key = component").select("_key")
-    return back(rows.join(first, "_key", "left_semi"), docs.columns, "doc_id", "text")
+    later = classes_of(rows, params or Params()).where("_key <> component").select("_key")
+    return back(of_keys(rows, later, "_key", "left_anti"), docs.columns, "doc_id", "text")

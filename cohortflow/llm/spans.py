@@ -142,8 +142,8 @@ def listed(column: pa.ListArray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
 
 def with_text(docs: DataFrame, per_doc: DataFrame, how: str, run: Callable, schema: str, *columns: str) -> DataFrame:
     """Join lists to texts by document and map the result. The texts are shuffled by key, once for all
-    calls within a query that ask for the same columns."""
-    joined = docs.select("_key", "text", *columns).join(per_doc.withColumnRenamed("key", "_key"), "_key", how)
+    calls within a query that ask for the same columns; lists are never broadcast, however few they are."""
+    joined = docs.select("_key", "text", *columns).join(per_doc.withColumnRenamed("key", "_key").hint("merge"), "_key", how)
     return joined.select("_key", "text", "list", *columns).mapInArrow(run, schema)
 
 
