@@ -28,7 +28,7 @@ def _digest64(text: pd.Series) -> pd.Series:
 def deterministic(rows: DataFrame, fields: list[Field]) -> DataFrame:
     """Adds a column per field from u, the 64-bit hash of panelist, product and period: choices by u mod
     n, whole numbers low + u mod span, decimals in steps of a ten-thousandth of the range, flags u mod 2."""
-    key = F.concat_ws("|", "panelist_id", "product_id", F.col("t").cast("string"))
+    key = F.concat(*[x for c in ("panelist_id", "product_id", "t") for x in (F.lit("|"), F.coalesce(F.col(c).cast("string"), F.lit("None")))][1:])
     out = rows.withColumn("_u", _digest64(key).cast("decimal(20,0)"))
 
     def mod(n: int) -> Column:
@@ -53,12 +53,12 @@ def deterministic(rows: DataFrame, fields: list[Field]) -> DataFrame:
     return out.drop("_u")
 
 
-def evaluation_events(rows: DataFrame, fields: list[Field], policy: str = "random") -> DataFrame:
-    """Canonical evaluation events from assigned rows that have a column per field."""
+def evaluation_events(rows: DataFrame, fields: list[Field], policy: str = "random", *keep: str) -> DataFrame:
+    """Canonical evaluation events from assigned rows that have a column per field; keep: further columns."""
     parts = dict(panelist_id=F.col("panelist_id"), product_id=F.col("product_id"), t=F.col("t"))
     shown = F.coalesce("product_display", "product_id") if "product_display" in rows.columns else F.col("product_id")
     outcomes = F.to_variant_object(F.struct(*[f.name for f in fields]))
-    return rows.select(F.lit("0.1.0").alias("schema_version"), identity.event_id("evaluation", **parts).alias("event_id"), F.lit("evaluation").alias("event_type"), F.lit(policy).alias("policy"), "panelist_id", "t", "product_id", shown.alias("product_display"), outcomes.alias("outcomes"))
+    return rows.select(F.lit("0.1.0").alias("schema_version"), identity.event_id("evaluation", **parts).alias("event_id"), F.lit("evaluation").alias("event_type"), F.lit(policy).alias("policy"), "panelist_id", "t", "product_id", shown.alias("product_display"), outcomes.alias("outcomes"), *keep)
 
 
 def render(template: str, **values: Column) -> Column:

@@ -38,7 +38,7 @@ class Result:
         q = normal_quantile(0.975) if self.df is None else t_quantile(0.975, self.df)
         for name, b, s in zip(self.terms, self.estimate.tolist(), se.tolist(), strict=True):
             z = b / s if s > 0 else math.nan
-            p = 2 * (1 - (float(normal_cdf(abs(z))) if self.df is None else t_cdf(abs(z), self.df))) if s > 0 else math.nan
+            p = two_sided(z, self.df) if s > 0 else math.nan
             rows.append((name, b, s, z, p, b - q * s, b + q * s))
         return rows
 
@@ -46,6 +46,13 @@ class Result:
         return spark.createDataFrame(self.table(), "term string, estimate double, std_error double, statistic double, p_value double, low double, high double")
 
 
+def two_sided(z: float, df: float | None) -> float:
+    """The share of the normal or t distribution beyond -|z| and |z|, from its tail, so that no digit is lost."""
+    if df is None:
+        return math.erfc(abs(z) / math.sqrt(2))
+    return beta_fraction(df / 2, 0.5, df / (df + z * z))
+
+
 def normal_cdf(x):
     return 0.5 * (1 + np.vectorize(math.erf)(np.asarray(x, float) / math.sqrt(2)))
 
@@ -108,6 +115,7 @@ class Design:
     columns: tuple[str, ...]
     panelist: str | None = None
     product: str | None = None
+    names: tuple[str, ...] = ()  # what results call the columns; none: as they are
 
 
 def one_hot(rows: DataFrame, column: str, max_levels: int = 2000) -> tuple[DataFrame, list[str]]:
@@ -244,7 +252,7 @@ def fit(design: Design, family: str = "ols", covariance: str = "nonrobust", stan
 
 
 def _fit(rows: DataFrame, design: Design, family: str, covariance: str, standardize: bool, classes: int, max_steps: int, discrete: bool) -> Result:
-    names, m = list(design.columns), len(design.columns)
+    names, m = list(design.names or design.columns), len(design.columns)
     n, low, high = rows.agg(F.count("*"), F.min("y"), F.max("y")).first()
     if not n or low == high:
         raise ValueError("the target has fewer than two values")
@@ -282,13 +290,15 @@ def _fit(rows: DataFrame, design: Design, family: str, covariance: str, standard
             if _likelihood(rows, z, model, theta + rate * step) >= value - 1e-12:
                 break
             rate /= 2
+        else:  # no step along this direction helps: as far as numbers go
+            break
         theta = theta + rate * step
         if np.abs(grad).max() < 1e-8 * max(1.0, n) and np.abs(step).max() < 1e-8:
             break
     value, grad, hess = _pass(rows, z, model, theta, size)
     bread = np.linalg.inv(hess)
     cov, df = (bread, None) if covariance == "nonrobust" else sandwich(rows, bread, lambda y, x: model.parts(y, z(x), theta)[1], n, covariance, True)
-    out = {"n": n, "llf": value, "aic": -2 * value + 2 * size, "bic": -2 * value + size * math.log(n), "gradient": float(np.abs(grad).max())}
+    out = {"n": n, "llf": value, "aic": -2 * value + 2 * size, "bic": -2 * value + size * math.log(n), "gradient": float(np.abs(grad).max()), "converged": float(np.abs(grad).max() < 1e-6 * max(1.0, n))}
     if not ordered:
         counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}  # one row a class
         null = sum(c * math.log(c / n) for c in counts.values())

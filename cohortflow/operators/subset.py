@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +45,14 @@ def chosen(products: DataFrame, max_products: int | None, seed: int) -> DataFram
     return products.orderBy(F.xxhash64(F.lit(seed), "product_id"), "product_id").limit(max_products).select("product_id")
 
 
-def chosen_by_shuffle(products: DataFrame, max_products: int, seed: int) -> DataFrame:
-    """The choice that Python's own generator makes over the sorted ids. It needs the ids on the driver
-    and is meant for catalogs of up to a million products; larger ones are refused."""
-    ids = [r[0] for r in products.select("product_id").orderBy("product_id").limit(1_000_001).collect()]
-    if len(ids) > 1_000_000:
-        raise ValueError("more than a million eligible products: use chosen()")
-    random.Random(seed).shuffle(ids)
-    return products.sparkSession.createDataFrame([(i,) for i in ids[:max_products]], "product_id string")
+def product_ids(products: DataFrame) -> DataFrame:
+    """The distinct ids of a product table; only that column is read."""
+    return products.select("product_id").where("product_id <> ''").distinct()
+
+
+def products_of(products: DataFrame, chosen_ids: DataFrame) -> DataFrame:
+    """Product records of the chosen products, unchanged."""
+    return products.join(chosen_ids.select("product_id"), "product_id", "left_semi")
 
 
 def events_of(events: DataFrame, products: DataFrame) -> DataFrame:

@@ -17,12 +17,11 @@ class BadRows(ValueError):
 def scan(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """_ord (order of input), _raw, row (VARIANT) of each line that is not blank; .gz is unpacked, one
     task a file, and then spread. strict: a line that is no JSON object is an error, raised when the rows
-    are read, which names the line's text."""
-    lines = spark.read.text(path)
+    are read, which names the line's text. Lines of one file are in its order, whatever its splits; those of
+    a folder's files are in the order in which Spark packs them."""
+    lines = spark.read.text(path).withColumn("_ord", F.monotonically_increasing_id())
     if path.endswith(".gz"):
-        lines = lines.withColumn("_ord", F.monotonically_increasing_id()).repartition(spark.sparkContext.defaultParallelism)
-    else:
-        lines = lines.withColumn("_ord", F.monotonically_increasing_id())
+        lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = lines.where("trim(value) <> ''").select("_ord", F.col("value").alias("_raw"), F.try_parse_json("value").alias("row"))
     if not strict:
         return rows.where(P.is_object(F.col("row")))
@@ -104,6 +103,14 @@ def schedule_json(spark: SparkSession, path: str, **options) -> DataFrame:
     return schedule(rows, **options)
 
 
+def load_schedule(spark: SparkSession, path: str, format: str = "csv_long", **options) -> DataFrame:
+    """A schedule file of either format."""
+    readers = {"csv_long": schedule_csv, "json": schedule_json}
+    if format not in readers:
+        raise ValueError(f"unknown format {format!r}: {sorted(readers)}")
+    return readers[format](spark, path, **options)
+
+
 def json_line(df: DataFrame) -> Column:
     return F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
 

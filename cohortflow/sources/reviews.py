@@ -83,7 +83,7 @@ def events(reviews: DataFrame, items: DataFrame, people: DataFrame, mode: str =
     shown = items.select(F.col("product_id").alias("parent_asin"), "display_name", F.to_json(F.struct(*features)).alias("product_features"))
     person = people.select(F.col("persona_id").alias("user_id"), F.to_json(F.struct(*[c for c in people.columns if c != "persona_id"])).alias("panelist_features"))
     joined = rows.join(person, "user_id", "left").join(shown, "parent_asin", "inner" if require_match else "left")
-    ids = identity.imported_id(user=F.col("user_id"), product=F.col("parent_asin"), asin=F.col("asin"), timestamp=F.col("timestamp"), t=F.col("t"))
+    ids = identity.imported_id(panelist_id=F.col("user_id"), product_id=F.col("parent_asin"), source_child_asin=F.col("asin"), timestamp=F.col("timestamp"), t=F.col("t"))
     empty = F.lit("{}")
     return joined.select(
         F.lit("0.1.0").alias("schema_version"), ids.alias("event_id"), F.lit("evaluation").alias("event_type"), F.lit("manual").alias("policy"),
