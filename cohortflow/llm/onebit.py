@@ -62,6 +62,15 @@ def estimate(code: np.ndarray, alignment: np.ndarray, norm: np.ndarray, query: n
     return base - twice * cosine, base - twice * np.minimum(cosine + error, 1)
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances, summed from the first dimension to the last, so that the same vectors give the same
+    number wherever and with whatever others they are."""
+    out = np.zeros(len(x))
+    for column in ((x - q) ** 2).T:
+        out += column
+    return np.sqrt(out)
+
+
 def search(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     """The k nearest of a chunk for each query of a block."""
     for batch in batches:
@@ -80,7 +89,7 @@ def search(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBa
                 bound = ((x[first] - q) ** 2).sum(1)[~own[first]].max(initial=0) if len(guess) > p.k else np.inf
                 look = np.flatnonzero((least[i] <= bound * (1 + 1e-6)) & ~own)
                 look = np.union1d(look, first[~own[first]])
-                exact = np.sqrt(((x[look] - q) ** 2).sum(1))
+                exact = distances(x[look], q)
                 order = np.lexsort((keys[look], exact))[: p.k]
                 out.append((np.full(len(order), query_keys[i]), keys[look[order]], exact[order]))
             if out:
