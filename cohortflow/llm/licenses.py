@@ -1,11 +1,12 @@
 """License scans (operator 6): MinHash bands over overlapping text windows, then exact containment.
 
 DataFrame and SQL functions only. A text is lower-cased and cut into words; runs of five words are
-hashed; each window takes STEP runs in turn, so windows overlap by four words and every run lies in
-exactly one. A window's bands are its smallest hashes under BANDS masks. A window that holds one run of
-a template has similarity 1/STEP at least with that run's own set, so a band of one row hits with
-1/STEP, and one of BANDS with 1 - (1 - 1/STEP) ** BANDS. Templates store the bands of their single runs;
-what they retrieve is verified: the share of the template's runs in the text around the window.
+hashed; a window takes `window` runs in turn, so windows overlap by four words and every run lies in
+exactly one. A window's band k is the smallest of its runs' hashes under the k-th seed. Templates store
+each of their runs under each seed: a window that holds j runs of a template meets it in a band with
+probability j / window, in one of `bands` with 1 - (1 - j / window) ** bands - 0.999 for a single run
+(Params.collision). What is retrieved is verified: the share of the template's runs in the text around the
+window.
 """
 
 from __future__ import annotations
@@ -33,11 +34,15 @@ TEMPLATES = (
 @dataclass(frozen=True)
 class Params:
     words: int = 5
-    step: int = 2
-    bands: int = 12
+    window: int = 4
+    bands: int = 24
     containment: float = 0.8
-    #: Templates are sent to every task; more than this many are refused.
-    most_templates: int = 10_000
+    #: Rows of band values, and templates, up to which they are broadcast; beyond that the joins shuffle.
+    broadcast_rows: int = 1 << 20
+
+    def collision(self, runs: int = 1) -> float:
+        """The probability that a window that holds so many of a template's runs meets it in some band."""
+        return 1 - (1 - min(runs, self.window) / self.window) ** self.bands
 
 
 #: Marks that are dropped from both ends of a word.
@@ -62,23 +67,16 @@ def runs(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n)))
 
 
-def masks(n: int) -> list[int]:
-    """Fixed 64-bit masks: a golden-ratio sequence."""
-    return [(((k + 1) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) - (1 << 63) for k in range(n)]
-
-
-def bands(hashes: list[Column], n: int) -> list[Column]:
-    """The smallest of a window's hashes under each mask: one row a band. Nulls, beyond the text's end,
-    do not count."""
-    smallest = F.least if len(hashes) > 1 else lambda x: x
-    return [smallest(*[h.bitwiseXOR(F.lit(m)) for h in hashes]) for m in masks(n)]
+def smallest(band: Column, hashes: list[Column]) -> Column:
+    """The smallest hash of a window's runs under the seed `band`; runs beyond the text's end are null, and the
+    first one stands in for them."""
+    values = [F.xxhash64(band, F.coalesce(h, hashes[0])) for h in hashes]
+    return F.least(*values) if len(values) > 1 else values[0]
 
 
 def template_table(spark: SparkSession, templates: tuple = TEMPLATES, params: Params | None = None) -> DataFrame:
     """template, license, runs: the distinct runs of each template. Shorter templates are refused."""
     p = params or Params()
-    if len(templates) > p.most_templates:
-        raise ValueError(f"{len(templates)} templates; at most {p.most_templates}")
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, statement string")
     out = rows.select("template", "license", F.array_distinct(runs(word_list(F.col("statement")), p.words)).alias("runs"), F.size(word_list(F.col("statement"))).alias("n_words"))
     short = out.where(F.size("runs") == 0).count()
@@ -92,30 +90,28 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, params: Params | None =
     document and license found; containment is the best over the license's templates.
 
     Null and empty texts, and texts of fewer than five words, hold no license. Repeated doc_ids are
-    merged: places add up. An empty table gives no rows; extra columns do no harm.
+    merged: places add up. An empty table gives no rows; extra columns, whatever their names, are not read.
     """
     p = params or Params()
     spark = docs.sparkSession
     known = template_table(spark, templates, p)
-    # BANDS values for each run of each template; bounded by most_templates
-    wanted = known.select("template", F.explode("runs").alias("run")).select("template", F.posexplode(F.array(*bands([F.col("run")], p.bands))).alias("band", "value")).distinct()
-    values = sorted({(r.band, r.value) for r in wanted.select("band", "value").distinct().collect()})
-    per_band = [[v for b, v in values if b == k] for k in range(p.bands)]
+    seeds = F.sequence(F.lit(0), F.lit(p.bands - 1))
+    wanted = known.select("template", F.explode("runs").alias("run")).select("template", F.explode(seeds).alias("its_band"), "run")
+    wanted = wanted.select("template", "its_band", smallest(F.col("its_band"), [F.col("run")]).alias("value")).distinct()
+    few = wanted.count() <= p.broadcast_rows
+    sent = F.broadcast if few else lambda df: df  # checked, with another way beyond
     words = once(docs.select("doc_id", "text"), "words", word_list(F.col("text"))).select("doc_id", "words")
-    texts = once(words, "runs", runs(F.col("words"), p.words)).select("doc_id", "runs")
-    # each window with its hashes as columns: all that follows, until windows are retrieved, is generated code
-    together = F.arrays_zip(*[F.slice("runs", k + 1, F.greatest(F.size("runs") - k, F.lit(0))).alias(f"h{k}") for k in range(p.step)])
-    windows = texts.select("doc_id", "runs", F.posexplode(together).alias("start", "w")).where(F.col("start") % p.step == 0)
-    value = bands([F.col("w").getField(f"h{k}") for k in range(p.step)], p.bands)
-    hit = F.lit(False)
-    for v, mine in zip(value, per_band, strict=True):
-        hit = hit | v.isin(mine)
-    keys = windows.where(hit).select("doc_id", "runs", "start", F.posexplode(F.array(*value)).alias("band", "value"))
-    found = keys.join(F.broadcast(wanted), ["band", "value"]).drop("band", "value")
+    texts = once(words, "runs", runs(F.col("words"), p.words)).where(F.size("runs") > 0).select("doc_id", "runs")
+    # from here to the join all is generated code: a row per window, then one per band, met by a single long
+    windows = texts.select("doc_id", "runs", F.explode(F.sequence(F.lit(0), F.size("runs") - 1, F.lit(p.window))).alias("start"))
+    hashes = [F.get("runs", F.col("start") + k).alias(f"h{k}") for k in range(p.window)]
+    banded = windows.select("doc_id", "runs", "start", *hashes, F.explode(seeds).alias("band"))
+    keys = banded.select("doc_id", "runs", "start", "band", smallest(F.col("band"), [F.col(f"h{k}") for k in range(p.window)]).alias("value"))
+    found = keys.join(sent(wanted), "value").where("band = its_band").drop("band", "its_band", "value")
     # a template's other runs lie within its length before or after the window
     low = F.greatest(F.col("start") - F.col("n_words"), F.lit(0))
-    around = F.slice("runs", low + 1, 2 * F.col("n_words") + p.step)
+    around = F.slice("runs", low + 1, 2 * F.col("n_words") + p.window)
     share = F.size(F.array_intersect("runs_t", around)) / F.size("runs_t")
-    whole = found.join(F.broadcast(known.withColumnRenamed("runs", "runs_t")), "template").select("doc_id", "license", "start", share.alias("containment"))
+    whole = found.join(sent(known.withColumnRenamed("runs", "runs_t")), "template").select("doc_id", "license", "start", share.alias("containment"))
     places = whole.where(F.col("containment") >= p.containment).groupBy("doc_id", "license", "start").agg(F.max("containment").alias("containment"))
     return places.groupBy("doc_id", "license").agg(F.count("*").alias("n_places"), F.min("start").cast("long").alias("first_word"), F.max("containment").alias("containment"))

@@ -172,6 +172,18 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_license_bands_find_single_runs(spark):
+    """Statements of one run, at every place within a window, meet their template as often as computed."""
+    p = licenses.Params()
+    assert p.collision(1) > 0.998 and p.collision(4) == 1
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(i % 9)) + " licensed under cc by-nc 4.0 " + " ".join(f"y{rng.randrange(10**6)}" for _ in range(30))) for i in range(1500)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.where("license = 'CC-BY-NC-4.0'").count() >= 1490 and found.count() < 1510
+    shuffled = licenses.scan(spark.createDataFrame(rows[:200], "doc_id long, text string"), params=licenses.Params(broadcast_rows=0))
+    assert shuffled.count() >= 198
+
+
 def containment(text, statement):
     split = lambda t: [w.strip(licenses.MARKS) for w in (t or "").lower().split() if w.strip(licenses.MARKS)]
     runs = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
