@@ -35,6 +35,7 @@ class FingerprintIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = shared_dir(spark)
         self.levels: list[list[str]] = [[]]
+        self.retired: list[str] = []
         self.hits: list[DataFrame] = []
         self.crowd = np.zeros(0, np.int64)
 
@@ -50,7 +51,7 @@ class FingerprintIndex:
     def append(self, docs: DataFrame) -> None:
         """docs: _key (unique over all batches), text."""
         crowd = spans.crowded(docs, "words", self.window, self.inner)
-        self.crowd = np.union1d(self.crowd, crowd)
+        self.crowd = crowd = np.union1d(self.crowd, crowd)
         name = self.write_run(spans.winnowed(docs, "words", self.window, self.inner, crowd))
         new = self.spark.table(name).where(BY_FP).select("fp")
         found = [new.groupBy("fp").count().where("count > 1").select("fp")]
@@ -72,14 +73,19 @@ class FingerprintIndex:
                 for name in level[1:]:
                     merged = merged.unionByName(self.spark.table(name))
                 name = self.write_run(merged)
-                for old in level:
-                    self.spark.sql(f"DROP TABLE {old}")
-                    drop_stored(self.spark, f"{self.folder}/{old}")
+                self.retired += level
                 self.levels[k] = []
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k + 1].append(name)
 
+    def vacuum(self) -> None:
+        """Delete the runs that compaction replaced, once no result that was made before it is still to be read."""
+        for old in self.retired:
+            self.spark.sql(f"DROP TABLE {old}")
+            drop_stored(self.spark, f"{self.folder}/{old}")
+        self.retired = []
+
     def repeated(self, docs: DataFrame, columns: tuple = ()) -> DataFrame:
         """key, list: for each indexed document of docs the windows that also start anywhere else
         (first << 8 | count, in words)."""
@@ -176,16 +182,16 @@ def removed(docs: DataFrame, repeated: DataFrame, window: int, *columns: str, te
     return out if texts else out.withColumnRenamed("kept", "kept_sha256")
 
 
-def dedup(docs: DataFrame, *columns: str, window: int = WINDOW, inner: int = INNER, batches: int = 4, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *columns: str, window: int = WINDOW, inner: int = INNER, batches: int = 2, texts: bool = False) -> DataFrame:
     """Remove every word in a window of `window` words that also starts anywhere else in docs.
 
-    The documents enter the index in `batches` batches, as they would day by day; as many as `fanout` runs, so
-    the last one is compacted. Null and empty texts
+    The documents enter the index in `batches` batches, as they would day by day, with as many runs to a level
+    (from two to four), so that a level is compacted. Null and empty texts
     have no words; texts shorter than a window lose none; repeated doc_ids are separate documents (so
     identical rows remove one another); an empty table gives no rows. Extra columns do no harm.
     """
     docs = keyed(docs, "doc_id", "text", *columns)
-    index = FingerprintIndex(docs.sparkSession, window, inner)
+    index = FingerprintIndex(docs.sparkSession, window, inner, fanout=max(2, min(4, batches)))
     for k in range(batches):
         index.append(docs.where(F.pmod(F.xxhash64("_key"), F.lit(batches)) == k))
     return removed(docs, index.repeated(docs, ("doc_id", *columns)), window, *columns, texts=texts)
