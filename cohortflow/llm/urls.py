@@ -13,9 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Rules as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
+#: Hosts with more than this part of all pages are joined by broadcast; there are fewer of them than this.
+HOT = 200
 
 #: Public suffixes of two labels: fixed values, common ones under which names are registered. Pass others to
 #: judge(); all other hosts end in a suffix of one label.
@@ -114,14 +118,18 @@ def judge(pages: DataFrame, labels: DataFrame, params: Params | None = None, rul
     marks = labels.select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull(), 0).alias("bad"))
     frames = reputation(rows.select("page_id", "host").join(marks, "page_id"), p, suffixes)
     domain, suffix = levels(F.col("host"), suffixes)
-    names = rows.select("host").distinct().select("host", domain.alias("domain"), suffix.alias("suffix"), F.lit("").alias("all"))
+    names = rows.groupBy("host").agg(F.count("*").alias("pages")).select("host", "pages", domain.alias("domain"), suffix.alias("suffix"), F.lit("").alias("all"))
     for level, frame in frames.items():
         low = frame.select(F.col("name").alias(level), bound(F.col("a"), F.col("b"), p.deviations).alias(f"low_{level}"))
         names = names.join(low, level, "left")
-    low = names.select("host", F.coalesce("low_host", "low_domain", "low_suffix", "low_all").alias("bad_bound"))
+    low = stored(names.select("host", "pages", F.coalesce("low_host", "low_domain", "low_suffix", "low_all").alias("bad_bound")))
+    # Fewer than HOT hosts can have more than a share of 1 / HOT of the pages: these are broadcast, the others joined.
+    most = F.broadcast(low.agg(F.sum("pages").alias("every")))  # one row
+    hot = F.broadcast(low.join(most).where(F.col("pages") * HOT > F.col("every")).select("host", "bad_bound"))
+    bounded = rows.join(hot, "host").unionByName(rows.join(hot, "host", "left_anti").join(low.select("host", "bad_bound"), "host"))
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_bound") > p.limit, "block").otherwise("allow")
-    return rows.join(low, "host").select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("bad_bound", 9).alias("bad_bound"))
+    return bounded.select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("bad_bound", 9).alias("bad_bound"))
 
 
 def level_sql(level: str, name: str, above: str, up: str) -> str:
