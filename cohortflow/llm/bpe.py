@@ -7,6 +7,7 @@ per worker and texts are put together by array lookups.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 from array import array
@@ -117,6 +118,16 @@ class SpanEncoder:
         return np.array(self.ids, np.uint32)[at], total[spans.first]
 
 
+def same_ranks(vocabulary: str, ranks: str) -> None:
+    """Raise unless the tokenizers file gives every piece of the rank file (base64 and rank a line) its rank as id."""
+    pieces = SpanEncoder.get(vocabulary, True).pieces
+    with open(ranks, "rb") as f:
+        ranked = {int(rank): base64.b64decode(piece) for piece, rank in (line.split() for line in f if line.strip())}
+    for rank, piece in ranked.items():
+        if rank >= len(pieces) or pieces[rank] != piece:
+            raise ValueError(f"{vocabulary} and {ranks} differ at {rank}")
+
+
 def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     enc = SpanEncoder.get(path, True)
     for batch in batches:
