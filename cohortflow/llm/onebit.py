@@ -65,10 +65,7 @@ def estimate(code: np.ndarray, alignment: np.ndarray, norm: np.ndarray, query: n
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Euclidean distances, summed from the first dimension to the last, so that the same vectors give the same
     number wherever and with whatever others they are."""
-    out = np.zeros(len(x))
-    for column in ((x - q) ** 2).T:
-        out += column
-    return np.sqrt(out)
+    return np.sqrt(((x - q) ** 2).cumsum(1)[:, -1])
 
 
 def search(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
