@@ -6,11 +6,16 @@ buckets: no shuffle); hashes found in more than one place are kept as hits. When
 runs they are compacted into one run of the next level. repeated() verifies: windows behind hits
 are compared by 128 bits of their own hashes, so that equal samples alone remove nothing. Rows of crowded
 hashes (spans.py) are hits anyway: they lie in the runs by kind, and take no part in the merge-joins.
+
+Each append ends by writing a manifest (runs by level, hit tables, crowded hashes) into the index's folder: a
+later session opens the index from there and appends to it. An append that was cut short leaves no manifest, so
+that it can be repeated.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 from functools import partial
@@ -25,20 +30,40 @@ from . import flat, spans
 from .common import drop_stored, keyed, shared_dir, stored
 
 WINDOW, INNER = 35, 12
+MANIFEST = "appends int, change int, state string"
 #: Rows of a run that lie by their own fp.
 BY_FP = f"at >= 0 AND at < {spans.CROWDED}"
 
 
 class FingerprintIndex:
-    def __init__(self, spark: SparkSession, window: int = WINDOW, inner: int = INNER, fanout: int = 4, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, window: int = WINDOW, inner: int = INNER, fanout: int = 4, buckets: int | None = None, folder: str | None = None):
+        """A new index, in a folder of its own below the shared one unless `folder` names another."""
         self.spark, self.window, self.inner, self.fanout = spark, window, inner, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.folder = shared_dir(spark)
+        self.folder = (folder or shared_dir(spark)).rstrip("/")
         self.levels: list[list[str]] = [[]]
         self.retired: list[str] = []
         self.hits: list[DataFrame] = []
         self.crowd = np.zeros(0, np.int64)
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
+        """The index that the newest manifest in `folder` describes; its runs are entered in this session's catalog."""
+        newest = spark.read.schema(MANIFEST).json(f"{folder.rstrip('/')}/manifest_*").orderBy(F.desc("appends"), F.desc("change")).first()
+        state = json.loads(newest.state)
+        index = cls(spark, state["window"], state["inner"], state["fanout"], state["buckets"], folder)
+        index.levels, index.retired = state["levels"], state["retired"]
+        index.crowd = np.array(state["crowd"], np.int64)
+        index.hits = [spark.read.schema("fp long").parquet(f"{index.folder}/hits_{k}") for k in range(newest.appends)]
+        for name in [*index.runs(), *index.retired]:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({spans.ROWS}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {index.buckets} BUCKETS LOCATION '{index.folder}/{name}'")
+        return index
+
+    def save(self, change: int = 0) -> None:
+        state = {x: getattr(self, x) for x in ("window", "inner", "fanout", "buckets", "levels", "retired")} | {"crowd": self.crowd.tolist()}
+        row = self.spark.createDataFrame([(len(self.hits), change, json.dumps(state))], MANIFEST)
+        row.coalesce(1).write.mode("overwrite").json(f"{self.folder}/manifest_{len(self.hits)}_{change}")
+
     def runs(self) -> list[str]:
         return [run for level in self.levels for run in level]
 
@@ -65,6 +90,7 @@ class FingerprintIndex:
         self.hits.append(stored(hits.distinct(), f"{self.folder}/hits_{len(self.hits)}"))
         self.levels[0].append(name)
         self.compact()
+        self.save()
 
     def compact(self) -> None:
         for k, level in enumerate(self.levels):
@@ -82,9 +108,10 @@ class FingerprintIndex:
     def vacuum(self) -> None:
         """Delete the runs that compaction replaced, once no result that was made before it is still to be read."""
         for old in self.retired:
-            self.spark.sql(f"DROP TABLE {old}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {old}")
             drop_stored(self.spark, f"{self.folder}/{old}")
         self.retired = []
+        self.save(change=1)
 
     def repeated(self, docs: DataFrame, columns: tuple = ()) -> DataFrame:
         """key, list: for each indexed document of docs the windows that also start anywhere else

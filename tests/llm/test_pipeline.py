@@ -36,3 +36,30 @@ def test_pipeline(spark, data, tmp_path):
 
     check_packed(kept["packing"], ids_of(got), 2048)
     assert corpus_pipeline.run(spark, data).count() == len(kept["packing"])
+
+
+def test_stages_on_odd_rows(spark, data, docs, odd, none, tmp_path):
+    """Nulls in every column, null and repeated ids, repeated rows, an empty table, columns named as the
+    operators' own: no stage fails, and all but the last keep the columns of their input."""
+    nulls = spark.createDataFrame([(None,) * len(docs.columns)] * 2, docs.schema)
+    rows = docs.unionByName(odd).unionByName(nulls)
+    for which, at in (("rows", rows), ("none", none)):
+        n = at.count()
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            path = str(tmp_path / which / name)
+            stage(spark, at, data).write.parquet(path)
+            out = spark.read.parquet(path)
+            if name == "packing":
+                assert out.where("start = 0").count() == n and ("sequence_id" in out.columns)
+            else:
+                assert out.dtypes == at.dtypes and out.count() <= n
+                at, n = out, out.count()
+        assert (n > 0) == (which == "rows")
+    quality_of = dict(corpus_pipeline.STAGES)["quality"]
+    labelled = spark.read.parquet(f"{data}/documents.parquet")
+    for column in ("key", "kept", "score", "predicted", "label", "_key"):
+        labelled = labelled.withColumn(column, labelled.doc_id)
+    more = labelled.unionByName(labelled.limit(3)).unionByName(nulls, allowMissingColumns=True).drop("list")
+    out = quality_of(spark, more, data)
+    assert out.columns == more.columns and 0 < out.count() < more.count()
+    assert out.where("doc_id IS NOT NULL AND NOT score <=> doc_id").count() == 0

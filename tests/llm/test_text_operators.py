@@ -159,6 +159,26 @@ def test_substring_in_batches_and_with_odd_ids(docs, texts, odd):
     assert sorted(r.n_removed for r in substring.dedup(odd).collect()) == [0, 0, 0, 0, 120, 120, 120]
 
 
+def test_substring_index_reopened(spark, docs, texts):
+    """A second handle, which knows only the folder and no table names, goes on with the index."""
+    keyed = docs.selectExpr("doc_id AS _key", "doc_id", "text")
+    part = lambda k: keyed.where(f"doc_id % 5 = {k}")
+    first = substring.FingerprintIndex(spark, fanout=2, buckets=3)
+    for k in range(3):
+        first.append(part(k))
+    for name in [*first.runs(), *first.retired]:
+        spark.sql(f"DROP TABLE {name}")  # external: the files stay
+    again = substring.FingerprintIndex.open(spark, first.folder)
+    assert again.levels == first.levels and again.retired == first.retired and again.buckets == 3
+    again.append(part(3))
+    again.vacuum()
+    third = substring.FingerprintIndex.open(spark, first.folder)
+    assert third.retired == [] and third.levels == again.levels
+    third.append(part(4))
+    got = {r.doc_id: r.n_removed for r in substring.removed(keyed, third.repeated(keyed), substring.WINDOW).collect()}
+    assert got == {i: x[1] for i, x in brute.substring(texts).items()}
+
+
 # 6 licenses
 
 
