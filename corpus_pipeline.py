@@ -13,17 +13,22 @@ from cohortflow.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. Null and empty texts have a score as others do; repeated rows
+    are judged each for itself; an empty table stays empty."""
     model = quality.fit_on_labels(docs, table(spark, sf_dir, "labels"))
     renamed, _ = aside(docs, "doc_id", "text")
     return back(quality.score(renamed, model).where(F.col("predicted") == 1), docs.columns, "doc_id", "text")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the first by id (null ids first). Null texts count as
+    empty; empty texts are copies of one another; texts of one to four words are near copies of equal words only."""
     return minhash.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; so do documents of which nothing is left. Others stay as they are."""
+    """Repeated passages go; so do documents of which nothing is left. Others
+    stay as they are, but null texts become empty."""
     plain = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
     renamed, others = aside(docs, *plain)
     out = substring.dedup(renamed, *others, texts=True)
@@ -33,6 +38,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences; null and empty texts are their end id alone."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
