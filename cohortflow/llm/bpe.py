@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding (operator 7), and the chunk encoder that packing shares.
 
 A text is cut into spans of white space plus word (flat.chunks). Pre-tokenizer matches never cross
-such a cut, so equal spans have equal ids wherever they stand: each distinct span is encoded once
-per worker and texts are put together by array lookups.
+such a cut, so equal spans have equal ids wherever they stand: each distinct span, told by all its bytes, is
+encoded once per worker and texts are put together by array lookups.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 from . import flat
 from .common import small_batches
 
-#: Distinct spans that a worker remembers before it starts anew.
-REMEMBERED = 600_000
+#: Distinct spans, and bytes of them, that a worker remembers before it starts anew.
+REMEMBERED, REMEMBERED_BYTES = 600_000, 64 << 20
 
 
 def byte_table() -> dict[str, int]:
@@ -68,7 +67,8 @@ class SpanEncoder:
         return cls._known[key]
 
     def reset(self) -> None:
-        self.at: dict[int, int] = {}
+        self.at: dict[bytes, int] = {}
+        self.held = 0
         self.ids = array("I")
         self.ends = array("q", [0])
         self.names: list[bytes] = []
@@ -85,25 +85,20 @@ class SpanEncoder:
 
     def look_up(self, s: flat.Slice, spans: flat.Words) -> np.ndarray:
         """For each span its number: its ids are ids[ends[number] : ends[number + 1]]."""
-        if len(self.at) > REMEMBERED:
+        if len(self.at) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.reset()
-        if not len(spans.hash):
-            return np.zeros(0, np.int64)
-        codes, distinct = pd.factorize(spans.hash)
-        first = np.zeros(len(distinct), np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        place = np.array([self.at.get(h, -1) for h in distinct.tolist()], np.int64)
-        new = np.flatnonzero(place < 0)
-        raw = s.data.tobytes()
-        for h, k, a, b in zip(distinct[new].tolist(), new.tolist(), spans.start[first[new]].tolist(), spans.end[first[new]].tolist(), strict=True):
-            place[k] = self.at[h] = len(self.ends) - 1
-            ids = self.span_ids(raw[a:b])
+        raw, at = s.data.tobytes(), self.at
+        cut = [raw[a:b] for a, b in zip(spans.start.tolist(), spans.end.tolist(), strict=True)]
+        for span in [x for x in dict.fromkeys(cut) if x not in at]:
+            at[span] = len(self.ends) - 1
+            self.held += len(span)
+            ids = self.span_ids(span)
             self.ids.extend(ids)
             self.ends.append(len(self.ids))
             if self.byte_level:
                 self.names.append(b" ".join([self.numbers[i] for i in ids]))
                 self.bytes.append(b"".join([self.pieces[i] for i in ids]))
-        return place[codes]
+        return np.fromiter(map(at.__getitem__, cut), np.int64, len(cut))
 
     def lengths(self, place: np.ndarray) -> np.ndarray:
         return np.diff(np.array(self.ends))[place]
@@ -149,7 +144,8 @@ def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the token count and sha256 of the ids and of the bytes decoded from them.
 
-    Null and empty texts have no ids. No shuffle: one pass over the text column.
+    Null and empty texts have no ids; repeated and null ids and repeated rows are documents of their own; an empty
+    table gives no rows; other columns are not read, whatever their names. No shuffle: one pass over the text column.
     """
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
@@ -160,7 +156,7 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: ids, and for each id its byte span [start, end) in the UTF-8 text.
 
-    One character may be split over several ids; the spans of such ids lie inside it.
+    One character may be split over several ids; the spans of such ids lie inside it. Odd rows as in digests().
     """
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
@@ -183,7 +179,8 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     """Adds `bytes` (exact) and `text`: a character whose bytes are split over ids is joined again; bytes
-    that make no character, as after a cut inside one, become U+FFFD. Null ids give null; unknown ids fail."""
+    that make no character, as after a cut inside one, become U+FFFD. Null ids give null; unknown ids fail. Columns
+    `bytes` and `text` of `encoded` are replaced, all others stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = SpanEncoder.get(vocabulary, True).pieces

@@ -14,8 +14,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+#: Hashes are polynomials modulo the prime 2^61 - 1. Two families: pairs that agree in one by chance differ in the other.
+PRIME = np.uint64((1 << 61) - 1)
+_BASES = (0x0E3779B97F4A7C15, 0x1B54A32D192ED03F)
+#: Numbers that are worked on at once: they stay in a core's cache.
+BLOCK = 1 << 13
+_powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in _BASES]
 
 #: Bytes that separate words: space and \t \n \v \f \r.
 IS_SPACE = np.zeros(256, bool)
@@ -37,34 +41,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo PRIME."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.minimum(x, x - PRIME)  # x - PRIME wraps to a huge number where x is below PRIME
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    global _powers
-    if len(_powers[0]) < n:
-        n = max(n, 2 * len(_powers[0]))
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            out.append(np.cumprod(x, dtype=np.uint64))
-        _powers = (out[0], out[1])
-    return _powers
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it, by halves of 31 bits, so that nothing exceeds 64 bits."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    return reduced(((a1 * b1) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + a0 * b0)
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values[i] * base**i; with span_hash() any span's polynomial hash in constant time."""
-    up, _ = powers(len(values) + 1)
+def powers(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a family's base and of its inverse modulo PRIME, at least n of each."""
+    if len(_powers[family][0]) < n:
+        out = []
+        for base, known in zip((_BASES[family], pow(_BASES[family], -1, int(PRIME))), _powers[family], strict=True):
+            while len(known) < n:
+                known = np.concatenate([known, times(known, np.uint64(pow(base, len(known), int(PRIME))))])
+            out.append(known)
+        _powers[family] = (out[0], out[1])
+    return _powers[family]
+
+
+def prefix(values: np.ndarray, family: int = 0) -> np.ndarray:
+    """Prefix sums of values[i] * base**i; with span_hash() any span's polynomial hash in constant time. Bytes
+    count from 1, so that zeros tell; their products with half a power need no reduction."""
+    up, _ = powers(len(values) + 1, family)
+    half, low31, low30 = np.uint64(31), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+    last = np.uint64(0)
+    for lo in range(0, len(values), BLOCK):
+        hi = min(lo + BLOCK, len(values))
+        if values.dtype == np.uint8:
+            v = values[lo:hi].astype(np.uint64) + np.uint64(1)
+            low, high = np.cumsum((up[lo:hi] & low31) * v), np.cumsum((up[lo:hi] >> half) * v)
+        else:
+            term = times(up[lo:hi], reduced(values[lo:hi]))
+            low, high = np.cumsum(term & low31), np.cumsum(term >> half)
+        out[lo + 1 : hi + 1] = reduced(((high & low30) << half) + (high >> np.uint64(30)) + low + last)
+        last = out[hi]
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
+    _, down = powers(len(sums), family)
+    out = np.empty(len(start), np.uint64)
+    for lo in range(0, len(start), BLOCK):
+        a, b = start[lo : lo + BLOCK], end[lo : lo + BLOCK]
+        value = times(reduced(sums[b] + (PRIME - sums[a])), down[a])
+        out[lo : lo + BLOCK] = mix(value ^ (b - a).astype(np.uint64) << np.uint64(40))
+    return out
 
 
 @dataclass
@@ -114,7 +144,7 @@ def words(s: Slice) -> Words:
     a, b = s.off[:-1][filled], s.off[1:][filled] - 1
     begin[a], stop[b] = word[a], word[b]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    return Words(start, end, np.searchsorted(start, s.off), span_hash(prefix(BYTE_VALUE[s.data]), start, end))
+    return Words(start, end, np.searchsorted(start, s.off), span_hash(prefix(s.data), start, end))
 
 
 def chunks(s: Slice) -> Words:
@@ -122,7 +152,7 @@ def chunks(s: Slice) -> Words:
 
     A cut lies where an ASCII space follows a byte that cannot end a Unicode space, and where an ASCII
     mark follows an ASCII letter: every pre-tokenizer that joins neither pair treats the spans
-    independently.
+    independently. Spans have no hashes: they are told apart by their bytes.
     """
     data = s.data
     space = IS_SPACE[data]
@@ -136,7 +166,7 @@ def chunks(s: Slice) -> Words:
     cut[s.off[:-1][filled]] = True
     start = np.flatnonzero(cut)
     end = np.append(start[1:], len(data)) if len(start) else start
-    return Words(start, end, np.searchsorted(start, s.off), span_hash(prefix(BYTE_VALUE[data]), start, end))
+    return Words(start, end, np.searchsorted(start, s.off), np.zeros(0, np.uint64))
 
 
 def leftmost_min(h: np.ndarray, width: int) -> np.ndarray:

@@ -13,7 +13,7 @@ copies within TOGETHER rows of a task are marked at once (at < 0, fp spread over
 a third of all documents share then sends two rows in TOGETHER, not one a document, to its partition.
 
 A passage in ever different surroundings has one fp and as many kinds. crowded() finds such fps in a sample of
-the documents; it decides only how rows are dealt, never what is removed. Their rows (at >= CROWDED, fp ^ span
+the documents; it decides only how rows are dealt(), never what is removed. Their rows (at >= CROWDED, fp ^ span
 for fp) are spread over all partitions by kind, all kinds are edges, and their windows are dealt one by one.
 """
 
@@ -28,11 +28,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import flat
+from .common import stored
 
 TOGETHER = 1 << 18
 CROWDED = 1 << 62
-#: An fp is crowded with CROWD rows or more in one of SAMPLE documents: some 1,000 rows in all.
-SAMPLE, CROWD = 64, 16
+#: An fp is crowded with CROWD rows or more in one of SAMPLE documents: some 256 rows in all.
+SAMPLE, CROWD = 32, 8
+#: Crowded fps up to which they are broadcast (8 bytes each); more of them are joined by shuffle.
+BROADCAST_CROWD = 1 << 18
 ROWS = "fp long, span long, key long, at long"
 
 
@@ -41,15 +44,15 @@ def units(s: flat.Slice, by: str) -> tuple[np.ndarray, np.ndarray]:
     if by == "words":
         w = flat.words(s)
         return flat.prefix(w.hash), w.first
-    return flat.prefix(flat.BYTE_VALUE[s.data]), s.off
+    return flat.prefix(s.data), s.off
 
 
 def copies_before(fp: np.ndarray, span: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How many rows with the same fp and span are smaller by key and at, whatever the order of the rows."""
-    both = fp.view(np.uint64) ^ flat.mix(span.view(np.uint64))
-    order = np.lexsort((at, key, both))
+    order = np.lexsort((at, key, span, fp))
+    a, b = order[1:], order[:-1]
     same = np.zeros(len(order), bool)
-    same[1:] = both[order[1:]] == both[order[:-1]]
+    same[1:] = (fp[a] == fp[b]) & (span[a] == span[b])
     i = np.arange(len(order))
     out = np.empty(len(order), np.int64)
     out[order] = i - np.maximum.accumulate(np.where(same, 0, i))
@@ -73,15 +76,25 @@ def runs(key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[start], first[start] << 8 | np.diff(np.append(start, len(key)))
 
 
-def crowded(docs: DataFrame, by: str, window: int, inner: int) -> np.ndarray:
-    """The crowded fps, in order. They are rows / (SAMPLE * CROWD) at most."""
+def crowded(docs: DataFrame, by: str, window: int, inner: int, path: str | None = None) -> DataFrame:
+    """fp: the crowded ones, a stored table of rows / (SAMPLE * CROWD) at most."""
     sample = docs.where(F.pmod(F.xxhash64("_key", F.lit("sample")), F.lit(SAMPLE)) == 0)
     counts = winnowed(sample, by, window, inner).where("at >= 0").groupBy("fp").count()
-    return np.sort(counts.where(F.col("count") >= CROWD).select("fp").toArrow().column(0).to_numpy())
+    return stored(counts.where(F.col("count") >= CROWD).select("fp"), path)
 
 
-def winnowed(docs: DataFrame, by: str, window: int, inner: int, crowd: np.ndarray | None = None) -> DataFrame:
-    """docs: _key, text. crowd: fps whose rows are dealt by kind."""
+def dealt(rows: DataFrame, crowd: DataFrame) -> DataFrame:
+    """rows of winnowed(), those of crowded fps dealt by kind. crowd: fp, distinct."""
+    few = crowd.limit(BROADCAST_CROWD + 1).count() <= BROADCAST_CROWD
+    marked = crowd.withColumn("c", F.lit(True))
+    of_crowd = F.col("c").isNotNull() & (F.col("at") >= 0) & (F.col("at") < F.lit(CROWDED))
+    fp = F.when(of_crowd, F.col("fp").bitwiseXOR(F.col("span"))).otherwise(F.col("fp"))
+    at = F.when(of_crowd, F.col("at") + F.lit(CROWDED)).otherwise(F.col("at"))
+    return rows.join(F.broadcast(marked) if few else marked, "fp", "left").select(fp.alias("fp"), "span", "key", at.alias("at"))
+
+
+def winnowed(docs: DataFrame, by: str, window: int, inner: int) -> DataFrame:
+    """docs: _key, text."""
     if window - inner > 254:
         raise ValueError("windows that share an inner hash are counted in 8 bits: window - inner is at most 254")
 
@@ -89,9 +102,6 @@ def winnowed(docs: DataFrame, by: str, window: int, inner: int, crowd: np.ndarra
         fp, span, key, at = (np.concatenate(x).astype(np.int64, copy=False) for x in zip(*found, strict=True))
         more = copies_before(fp, span, key, at) >= 2
         at = np.where(more, -1 - at, at)
-        if crowd is not None and len(crowd):
-            of_crowd = ~more & (crowd[np.minimum(np.searchsorted(crowd, fp), len(crowd) - 1)] == fp)
-            at, fp = np.where(of_crowd, at | CROWDED, at), np.where(of_crowd, fp ^ span, fp)
         fp = np.where(more, spread(key, at), fp)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, span, key, at)], ["fp", "span", "key", "at"])
 

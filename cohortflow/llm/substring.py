@@ -7,7 +7,7 @@ runs they are compacted into one run of the next level. repeated() verifies: win
 are compared by 128 bits of their own hashes, so that equal samples alone remove nothing. Rows of crowded
 hashes (spans.py) are hits anyway: they lie in the runs by kind, and take no part in the merge-joins.
 
-Each append ends by writing a manifest (runs by level, hit tables, crowded hashes) into the index's folder: a
+Each append ends by writing a manifest (runs by level, number of hit tables and tables of crowded hashes) into the index's folder: a
 later session opens the index from there and appends to it. An append that was cut short leaves no manifest, so
 that it can be repeated.
 """
@@ -18,7 +18,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,10 @@ MANIFEST = "appends int, change int, state string"
 BY_FP = f"at >= 0 AND at < {spans.CROWDED}"
 
 
+def union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, frames)
+
+
 class FingerprintIndex:
     def __init__(self, spark: SparkSession, window: int = WINDOW, inner: int = INNER, fanout: int = 4, buckets: int | None = None, folder: str | None = None):
         """A new index, in a folder of its own below the shared one unless `folder` names another."""
@@ -44,7 +48,7 @@ class FingerprintIndex:
         self.levels: list[list[str]] = [[]]
         self.retired: list[str] = []
         self.hits: list[DataFrame] = []
-        self.crowd = np.zeros(0, np.int64)
+        self.crowds: list[DataFrame] = []
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
@@ -53,14 +57,13 @@ class FingerprintIndex:
         state = json.loads(newest.state)
         index = cls(spark, state["window"], state["inner"], state["fanout"], state["buckets"], folder)
         index.levels, index.retired = state["levels"], state["retired"]
-        index.crowd = np.array(state["crowd"], np.int64)
-        index.hits = [spark.read.schema("fp long").parquet(f"{index.folder}/hits_{k}") for k in range(newest.appends)]
+        index.hits, index.crowds = ([spark.read.schema("fp long").parquet(f"{index.folder}/{kind}_{k}") for k in range(newest.appends)] for kind in ("hits", "crowd"))
         for name in [*index.runs(), *index.retired]:
             spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({spans.ROWS}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {index.buckets} BUCKETS LOCATION '{index.folder}/{name}'")
         return index
 
     def save(self, change: int = 0) -> None:
-        state = {x: getattr(self, x) for x in ("window", "inner", "fanout", "buckets", "levels", "retired")} | {"crowd": self.crowd.tolist()}
+        state = {x: getattr(self, x) for x in ("window", "inner", "fanout", "buckets", "levels", "retired")}
         row = self.spark.createDataFrame([(len(self.hits), change, json.dumps(state))], MANIFEST)
         row.coalesce(1).write.mode("overwrite").json(f"{self.folder}/manifest_{len(self.hits)}_{change}")
 
@@ -75,19 +78,15 @@ class FingerprintIndex:
 
     def append(self, docs: DataFrame) -> None:
         """docs: _key (unique over all batches), text."""
-        crowd = spans.crowded(docs, "words", self.window, self.inner)
-        self.crowd = crowd = np.union1d(self.crowd, crowd)
-        name = self.write_run(spans.winnowed(docs, "words", self.window, self.inner, crowd))
+        mine = spans.crowded(docs, "words", self.window, self.inner, f"{self.folder}/crowd_{len(self.crowds)}")
+        crowd = union([*self.crowds, mine]).distinct()
+        name = self.write_run(spans.dealt(spans.winnowed(docs, "words", self.window, self.inner), crowd))
         new = self.spark.table(name).where(BY_FP).select("fp")
         found = [new.groupBy("fp").count().where("count > 1").select("fp")]
         for old in self.runs():
             found.append(new.join(self.spark.table(old).where(BY_FP).select("fp").hint("merge"), "fp", "left_semi"))
-        if len(crowd):
-            found.append(self.spark.createDataFrame(pa.table({"fp": crowd})))
-        hits = found[0]
-        for x in found[1:]:
-            hits = hits.union(x)
-        self.hits.append(stored(hits.distinct(), f"{self.folder}/hits_{len(self.hits)}"))
+        self.hits.append(stored(union([*found, crowd]).distinct(), f"{self.folder}/hits_{len(self.hits)}"))
+        self.crowds.append(mine)
         self.levels[0].append(name)
         self.compact()
         self.save()
@@ -116,21 +115,16 @@ class FingerprintIndex:
     def repeated(self, docs: DataFrame, columns: tuple = ()) -> DataFrame:
         """key, list: for each indexed document of docs the windows that also start anywhere else
         (first << 8 | count, in words)."""
-        hits = self.hits[0]
-        for x in self.hits[1:]:
-            hits = hits.union(x)
-        hits = hits.distinct()
+        hits = union(self.hits).distinct()
         rows = marked = None
         for name in self.runs():
             run = self.spark.table(name)
             part, done = run.where(BY_FP).join(hits, "fp", "left_semi"), run.where("at < 0")
             rows, marked = (part, done) if rows is None else (rows.unionByName(part), marked.unionByName(done))
-        crowd = np.union1d(self.crowd, spans.crowded(docs, "words", self.window, self.inner))
-        if len(crowd):  # as winnowed() does, for runs in which these hashes were not crowded yet
-            of_crowd = F.broadcast(self.spark.createDataFrame(pa.table({"fp": crowd})).withColumn("c", F.lit(True)))
-            rows = rows.join(of_crowd, "fp", "left").select(F.when(F.col("c"), F.col("fp").bitwiseXOR(F.col("span"))).otherwise(F.col("fp")).alias("fp"), "span", "key", F.when(F.col("c"), F.col("at") + F.lit(spans.CROWDED)).otherwise(F.col("at")).alias("at"))
-            for name in self.runs():
-                rows = rows.unionByName(self.spark.table(name).where(f"at >= {spans.CROWDED}"))
+        # in earlier runs, hashes that became crowded later, or over all batches together, still lie by their own fp
+        rows = spans.dealt(rows, union([*self.crowds, spans.crowded(docs, "words", self.window, self.inner)]).distinct())
+        for name in self.runs():
+            rows = rows.unionByName(self.spark.table(name).where(f"at >= {spans.CROWDED}"))
         judged = spans.judged(rows, later_only=False)
         whole = judged.where("whole").select("key", "at").union(marked.select("key", (-1 - F.col("at")).alias("at")))
         edges = spans.lists(judged.where("edge"), F.struct(F.when(F.col("crowded"), F.lit(0)).otherwise(F.col("fp")).alias("fp"), "at", "whole"))
@@ -141,12 +135,10 @@ class FingerprintIndex:
 
 
 def window_hashes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Two hashes of each window of the edges: over the words' hashes, and over their bytes.
+    """Two hashes of each window of the edges: over the words' hashes, and over their bytes' hashes of the other family.
 
     Third and further copies within spans.TOGETHER windows go (at < 0, in runs); the two before them tell others.
     """
-    second = flat.mix(np.arange(1, 257, dtype=np.uint64) << np.uint64(20))
-
     def flush(found: list) -> pa.RecordBatch:
         fp, h1, h2, key, at, whole = (np.concatenate(x) for x in zip(*found, strict=True))
         more = spans.copies_before(h1, h2, key, at) >= 2
@@ -161,7 +153,7 @@ def window_hashes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         for s in flat.slices(batch.column(1), 1 << 18):
             w = flat.words(s)
-            sums, raw = flat.prefix(w.hash), flat.prefix(second[s.data])
+            sums, raw = flat.prefix(w.hash), flat.prefix(s.data, 1)
             row, fp, at, whole = spans.listed(batch.column(2), s.lo, s.hi)
             count = at & 255
             e = np.repeat(np.arange(len(at)), count)
@@ -169,7 +161,7 @@ def window_hashes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
             i = w.first[row[e] - s.lo] + first
             inside = np.zeros(len(e), np.uint64)
             for k in range(window):  # words alone, not the white space between them
-                inside = flat.mix(inside + flat.span_hash(raw, w.start[i + k], w.end[i + k]))
+                inside = flat.mix(inside + flat.span_hash(raw, w.start[i + k], w.end[i + k], 1))
             found.append((fp[e], flat.span_hash(sums, i, i + window).view(np.int64), inside.view(np.int64), keys[row[e]], first << 8 | 1, whole[e].astype(bool)))
             size += len(e)
             if size >= spans.TOGETHER:

@@ -237,7 +237,7 @@ def snippets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             row, fp, at, crowded = spans.listed(batch.column(2), s.lo, s.hi)
             crowded = crowded.astype(bool)
             if crowded.any():
-                sums = flat.prefix(flat.BYTE_VALUE[s.data])
+                sums = flat.prefix(s.data)
                 r, first = row[crowded], at[crowded] >> 8
                 count = at[crowded] & 255
                 step = TOGETHER // 256  # edges, of at most 255 windows
@@ -266,7 +266,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, inner: int = INNER, shard_by
     """key, list: the windows of each document that also start earlier (first << 8 | count, in bytes)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     crowd = spans.crowded(docs, "bytes", window, inner)
-    rows = spans.winnowed(docs, "bytes", window, inner, crowd).repartition(parts, "fp")
+    rows = spans.dealt(spans.winnowed(docs, "bytes", window, inner), crowd).repartition(parts, "fp")
     judged = spans.judged(rows, later_only=True).where("whole OR edge")
     edges = spans.lists(judged.where("edge"), F.struct("fp", "at", "crowded"))
     cuts = spans.with_text(docs, edges, "inner", partial(snippets, window=window), "fp long, key long, at long, cut binary", *columns)

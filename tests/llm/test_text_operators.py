@@ -14,6 +14,40 @@ from cohortflow.llm.queries import tokenizer_path
 NONE = hashlib.sha256(b"").hexdigest()
 
 
+def thue_morse(n):
+    """A word and the same word with its two letters swapped: sums modulo a power of two do not tell them."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def swapped(spark, before=""):
+    rows = [(i, before + x) for i, x in enumerate(y for n in (1024, 2048, 4096) for y in thue_morse(n))]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")).coalesce(1), dict(rows)
+
+
+def test_swapped_letters_are_other_texts(spark):
+    docs, texts = swapped(spark)
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == {i: i for i in texts}
+    got = {r.doc_id: r.decoded_sha256 for r in bpe.digests(docs, tokenizer_path("byte_bpe_50k.json")).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+    check_packed(packing.pack(docs, tokenizer_path("word_bpe_49k.json")).collect(), ids_of(texts), 2048)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup(docs).collect()} == brute.suffix(texts)
+    docs, texts = swapped(spark, " ".join(f"c{i}" for i in range(34)) + " ")
+    assert {r.doc_id: r.n_removed for r in substring.dedup(docs).collect()} == {i: x[1] for i, x in brute.substring(texts).items()} == dict.fromkeys(texts, 0)
+
+
+def test_hashes_modulo_a_prime():
+    p, rng = int(flat.PRIME), np.random.default_rng(8)
+    a, b = (rng.integers(0, p, 300).astype(np.uint64) for _ in range(2))
+    assert [int(x) for x in flat.times(a, b)] == [int(x) * int(y) % p for x, y in zip(a, b)]
+    for values in (a, rng.integers(0, 256, 20_000).astype(np.uint8)):
+        for family in (0, 1):
+            sums, have, power = flat.prefix(values, family), 0, 1
+            for x, v in zip(sums.tolist(), values.tolist()):
+                assert x == have
+                have, power = (have + (v + (values.dtype == np.uint8)) * power) % p, power * flat._BASES[family] % p
+
+
 # 1 quality
 
 
