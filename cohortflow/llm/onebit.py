@@ -33,6 +33,22 @@ class Params:
     spread: int = 64  # parts of the chunks that a block of queries meets in different tasks
 
 
+#: Norms whose squares and their sums are far from the limits of double precision. Vectors beyond them
+#: have no estimate and are always reranked.
+LEAST, MOST = 1e-120, 1e120
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and norms, by way of each vector's largest component, so that no square under- or overflows.
+    A norm beyond LEAST and MOST is NaN."""
+    largest = np.abs(x).max(axis=1, keepdims=True)
+    scaled = x / np.ldexp(1.0, np.frexp(largest)[1] - 1)
+    size = np.linalg.norm(scaled, axis=1)
+    with np.errstate(over="ignore"):
+        norm = np.ldexp(size, np.frexp(largest[:, 0])[1] - 1)
+    return scaled / size[:, None], np.where((norm >= LEAST) & (norm <= MOST), norm, np.nan)
+
+
 def encode(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     """Chunks of the index: d, keys, the vectors themselves, their norms, codes and alignments."""
     for batch in batches:
@@ -42,8 +58,8 @@ def encode(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBa
                 mine = rows[lo : lo + p.chunk]
                 x = V.matrix(batch.column(1).take(pa.array(mine)))
                 d = x.shape[1]
-                norm = np.linalg.norm(x, axis=1)
-                turned = (x / norm[:, None]) @ V.rotation(d, p.seed)
+                unit, norm = directions(x)
+                turned = unit @ V.rotation(d, p.seed)
                 code = np.packbits(turned > 0, axis=1)
                 alignment = np.abs(turned).sum(1) / np.sqrt(d)
                 arrays = [np.array([d], np.int32), *([x.tobytes()] for x in (keys[mine].astype(np.int64), x, norm, code, alignment))]
@@ -54,18 +70,27 @@ def estimate(code: np.ndarray, alignment: np.ndarray, norm: np.ndarray, query: n
     """Squared distances to each query (rows) as estimated, and the least they can well be."""
     d = query.shape[1]
     signs = np.unpackbits(code, axis=1, count=d).astype(np.float32) * 2 - 1
-    size = np.linalg.norm(query, axis=1)
-    turned = ((query / size[:, None]) @ V.rotation(d, p.seed)).astype(np.float32)
+    unit, size = directions(query)
+    turned = (unit @ V.rotation(d, p.seed)).astype(np.float32)
     cosine = (turned @ signs.T) / np.sqrt(d) / alignment
     error = p.epsilon * np.sqrt(np.maximum(1 / alignment**2 - 1, 0) / max(d - 1, 1))
     base, twice = size[:, None] ** 2 + norm**2, 2 * size[:, None] * norm
-    return base - twice * cosine, base - twice * np.minimum(cosine + error, 1)
+    near, least = base - twice * cosine, base - twice * np.minimum(cosine + error, 1)
+    return np.where(np.isnan(near), np.inf, near), np.where(np.isnan(least), -np.inf, least)
 
 
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Euclidean distances, summed from the first dimension to the last, so that the same vectors give the same
-    number wherever and with whatever others they are."""
-    return np.sqrt(((x - q) ** 2).cumsum(1)[:, -1])
+    number wherever and with whatever others they are. Where squares would under- or overflow they are scaled."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        gap = x - q
+        out = np.sqrt((gap**2).cumsum(1)[:, -1])
+        largest = np.abs(gap).max(1)
+        odd = np.flatnonzero((largest > 0) & ((largest < LEAST) | (largest > MOST)) & np.isfinite(largest))
+        if len(odd):
+            scale = np.ldexp(1.0, np.frexp(largest[odd])[1] - 1)
+            out[odd] = scale * np.sqrt(((gap[odd] / scale[:, None]) ** 2).cumsum(1)[:, -1])
+    return out
 
 
 def search(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
@@ -83,7 +108,7 @@ def search(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBa
                 own = keys == query_keys[i]
                 guess = np.where(own, np.inf, near[i])
                 first = np.argpartition(guess, p.k - 1)[: p.k] if len(guess) > p.k else np.arange(len(guess))
-                bound = ((x[first] - q) ** 2).sum(1)[~own[first]].max(initial=0) if len(guess) > p.k else np.inf
+                bound = distances(x[first[~own[first]]], q).max(initial=0) ** 2 if len(guess) > p.k else np.inf
                 look = np.flatnonzero((least[i] <= bound * (1 + 1e-6)) & ~own)
                 look = np.union1d(look, first[~own[first]])
                 exact = distances(x[look], q)
@@ -98,7 +123,9 @@ def nearest(vectors: DataFrame, is_query: Column, params: Params | None = None,
 
     Queries meet all rows block by block; equal distances are ordered by vec_id. Vectors that are null,
     zero, or hold null or non-finite components take no part; vectors of another dimension are no
-    candidates. Fewer candidates than k: all of them. If ids repeat or are null, rows are numbered by (id,
+    candidates. Components of any size count, however small or large; a distance beyond double precision is
+    infinite. Fewer candidates than k: all of them. Repeated vectors are candidates of one another; other columns
+    are not read, whatever their names. If ids repeat or are null, rows are numbered by (id,
     vector) and ids in the result are the numbers. An empty table gives no rows.
     """
     p = params or Params()

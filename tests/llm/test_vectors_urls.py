@@ -128,3 +128,21 @@ def test_url_reputation(spark):
     labels = spark.createDataFrame([(i, 0, 1) for i in range(40)] + [(100 + i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     got = {r.page_id: r.verdict for r in urls.judge(pages, labels).collect()}
     assert got[200] == "block" and got[201] == "allow" and got[202] == "block"
+
+
+def test_onebit_keeps_tiny_and_huge_vectors(spark):
+    """Squares of such components vanish or overflow; the vectors are candidates and queries all the same."""
+    rng = np.random.default_rng(4)
+    unit = rng.standard_normal((400, 16))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    rows = {i: unit[i] for i in range(400)} | {500: np.full(16, 1e-200), 600: np.full(16, 3e-200), 700: np.full(16, 1e200), 800: np.full(16, 2e200), 801: unit[0], 802: unit[0]}
+    frame = spark.createDataFrame([(i, v.tolist(), "x") for i, v in rows.items()], "vec_id long, embedding array<double>, score string")
+    got = {}
+    for r in sorted(onebit.nearest(frame, F.col("vec_id") % 100 == 0).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    length = lambda v: float(np.abs(v).max() and np.abs(v).max() * np.linalg.norm(v / np.abs(v).max()))
+    for q in (0, 100, 500, 600, 700, 800):
+        want = sorted((length(rows[i] - rows[q]), i) for i in rows if i != q)[:10]
+        assert [s for _, s in got[q]] == pytest.approx([s for s, _ in want], rel=1e-9)
+    assert [i for i, _ in got[0]][:2] == [801, 802] and 500 in [i for i, _ in got[0]]
+    assert got[500][0][0] == 600 and got[700][0][0] == 800
