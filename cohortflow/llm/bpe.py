@@ -42,7 +42,7 @@ class SpanEncoder:
 
     _known: dict[tuple, SpanEncoder] = {}
 
-    def __init__(self, path: str, byte_level: bool):
+    def __init__(self, path: str, byte_level: bool, specials: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -50,7 +50,8 @@ class SpanEncoder:
         self.byte_level = byte_level
         back = byte_table()
         self.shown = {b: c for c, b in back.items()}
-        if byte_level:
+        self.decodes = byte_level and not specials
+        if self.decodes:
             self.tokenizer.encode_special_tokens = True  # their strings are then text like any other
             vocab = self.tokenizer.get_vocab(with_added_tokens=False)
             self.pieces = [b""] * (max(vocab.values()) + 1)
@@ -60,8 +61,9 @@ class SpanEncoder:
         self.reset()
 
     @classmethod
-    def get(cls, path: str, byte_level: bool) -> SpanEncoder:
-        key = (path, byte_level)
+    def get(cls, path: str, byte_level: bool, specials: bool = False) -> SpanEncoder:
+        """specials: a byte-level vocabulary's special tokens keep their own ids where their strings stand in a text."""
+        key = (path, byte_level, specials)
         if key not in cls._known:
             cls._known[key] = cls(*key)
         return cls._known[key]
@@ -95,7 +97,7 @@ class SpanEncoder:
             ids = self.span_ids(span)
             self.ids.extend(ids)
             self.ends.append(len(self.ids))
-            if self.byte_level:
+            if self.decodes:
                 self.names.append(b" ".join([self.numbers[i] for i in ids]))
                 self.bytes.append(b"".join([self.pieces[i] for i in ids]))
         return np.fromiter(map(at.__getitem__, cut), np.int64, len(cut))

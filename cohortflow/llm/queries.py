@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, minhash, onebit, packing, pigeonhole, quality, substring, suffix, urls
+from . import bestfit, bpe, fim, licenses, minhash, onebit, packing, pigeonhole, quality, sortmeans, substring, suffix, urls
 from .common import table
 
 try:  # the folder of vocabulary files; pass another path to the operators where there is none
@@ -59,9 +59,24 @@ def op10_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_minhash, op3_packing, op4_substring, op5_pigeonhole, op6_licenses, op7_bpe, op8_suffix, op9_urls, op10_onebit)}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
-#: Queries whose rows DuckDB can work out by brute force. op1, op3, op7 and the pipeline need a model or a
+
+def op12_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op13_sortmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sortmeans.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OPERATORS = (
+    op1_quality, op2_minhash, op3_packing, op4_substring, op5_pigeonhole, op6_licenses, op7_bpe, op8_suffix, op9_urls, op10_onebit, op11_fim, op12_bestfit, op13_sortmeans,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
+
+#: Queries whose rows DuckDB can work out by brute force. op1, op3, op7, op12 and the pipeline need a model or a
 #: tokenizer; op2 and op6 may miss a pair or a window by chance, and op8 slides over bytes: those are
 #: compared with plain Python in tests/llm.
 ORACLES: dict[str, str] = {
@@ -85,4 +100,6 @@ ORACLES: dict[str, str] = {
     SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda s, x: s + x)) AS score
     FROM good q JOIN good c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0) QUALIFY rank <= 10""",
     "op9_urls": urls.ORACLE,
+    "op11_fim": fim.ORACLE,
+    "op13_sortmeans": sortmeans.oracle(sortmeans.Params()),
 }
