@@ -14,6 +14,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,7 @@ class SpanEncoder:
         self.byte_level = byte_level
         back = byte_table()
         self.shown = {b: c for c, b in back.items()}
+        self.model = self.tokenizer.model
         self.decodes = byte_level and not specials
         if self.decodes:
             self.tokenizer.encode_special_tokens = True  # their strings are then text like any other
@@ -77,30 +79,44 @@ class SpanEncoder:
         self.bytes: list[bytes] = []
 
     def span_ids(self, raw: bytes) -> list[int]:
+        plain = raw[1:] if raw[:1] == b" " else raw
+        if plain.isalpha():  # of bytes: ASCII letters
+            name = plain.decode() if self.byte_level else plain.lower().decode()
+            return [t.id for t in self.model.tokenize(self.shown[32] + name if self.byte_level and plain is not raw else name)]
         text = raw.decode("utf-8", "replace")
         word = text[1:] if text[:1] == " " else text
         if word.isalpha() and max(word) < "\u0100":
             if not self.byte_level:
                 raw = word.lower().encode()
-            return [t.id for t in self.tokenizer.model.tokenize(raw.decode("latin-1").translate(self.shown))]
+            return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.shown))]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def look_up(self, s: flat.Slice, spans: flat.Words) -> np.ndarray:
         """For each span its number: its ids are ids[ends[number] : ends[number + 1]]."""
         if len(self.at) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.reset()
-        raw, at = s.data.tobytes(), self.at
-        cut = [raw[a:b] for a, b in zip(spans.start.tolist(), spans.end.tolist(), strict=True)]
-        for span in [x for x in dict.fromkeys(cut) if x not in at]:
-            at[span] = len(self.ends) - 1
-            self.held += len(span)
-            ids = self.span_ids(span)
-            self.ids.extend(ids)
-            self.ends.append(len(self.ids))
-            if self.decodes:
-                self.names.append(b" ".join([self.numbers[i] for i in ids]))
-                self.bytes.append(b"".join([self.pieces[i] for i in ids]))
-        return np.fromiter(map(at.__getitem__, cut), np.int64, len(cut))
+        if not len(spans.start):
+            return np.zeros(0, np.int64)
+        codes, distinct = pd.factorize(flat.span_keys(s.data, spans.start, spans.end))
+        first = np.zeros(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        if not flat.same_bytes(s.data, spans.start, spans.end, first[codes]):  # keys of long spans are hashes
+            codes = first = np.arange(len(spans.start))
+        raw, at, place = s.data.tobytes(), self.at, np.empty(len(first), np.int64)
+        for k, (a, b) in enumerate(zip(spans.start[first].tolist(), spans.end[first].tolist(), strict=True)):
+            span = raw[a:b]
+            known = at.get(span)
+            if known is None:
+                known = at[span] = len(self.ends) - 1
+                self.held += b - a
+                ids = self.span_ids(span)
+                self.ids.extend(ids)
+                self.ends.append(len(self.ids))
+                if self.decodes:
+                    self.names.append(b" ".join([self.numbers[i] for i in ids]))
+                    self.bytes.append(b"".join([self.pieces[i] for i in ids]))
+            place[k] = known
+        return place[codes]
 
     def lengths(self, place: np.ndarray) -> np.ndarray:
         return np.diff(np.array(self.ends))[place]

@@ -169,6 +169,41 @@ def chunks(s: Slice) -> Words:
     return Words(start, end, np.searchsorted(start, s.off), np.zeros(0, np.uint64))
 
 
+def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each span: its bytes and length, if they are seven at most; else a hash of them."""
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    size = end - start
+    low = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k bytes
+
+    def block(rows: np.ndarray | slice, k: int) -> np.ndarray:
+        at = start[rows] + 8 * k
+        return eight[at].view("<u8")[:, 0] & low[np.minimum(end[rows] - at, 8)]
+
+    out = block(slice(None), 0) | np.where(size < 8, size, 0).astype(np.uint64) << np.uint64(56)
+    rows = np.flatnonzero(size >= 8)
+    h, k = mix(out[rows] ^ (size[rows].astype(np.uint64) << np.uint64(40))), 1
+    while len(rows):
+        more = size[rows] > 8 * k
+        out[rows[~more]] = h[~more] | np.uint64(1 << 63)
+        rows, h = rows[more], h[more]
+        h, k = mix(h * np.uint64(0x9E3779B97F4A7C15) ^ block(rows, k)), k + 1
+    return out
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span of more than seven bytes equals span number other[i], byte for byte."""
+    rows = np.flatnonzero((end - start > 7) & (other != np.arange(len(start))))
+    size = end[rows] - start[rows]
+    if (size != end[other[rows]] - start[other[rows]]).any():
+        return False
+    for lo in range(0, len(rows), BLOCK):
+        part, n = rows[lo : lo + BLOCK], size[lo : lo + BLOCK]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(start[part], n) + step] != data[np.repeat(start[other[part]], n) + step]).any():
+            return False
+    return True
+
+
 def leftmost_min(h: np.ndarray, width: int) -> np.ndarray:
     """For each i the position of the first smallest value of h[i : i + width]."""
     v, p = h, np.arange(len(h), dtype=np.int32 if len(h) < 2**31 else np.int64)

@@ -363,3 +363,21 @@ def test_suffix_array_and_common_prefixes():
             while n < min(len(a), len(b)) and a[n] == b[n]:
                 n += 1
             assert lcp[r] == n
+
+
+def test_span_keys_tell_spans():
+    """Short spans by all their bytes and length, zeros included; long ones by a hash that same_bytes() proves."""
+    rng = np.random.default_rng(9)
+    spans = [b"\x00", b"\x00\x00", b"", b"abcdefg", b"abcdefgh", b"abcdefg\x00", b"abcdefgh\x00", *(rng.bytes(int(n)) for n in rng.integers(1, 90, 300))]
+    spans += [x.encode() for x in thue_morse(2048)]
+    spans += spans[::-1]
+    data = np.frombuffer(b"".join(spans), np.uint8)
+    end = np.cumsum([len(x) for x in spans])
+    start = end - [len(x) for x in spans]
+    keys = flat.span_keys(data, start, end).tolist()
+    assert len(set(keys)) == len(set(spans)) and len(set(zip(keys, spans))) == len(set(spans))
+    first = {x: i for i, x in reversed(list(enumerate(spans)))}
+    other = np.array([first[x] for x in spans])
+    assert flat.same_bytes(data, start, end, other)
+    other[spans.index(b"abcdefgh\x00")] = spans.index(b"abcdefgh")
+    assert not flat.same_bytes(data, start, end, other)
