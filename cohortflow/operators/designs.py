@@ -24,8 +24,9 @@ DESIGNS = {
 def build(rows: DataFrame, design: str, outcome: str) -> R.Design:
     """A design over rows with panelist_id, product_id, the outcome and columns `panelist.x`, `product.x`.
 
-    Fixed effects come first, so that rank reduction keeps them; then features in order of name: numbers
-    and flags as they are, texts one-hot without their first level.
+    Numbers and flags come first, as they are, in order of name: rank reduction keeps the earlier columns, so a
+    feature that is constant within an id stays and a dummy of that id goes. Then follow the one-hot columns,
+    without their first level: fixed effects, then texts in order of name.
     """
     if design not in DESIGNS:
         raise ValueError(f"unknown design {design!r}: {sorted(DESIGNS)}")
@@ -39,8 +40,9 @@ def build(rows: DataFrame, design: str, outcome: str) -> R.Design:
     kinds, plain = dict(rows.dtypes), {c: f"x{i}" for i, c in enumerate(rows.columns)}
     out = rows.select(*[F.col(f"`{c}`").alias(plain[c]) for c in rows.columns])
     columns, names = [], []
-    for c in (*effects, *features):
-        if c in effects or kinds[c] == "string":
+    coded = [*effects, *[c for c in features if kinds[c] == "string"]]
+    for c in (*[c for c in features if c not in coded], *coded):
+        if c in coded:
             out, made = R.one_hot(out, plain[c])
             columns += made
             names += [c + m[len(plain[c]) :] for m in made]

@@ -1,8 +1,10 @@
 """Regressions on panel frames: OLS, logit, probit, multinomial and ordered models, robust covariance.
 
-The rows stay in Spark. Each pass sums small matrices (Gram matrix, gradient, Hessian, per-cluster
-scores) in Arrow batches; the driver solves systems of the number of columns. Likelihoods are maximised by
-Newton steps, one pass each.
+The rows stay in Spark. Rank and least squares come from a QR factorization in a tree of tasks (triangular
+factors alone travel), so that the condition of the design is never squared. Other passes sum small arrays
+(moments, gradient, Hessian, per-cluster scores) in Arrow batches; the driver solves systems of the number of
+columns. Likelihoods are maximised by Newton steps, one pass each. Fixed effects of any number of levels are
+absorbed first (absorb.py).
 """
 
 from __future__ import annotations
@@ -116,10 +118,12 @@ class Design:
     panelist: str | None = None
     product: str | None = None
     names: tuple[str, ...] = ()  # what results call the columns; none: as they are
+    #: Degrees of freedom of effects that y and the columns are free of already; then there is no intercept.
+    absorbed: int = 0
 
 
 def one_hot(rows: DataFrame, column: str, max_levels: int = 2000) -> tuple[DataFrame, list[str]]:
-    """Dummies of all levels but the first in order; the design is dense, so more levels are refused."""
+    """Dummies of all levels but the first in order. They make the design dense, so that more levels are refused: absorb.fit() takes any number."""
     levels = [r[0] for r in rows.select(F.col(column).cast("string").alias("c")).where("c IS NOT NULL").distinct().orderBy("c").limit(max_levels + 1).collect()]
     if len(levels) > max_levels:
         raise ValueError(f"{column}: more than {max_levels} levels")
@@ -172,21 +176,76 @@ def with_const(x: np.ndarray, keep: list[int], shift: np.ndarray, scale: np.ndar
     return np.column_stack([np.ones(len(z)), z]) if const else z
 
 
-def reduced(gram: np.ndarray, names: list[str], tolerance: float = 1e-9) -> tuple[list[int], list[tuple[str, str]]]:
-    """Columns that are not combinations of those before them, by elimination on the Gram matrix; the first
-    column is the constant."""
-    kept, dropped, done = [], [], np.zeros((0, 0))
-    for j in range(len(names)):
-        rest = gram[j, j]
-        if kept:
-            a = gram[np.ix_(kept, [j])]
-            rest -= float((a.T @ np.linalg.solve(done, a))[0, 0])
-        if gram[j, j] <= 0 or rest <= tolerance * gram[j, j]:
-            dropped.append((names[j], "constant" if kept == [0] else "rank_deficient"))
-            continue
-        kept.append(j)
-        done = gram[np.ix_(kept, kept)]
-    return kept, dropped
+def extremes(rows: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest value of each column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full(m, np.inf), np.full(m, -np.inf)
+        for batch in batches:
+            if batch.num_rows and m:
+                x = matrices(batch)[1]
+                low, high = np.minimum(low, x.min(0)), np.maximum(high, x.max(0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(m)), pa.array(low), pa.array(high)], ["i", "low", "high"])
+
+    low, high = np.full(m, np.inf), np.full(m, -np.inf)
+    for r in rows.select("y", "x").mapInArrow(run, "i long, low double, high double").groupBy("i").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():  # m rows
+        low[r.i], high[r.i] = r.low, r.high
+    return low, high
+
+
+def duplicates(rows: DataFrame, columns: list[int], m: int) -> list[int]:
+    """Those of `columns` that equal an earlier one in every row. Equal columns have equal randomly weighted sums, to the
+    last bit; only such are compared, each with the first."""
+
+    def checksum(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return (x * np.random.default_rng(len(y)).random(len(y))[:, None]).sum(0)
+
+    groups: dict[float, list[int]] = {}
+    sums = summed(rows, checksum, m)
+    for j in columns:
+        groups.setdefault(float(sums[j]), []).append(j)
+    out: list[int] = []
+    alike = [g for g in groups.values() if len(g) > 1]
+    while alike:
+        left, right = np.array([(g[0], j) for g in alike for j in g[1:]]).T
+        differ = summed(rows, lambda y, x: (x[:, left] != x[:, right]).sum(0).astype(float), len(left))  # noqa: B023
+        others = {j for j, n in zip(right.tolist(), differ.tolist(), strict=True) if n}
+        out += [j for j in right.tolist() if j not in others]
+        alike = [g for g in ([j for j in g[1:] if j in others] for g in alike) if len(g) > 1]
+    return sorted(out)
+
+
+def triangle(rows: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """R of the QR factorization of f(y, x) over all rows: each task factors its batches below what it has,
+    tasks' factors are factored together in some tasks, and theirs on the driver. A factor has width * width numbers."""
+    fan = max(1, math.isqrt(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+    def below(r: np.ndarray, a: np.ndarray) -> np.ndarray:
+        return np.linalg.qr(np.concatenate([r, a]), mode="r")
+
+    def factor(batches: Iterator[pa.RecordBatch], read: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, width))
+        for batch in batches:
+            if batch.num_rows:
+                r = below(r, read(batch))
+        yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary())], ["r"])
+
+    def stacked(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x).reshape(-1, width) for x in batch.column(0).to_pylist()])
+
+    tasks = rows.select("y", "x").mapInArrow(lambda it: factor(it, lambda b: f(*matrices(b))), "r binary")
+    few = tasks.repartition(fan).mapInArrow(lambda it: factor(it, stacked), "r binary").collect()  # `fan` rows
+    r = np.zeros((0, width))
+    for row in few:
+        r = below(r, np.frombuffer(row.r).reshape(-1, width))
+    return np.concatenate([r, np.zeros((max(0, width - len(r)), width))])
+
+
+def independent(r: np.ndarray, n: int) -> list[int]:
+    """The columns of a triangle that are no combinations of those before them: what is left of them exceeds rounding."""
+    size = np.linalg.norm(r, axis=0)
+    least = min(np.finfo(float).eps * max(n, len(size)), 1e-10)
+    return [j for j in range(len(size)) if abs(r[j, j]) > least * size[j]]
 
 
 def scores_sum(rows: DataFrame, score: Callable, k: int, key: str | None) -> tuple[np.ndarray, int]:
@@ -197,9 +256,13 @@ def scores_sum(rows: DataFrame, score: Callable, k: int, key: str | None) -> tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                s = score(*matrices(batch))
-                yield pa.RecordBatch.from_arrays([batch.column(2), pa.FixedSizeListArray.from_arrays(pa.array(s.reshape(-1)), k).cast(pa.list_(pa.float64()))], ["g", "s"])
+            if batch.num_rows:  # one row a cluster and batch
+                group = batch.column(2).dictionary_encode()
+                code = group.indices.fill_null(len(group.dictionary)).to_numpy(zero_copy_only=False)
+                order = np.argsort(code, kind="stable")
+                head = np.flatnonzero(np.diff(code[order], prepend=-1))
+                s = np.add.reduceat(score(*matrices(batch))[order], head)
+                yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(order[head])), pa.FixedSizeListArray.from_arrays(pa.array(s.reshape(-1)), k).cast(pa.list_(pa.float64()))], ["g", "s"])
 
     g = F.concat_ws("\x1f", "p", "q") if key == "both" else F.col(key)
     each = rows.select("y", "x", g.alias("g")).mapInArrow(run, "g string, s array<double>")
@@ -220,24 +283,24 @@ def scores_sum(rows: DataFrame, score: Callable, k: int, key: str | None) -> tup
     return out[:-1].reshape(k, k), int(out[-1])
 
 
-def sandwich(rows: DataFrame, bread: np.ndarray, score: Callable, n: int, kind: str, discrete: bool) -> tuple[np.ndarray, float | None]:
+def sandwich(rows: DataFrame, bread: np.ndarray, score: Callable, n: int, kind: str, discrete: bool, absorbed: int = 0) -> tuple[np.ndarray, float | None]:
     """Covariance and degrees of freedom (None: normal)."""
-    k = len(bread)
+    k, parameters = len(bread), len(bread) + absorbed
     if kind == "HC1":
         meat, _ = scores_sum(rows, score, k, None)
-        return bread @ meat @ bread * n / (n - k), None if discrete else n - k
+        return bread @ meat @ bread * n / (n - parameters), None if discrete else n - parameters
     out, least = np.zeros((k, k)), math.inf
     parts = {"cluster_panelist": [("p", 1)], "cluster_product": [("q", 1)], "cluster_two_way": [("p", 1), ("q", 1), ("both", -1)]}[kind]
     for key, sign in parts:
         meat, g = scores_sum(rows, score, k, key)
-        out += sign * (g / (g - 1)) * ((n - 1) / (n - k)) * (bread @ meat @ bread)
+        out += sign * (g / (g - 1)) * ((n - 1) / (n - parameters)) * (bread @ meat @ bread)
         least = min(least, g) if sign > 0 else least
     return out, None if discrete else least - 1
 
 
 def fit(design: Design, family: str = "ols", covariance: str = "nonrobust", standardize: bool = False, classes: int = 2, max_steps: int = 200) -> Result:
-    """Fit a family. Columns that are constant or combinations of earlier ones are dropped (and listed);
-    a target of one value or none is refused. Discrete families with cluster_two_way use
+    """Fit a family. Columns that are constant, equal to an earlier one, or combinations of earlier ones are
+    dropped (and listed as constant, duplicate, rank_deficient); a target of one value or none is refused. Discrete families with cluster_two_way use
     cluster_panelist. Binary targets are 0 and 1; nominal and ordinal ones are codes 0 .. classes - 1."""
     if family not in FAMILIES or covariance not in COVARIANCES:
         raise ValueError(f"unknown {family} or {covariance}")
@@ -257,23 +320,32 @@ def _fit(rows: DataFrame, design: Design, family: str, covariance: str, standard
     if not n or low == high:
         raise ValueError("the target has fewer than two values")
     ordered = family.startswith("ordered")
+    const = not ordered and not design.absorbed
+    least, greatest = extremes(rows, m)
     mean = summed(rows, lambda y, x: x.sum(0), m) / n
-    centred = summed(rows, lambda y, x: ((x - mean).T @ (x - mean)).reshape(-1), m * m).reshape(m, m)
-    deviation = np.sqrt(np.diag(centred) / max(n - 1, 1))
-    fine = [j for j in range(m) if deviation[j] > 1e-12 * max(1.0, abs(mean[j]))]
-    kept, dropped = reduced(centred[np.ix_(fine, fine)], [names[j] for j in fine])
+    if design.absorbed:
+        mean = np.zeros(m)
+    deviation = np.sqrt(summed(rows, lambda y, x: ((x - mean) ** 2).sum(0), m) / max(n - 1, 1))
+    varied = [j for j in range(m) if least[j] < greatest[j] and deviation[j] > 0]
+    again = duplicates(rows, varied, m)
+    fine = [j for j in varied if j not in again]
+    level = float(summed(rows, lambda y, x: y.sum(keepdims=True), 1)[0] / n) if const else 0.0
+    # centred, scaled columns and the target, free of the intercept
+    whole = triangle(rows, lambda y, x: np.column_stack([(x[:, fine] - mean[fine]) / deviation[fine], y - level]), len(fine) + 1)
+    kept = independent(whole[: len(fine), : len(fine)], n)
     keep = [fine[j] for j in kept]
-    dropped = [(names[j], "constant") for j in range(m) if j not in fine] + [(c, "rank_deficient") for c, _ in dropped]
+    dropped = [(names[j], "constant") for j in range(m) if j not in varied] + [(names[j], "duplicate") for j in again] + [(names[j], "rank_deficient") for j in fine if j not in keep]
+    terms = (["const"] if const else []) + [names[j] for j in keep]
+    k = len(terms)
+    if family == "ols":
+        r = np.linalg.qr(whole[:, [*kept, len(fine)]], mode="r")
+        return _ols(rows, r, keep, mean[keep], deviation[keep], level, const, standardize, terms, n, covariance, dropped, design.absorbed)
     shift = mean[keep] if standardize else np.zeros(len(keep))
     scale = deviation[keep] if standardize else np.ones(len(keep))
-    terms = ([] if ordered else ["const"]) + [names[j] for j in keep]
-    k = len(terms)
 
     def z(x: np.ndarray) -> np.ndarray:
-        return with_const(x, keep, shift, scale, not ordered)
+        return with_const(x, keep, shift, scale, const)
 
-    if family == "ols":
-        return _ols(rows, z, terms, n, covariance, dropped)
     if family in ("logit", "probit"):
         model, size, names_ = _binary(family), k, terms
     elif family == "multinomial_logit":
@@ -323,30 +395,38 @@ def _likelihood(rows: DataFrame, z: Callable, model, theta: np.ndarray) -> float
     return float(summed(rows, lambda y, x: np.array([model.parts(y, z(x), theta)[0]]), 1)[0])
 
 
-def _ols(rows: DataFrame, z: Callable, terms: list[str], n: int, covariance: str, dropped: list) -> Result:
-    k = len(terms)
-
-    def f(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-        a = np.column_stack([z(x), y])
-        return (a.T @ a).reshape(-1)
+def _ols(
+    rows: DataFrame, r: np.ndarray, keep: list[int], mean: np.ndarray, scale: np.ndarray, level: float, const: bool, standardize: bool, terms: list[str], n: int, covariance: str, dropped: list, absorbed: int
+) -> Result:
+    """From the triangle r of the centred, scaled columns and the target. Everything is worked out for those columns
+    (theta, bread), and turned into the columns as they are at the end."""
+    m = len(keep)
+    inverse = np.linalg.inv(r[:m, :m]) if m else np.zeros((0, 0))
+    theta, bread = inverse @ r[:m, m], inverse @ inverse.T
+    if const:
+        theta, bread = np.append(level, theta), np.block([[np.full((1, 1), 1 / n), np.zeros((1, m))], [np.zeros((m, 1)), bread]])
+    k = len(theta) + absorbed
 
-    g = summed(rows, f, (k + 1) ** 2).reshape(k + 1, k + 1)
-    beta = np.linalg.solve(g[:k, :k], g[:k, k])
+    def z(x: np.ndarray) -> np.ndarray:
+        return with_const(x, keep, mean, scale, const)
 
     def residual(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return y - z(x) @ beta
+        return y - z(x) @ theta
 
-    mean = g[0, k] / n
-    sums = summed(rows, lambda y, x: np.array([(r := residual(y, x)) @ r, np.abs(r).sum(), ((y - mean) ** 2).sum()]), 3)
+    sums = summed(rows, lambda y, x: np.array([(e := residual(y, x)) @ e, np.abs(e).sum(), ((y - level) ** 2).sum()]), 3)
     ssr, tss = sums[0], sums[2]
-    bread = np.linalg.inv(g[:k, :k])
     if covariance == "nonrobust":
         cov, df = bread * ssr / (n - k), float(n - k)
     else:
-        cov, df = sandwich(rows, bread, lambda y, x: z(x) * residual(y, x)[:, None], n, covariance, False)
+        cov, df = sandwich(rows, bread, lambda y, x: z(x) * residual(y, x)[:, None], n, covariance, False, absorbed)
+    if not standardize:
+        turn = np.diag(1 / scale)
+        if const:
+            turn = np.block([[np.ones((1, 1)), -(mean / scale)[None]], [np.zeros((m, 1)), turn]])
+        theta, cov = turn @ theta, turn @ cov @ turn.T
     llf = -n / 2 * (math.log(2 * math.pi) + math.log(max(ssr, 1e-300) / n) + 1)
-    out = {"n": n, "r2": 1 - ssr / tss, "adj_r2": 1 - ssr / (n - k) / (tss / (n - 1)), "llf": llf, "aic": -2 * llf + 2 * k, "bic": -2 * llf + k * math.log(n), "rmse": math.sqrt(ssr / n), "mae": sums[1] / n}
-    return Result("ols", terms, beta, cov, n, df, out, dropped)
+    out = {"n": n, "r2": 1 - ssr / tss, "adj_r2": 1 - ssr / (n - k) / (tss / (n - 1)), "llf": llf, "aic": -2 * llf + 2 * k, "bic": -2 * llf + k * math.log(n), "rmse": math.sqrt(ssr / n), "mae": sums[1] / n, "ssr": ssr}
+    return Result("ols", terms, theta, cov, n, df, out, dropped)
 
 
 class _binary:

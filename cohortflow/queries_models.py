@@ -8,6 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from .functions import payload as P
+from .operators import absorb as B
 from .operators import designs as Z
 from .operators import generate as G
 from .operators import regression as R
@@ -198,7 +199,7 @@ def ols_standardized(spark, sf):
     return coefficients(R.fit(design(spark, sf, "y", "x1", "x2"), standardize=True), spark).select("term", "estimate")
 
 
-@query(f"{TWO} SELECT 'const' AS term, 'kept' AS what, round(my - b1 * m1 - b2 * m2, 6) + 0.0 AS estimate FROM b UNION ALL SELECT 'x1', 'kept', round(b1, 6) + 0.0 FROM b UNION ALL SELECT 'x2', 'kept', round(b2, 6) + 0.0 FROM b UNION ALL SELECT 'seven', 'constant', NULL UNION ALL SELECT 'again', 'rank_deficient', NULL UNION ALL SELECT 'both', 'rank_deficient', NULL")
+@query(f"{TWO} SELECT 'const' AS term, 'kept' AS what, round(my - b1 * m1 - b2 * m2, 6) + 0.0 AS estimate FROM b UNION ALL SELECT 'x1', 'kept', round(b1, 6) + 0.0 FROM b UNION ALL SELECT 'x2', 'kept', round(b2, 6) + 0.0 FROM b UNION ALL SELECT 'seven', 'constant', NULL UNION ALL SELECT 'again', 'duplicate', NULL UNION ALL SELECT 'both', 'rank_deficient', NULL")
 def ols_dropped_columns(spark, sf):
     d = design(spark, sf, "y", "x1", "seven", "again", "x2", "both")
     rows = d.rows.withColumn("seven", F.lit(7.0)).withColumn("again", F.col("x1")).withColumn("both", F.col("x1") + 2 * F.col("x2"))
@@ -238,3 +239,88 @@ def design_panelist_features(spark, sf):
 @query("WITH m AS (SELECT l_tax > 0.04 AS high, avg(l_extendedprice / 1000) AS m FROM lineitem GROUP BY 1) SELECT 'const' AS term, round(m, 6) + 0.0 AS estimate FROM m WHERE high UNION ALL SELECT 'product.tax_low', round(m - (SELECT m FROM m WHERE high), 6) + 0.0 FROM m WHERE NOT high")
 def design_product_features(spark, sf):
     return designed(spark, sf, "product_features")
+
+
+# fixed effects of any number of levels, by alternating group means
+
+PANEL = "SELECT l_extendedprice / 1000 AS y, l_quantity AS x1, l_discount AS x2, o_custkey AS p, l_partkey AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+def demeaned(rounds: int) -> str:
+    """CTEs t0 .. t2n: y, x1, x2 less their means by p, then by q, and so on."""
+    out = [f"t0 AS MATERIALIZED ({PANEL})"]
+    for i in range(1, 2 * rounds + 1):
+        less = ", ".join(f"{v} - avg({v}) OVER (PARTITION BY {'qp'[i % 2]}) AS {v}" for v in ("y", "x1", "x2"))
+        out.append(f"t{i} AS MATERIALIZED (SELECT p, q, {less} FROM t{i - 1})")
+    return ", ".join(out)
+
+
+#: One component, or null: levels that the first customer's rows lead to are counted against all.
+REACHED = """e AS MATERIALIZED (SELECT DISTINCT 'p' || p AS a, 'q' || q AS b FROM t0), reach AS (SELECT min(a) AS v FROM e UNION SELECT CASE WHEN e.a = r.v THEN e.b ELSE e.a END FROM reach r JOIN e ON e.a = r.v OR e.b = r.v),
+ levels AS (SELECT count(DISTINCT a) + count(DISTINCT b) AS n, CASE WHEN (SELECT count(*) FROM reach) = count(DISTINCT a) + count(DISTINCT b) THEN 1 END AS parts FROM e)"""
+TWO_WAY = f"""WITH RECURSIVE {demeaned(16)}, {REACHED}, m AS (SELECT count(*) AS n, sum(x1 * x1) AS s11, sum(x2 * x2) AS s22, sum(x1 * x2) AS s12, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y, sum(y * y) AS syy FROM t32),
+ b AS (SELECT *, s11 * s22 - s12 * s12 AS det, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM m),
+ v AS (SELECT b.*, (syy - b1 * s1y - b2 * s2y) / (b.n - 2 - (l.n - parts)) AS s2 FROM b, levels l)"""
+
+
+def absorbed(spark, sf, *effects: str, columns=("x1", "x2"), **options):
+    d = design(spark, sf, "y", *columns)
+    return B.fit(d.rows, d.target, d.columns, effects, panelist=d.panelist, product=d.product, **options)
+
+
+@query(f"{TWO_WAY} SELECT 'x1' AS term, round(b1, 6) + 0.0 AS estimate, round(sqrt(s2 * s22 / det), 6) + 0.0 AS std_error FROM v UNION ALL SELECT 'x2', round(b2, 6) + 0.0, round(sqrt(s2 * s11 / det), 6) + 0.0 FROM v")
+def ols_absorbed_two_way(spark, sf):
+    """Customers and parts as fixed effects, thousands of levels; x1 and x2 against demeaning in SQL."""
+    return coefficients(absorbed(spark, sf, "o_custkey", "l_partkey").result, spark).select("term", "estimate", "std_error")
+
+
+ONE_WAY = f"WITH t0 AS ({PANEL}), l AS (SELECT p, y, x1, y - avg(y) OVER w AS v, x1 - avg(x1) OVER w AS u FROM t0 WINDOW w AS (PARTITION BY p)), m AS (SELECT count(*) AS n, count(DISTINCT p) AS g, sum(u * v) / sum(u * u) AS b, sum(u * u) AS suu FROM l)"
+
+
+@query(f"{ONE_WAY}, s AS (SELECT p, sum(u * (v - b * u)) AS s FROM l, m GROUP BY p) SELECT 'x1' AS term, round(b, 6) + 0.0 AS estimate, round(sqrt((SELECT sum(s * s) FROM s) * g / (g - 1) * (n - 1) / (n - 1 - g)) / suu, 6) + 0.0 AS std_error FROM m")
+def ols_absorbed_cluster(spark, sf):
+    """Errors clustered by the absorbed effect."""
+    out = absorbed(spark, sf, "o_custkey", columns=("x1",), covariance="cluster_panelist")
+    return coefficients(out.result, spark).select("term", "estimate", "std_error")
+
+
+@query(f"{ONE_WAY}, a AS (SELECT CAST(p AS VARCHAR) AS level, avg(y) - b * avg(x1) AS a FROM l, m GROUP BY p, b) SELECT 'o_custkey' AS effect, level, round(a - (SELECT arg_min(a, level) FROM a), 6) + 0.0 AS estimate FROM a")
+def absorbed_level_estimates(spark, sf):
+    """Every level's own estimate, as a table."""
+    table = absorbed(spark, sf, "o_custkey", columns=("x1",)).effects
+    return table.select("effect", "level", r6("estimate").alias("estimate"))
+
+
+NEAR = "WITH l AS (SELECT l_extendedprice / 1000 AS y, l_quantity AS u, CAST(l_linenumber AS DOUBLE) AS w FROM lineitem), m AS (SELECT avg(y) AS my, avg(u) AS mu, avg(w) AS mw, covar_pop(y, u) AS suy, covar_pop(y, w) AS swy, var_pop(u) AS suu, var_pop(w) AS sww, covar_pop(u, w) AS suw FROM l), b AS (SELECT *, (suy * sww - swy * suw) / (suu * sww - suw * suw) AS bu, (swy * suu - suy * suw) / (suu * sww - suw * suw) AS bw FROM m)"
+
+
+@query(f"{NEAR} SELECT round(my - bu * mu - bw * mw, 6) + 0.0 AS intercept, round(bu, 6) + 0.0 AS sum_of_slopes, round(bw, 6) + 0.0 AS slope_of_gap FROM b")
+def ols_nearly_collinear(spark, sf):
+    """Two columns that differ by a millionth part of a third: their slopes are millions, of opposite sign, and
+    right to the digits that the third column's own regression shows. Sums of squares cannot tell the two apart."""
+    gap = 2.0**-20
+    rows = A.table(spark, sf, "lineitem").select((F.col("l_extendedprice") / 1000).alias("y"), F.col("l_quantity").alias("x1"), (F.col("l_quantity") + F.col("l_linenumber") * gap).alias("near"))
+    b = dict(zip((out := R.fit(R.Design(rows, "y", ("x1", "near")))).terms, out.estimate.tolist(), strict=True))
+    one = spark.range(1)
+    return one.select(r6(F.lit(b["const"])).alias("intercept"), r6(F.lit(b["x1"] + b["near"])).alias("sum_of_slopes"), r6(F.lit(b["near"] * gap)).alias("slope_of_gap"))
+
+
+SHARES_OF_3 = "WITH l AS (SELECT least(floor(l_quantity / 17), 2) AS c FROM lineitem), f AS (SELECT j, CAST(count(*) AS DOUBLE) AS n, avg(CASE WHEN c <= j THEN 1.0 ELSE 0.0 END) AS f FROM l, range(2) r(j) GROUP BY j)"
+
+
+def thresholds(spark, sf, family: str):
+    rows = frame(spark, sf).withColumn("one", F.lit(1.0))
+    return R.fit(R.Design(rows, "c", ("one",)), family, classes=3).frame(spark).select("term", "estimate", "std_error")
+
+
+@query(f"{SHARES_OF_3} SELECT j || '/' || (j + 1) AS term, round(ln(f / (1 - f)), 6) + 0.0 AS estimate, round(sqrt(1 / (n * f * (1 - f))), 6) + 0.0 AS std_error FROM f")
+def ordered_logit_thresholds(spark, sf):
+    """Three classes and no other column: the cut points are the log odds of the shares below them."""
+    return thresholds(spark, sf, "ordered_logit").select("term", r6("estimate").alias("estimate"), r6("std_error").alias("std_error"))
+
+
+@query(f"{SHARES_OF_3} SELECT j || '/' || (j + 1) AS term, round(f, 6) + 0.0 AS share, round(sqrt(f * (1 - f) / n), 6) + 0.0 AS error_of_share FROM f")
+def ordered_probit_thresholds(spark, sf):
+    """The cut points as shares, and their errors by way of the normal density there."""
+    rows = [(r.term, float(R.normal_cdf(r.estimate)), float(R.normal_pdf(r.estimate)) * r.std_error) for r in thresholds(spark, sf, "ordered_probit").collect()]  # a row a cut point
+    return spark.createDataFrame(rows, "term string, share double, error double").select("term", r6("share").alias("share"), r6("error").alias("error_of_share"))

@@ -72,12 +72,12 @@ def test_designs_against_least_squares(spark):
     frame = spark.createDataFrame(rows, "panelist_id string, product_id string, x double, city string, y double").withColumnsRenamed({"x": "panelist.x", "city": "product.city"})
     dummies = lambda v, levels: [(v == k).astype(float) for k in levels[1:]]
     effects = dummies(p, range(4)) + dummies(q, range(3))
-    parts = {"two_way_fe": effects, "panelist_plus_product_features": [x, *dummies(city, "abc")], "features_plus_two_way_fe": [*effects, x, *dummies(city, "abc")]}
+    parts = {"two_way_fe": effects, "panelist_plus_product_features": [x, *dummies(city, "abc")], "features_plus_two_way_fe": [x, *effects, *dummies(city, "abc")]}
     for name, columns in parts.items():
         out = R.fit(designs.build(frame, name, "y"))
         want = np.linalg.lstsq(np.column_stack([np.ones(n), *columns]), y, rcond=None)[0]
         assert np.allclose(out.estimate, want, atol=1e-8), name
-    assert out.terms == ["const", "panelist_id_p1", "panelist_id_p2", "panelist_id_p3", "product_id_q1", "product_id_q2", "panelist.x", "product.city_b", "product.city_c"]
+    assert out.terms == ["const", "panelist.x", "panelist_id_p1", "panelist_id_p2", "panelist_id_p3", "product_id_q1", "product_id_q2", "product.city_b", "product.city_c"]
     shown = {r.term for r in designs.selected(out.frame(spark), intercept=False, fixed_effects=False).collect()}
     assert shown == {"panelist.x", "product.city_b", "product.city_c"}
     with pytest.raises(ValueError):
