@@ -6,11 +6,14 @@ whatever its type).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..plans.storage import stored
 from . import distances as D
 
 
@@ -62,46 +65,75 @@ def rmse_matrix(rows: DataFrame) -> DataFrame:
     return out.agg(F.sqrt(F.avg(F.pow(F.col("a.x") - F.col("b.x"), 2))).alias("rmse"), F.count("*").alias("n_shared"))
 
 
-def overlap(reference: DataFrame, rows: DataFrame) -> DataFrame:
-    """Per label: products shared with the reference, overlap rate and Jaccard."""
-    known = reference.select("product_id").where("product_id IS NOT NULL").distinct().withColumn("_ref", F.lit(1))
-    mine = rows.select("label", "product_id").where("product_id IS NOT NULL").distinct().join(known, "product_id", "left")
-    size = known.agg(F.count("*").alias("n_reference"))
-    out = mine.groupBy("label").agg(F.count("*").alias("n_condition"), F.count("_ref").alias("n_shared")).join(F.broadcast(size))  # one row
+@dataclass(frozen=True)
+class Counts:
+    """What all comparisons with a reference need of the rows, counted once: label, product_id, rating, n (null ratings
+    too) of the conditions, product_id, rating, n of the reference, and both sides' rows by product."""
+
+    reference: DataFrame
+    rows: DataFrame
+
+    @classmethod
+    def of(cls, reference: DataFrame, rows: DataFrame, keep: bool = False) -> Counts:
+        """keep: written, for several comparisons; else each comparison counts for itself."""
+        sides = [reference.select(F.lit(None).cast("string").alias("label"), F.lit(True).alias("_ref"), "product_id", "rating"), rows.select("label", F.lit(False).alias("_ref"), "product_id", "rating")]
+        n = sides[0].unionByName(sides[1]).where("product_id IS NOT NULL").groupBy("_ref", "label", "product_id", "rating").agg(F.count("*").alias("n"))
+        n = stored(n) if keep else n
+        return cls(n.where("_ref").drop("_ref", "label"), n.where("NOT _ref").drop("_ref"))
+
+    def products(self) -> DataFrame:
+        """label, product_id, a, b: rows of each condition's products, with those of the reference (null: none)."""
+        known = self.reference.groupBy("product_id").agg(F.sum("n").alias("a"))
+        return self.rows.groupBy("label", "product_id").agg(F.sum("n").alias("b")).join(known, "product_id", "left")
+
+    def rated(self, shared: DataFrame) -> DataFrame:
+        """label, product_id, rating, a, b on the labels and products of `shared`."""
+        keys = shared.select("label", "product_id")
+        none = F.lit(0).cast("bigint")
+        left = self.reference.where("rating IS NOT NULL").join(keys, "product_id").select("label", "product_id", "rating", F.col("n").alias("a"), none.alias("b"))
+        right = self.rows.where("rating IS NOT NULL").join(keys, ["label", "product_id"]).select("label", "product_id", "rating", none.alias("a"), F.col("n").alias("b"))
+        return left.unionByName(right).groupBy("label", "product_id", "rating").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def _overlap(counts: Counts) -> DataFrame:
+    size = counts.reference.agg(F.count_distinct("product_id").alias("n_reference"))
+    out = counts.products().groupBy("label").agg(F.count("*").alias("n_condition"), F.count("a").alias("n_shared")).join(F.broadcast(size))  # one row
     union = F.col("n_reference") + F.col("n_condition") - F.col("n_shared")
     return out.withColumn("overlap_rate", S.ratio(F.col("n_shared"), F.col("n_reference"))).withColumn("jaccard", S.ratio(F.col("n_shared"), union))
 
 
-def shared_rows(reference: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The reference repeated for each label, and the conditions' rows, both on products they share."""
-    products = rows.select("label", "product_id").distinct().join(reference.select("product_id").distinct(), "product_id")
-    return reference.drop("label").join(products, "product_id"), rows.join(reference.select("product_id").distinct(), "product_id", "left_semi")
+def _review_share(counts: Counts) -> DataFrame:
+    return D.jsd_l1(counts.products().where("a IS NOT NULL"), ["label"])
+
+
+def _overall_rating(counts: Counts) -> DataFrame:
+    shared = counts.rated(counts.products().where("a IS NOT NULL")).groupBy("label", "rating").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return D.summary(shared, ["label"], "rating").select("label", "jsd", "emd")
+
+
+def _diagnostics(counts: Counts) -> DataFrame:
+    found = D.summary(counts.rated(counts.products().where("a IS NOT NULL")), ["label", "product_id"], "rating").where("na > 0 AND nb > 0")
+    return found.select("label", "product_id", F.col("na").alias("n_reference"), F.col("nb").alias("n_condition"), F.col("mean_a").alias("mean_reference"), F.col("mean_b").alias("mean_condition"), "jsd", "emd")
+
+
+def overlap(reference: DataFrame, rows: DataFrame) -> DataFrame:
+    """Per label: products shared with the reference, overlap rate and Jaccard."""
+    return _overlap(Counts.of(reference, rows))
 
 
 def review_share(reference: DataFrame, rows: DataFrame) -> DataFrame:
     """Per label: JSD and L1 of the products' shares of reviews, on shared products."""
-    ref, cond = shared_rows(reference, rows)
-    return D.jsd_l1(D.histogram_pair(ref, cond, ["label"], "product_id"), ["label"])
+    return _review_share(Counts.of(reference, rows))
 
 
 def overall_rating(reference: DataFrame, rows: DataFrame) -> DataFrame:
     """Per label: JSD and EMD of the ratings on shared products."""
-    ref, cond = (x.where("rating IS NOT NULL") for x in shared_rows(reference, rows))
-    pair = D.histogram_pair(ref, cond, ["label"], "rating")
-    return D.jsd_l1(pair, ["label"]).drop("l1").join(D.emd(pair, ["label"], "rating"), "label")
+    return _overall_rating(Counts.of(reference, rows))
 
 
 def diagnostics(reference: DataFrame, rows: DataFrame) -> DataFrame:
-    """Per label and product rated on both sides: JSD, EMD, means and counts. One shuffle by product."""
-    keys = ["label", "product_id"]
-    ref = reference.drop("label").where("rating IS NOT NULL").groupBy("product_id", "rating").agg(F.count("*").alias("a"))
-    labels = rows.where("rating IS NOT NULL").select(*keys).distinct()
-    left = ref.join(labels, "product_id").select(*keys, "rating", "a", F.lit(0).cast("bigint").alias("b"))
-    right = rows.where("rating IS NOT NULL").groupBy(*keys, "rating").agg(F.count("*").alias("b")).select(*keys, "rating", F.lit(0).cast("bigint").alias("a"), "b")
-    pair = left.unionByName(right).groupBy(*keys, "rating").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    means = pair.groupBy(*keys).agg(F.sum("a").alias("n_reference"), F.sum("b").alias("n_condition"), F.try_divide(F.sum(F.col("rating") * F.col("a")), F.sum("a")).alias("mean_reference"), F.try_divide(F.sum(F.col("rating") * F.col("b")), F.sum("b")).alias("mean_condition"))
-    both = means.where("n_reference > 0 AND n_condition > 0")
-    return both.join(D.jsd_l1(pair, keys).drop("l1"), keys).join(D.emd(pair, keys, "rating"), keys)
+    """Per label and product rated on both sides: JSD, EMD, means and counts."""
+    return _diagnostics(Counts.of(reference, rows))
 
 
 def best_and_worst(diagnostics: DataFrame, k: int) -> DataFrame:
@@ -115,22 +147,30 @@ def best_and_worst(diagnostics: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def weighted(diagnostics: DataFrame, reference: DataFrame, metric: str) -> DataFrame:
-    """Per label: the plain mean of a product metric, and the mean weighted by the reference's reviews."""
-    weight = reference.where("product_id IS NOT NULL").groupBy("product_id").agg(F.count("*").alias("w"))
-    joined = diagnostics.join(weight, "product_id", "left").withColumn("w", F.when(F.col(metric).isNotNull(), F.col("w")))
-    return joined.groupBy("label").agg(F.avg(metric).alias("egalitarian"), F.try_divide(F.sum(F.col(metric) * F.col("w")), F.sum("w")).alias("utilitarian"))
+def weighted(diagnostics: DataFrame, reference: DataFrame, *metrics: str) -> DataFrame:
+    """Per label: the plain mean of a product metric, and the mean weighted by the reference's reviews; of several
+    metrics each under its name. reference: its rows, or product_id and n."""
+    n = F.sum("n") if "n" in reference.columns else F.count("*")
+    weight = reference.where("product_id IS NOT NULL").groupBy("product_id").agg(n.alias("w"))
+    joined = diagnostics.join(weight, "product_id", "left")
+    out = []
+    for m in metrics:
+        names = ("egalitarian", "utilitarian") if len(metrics) == 1 else (f"{m}_mean", f"{m}_weighted")
+        known = F.when(F.col(m).isNotNull(), F.col("w"))
+        out += [F.avg(m).alias(names[0]), F.try_divide(F.sum(F.col(m) * known), F.sum(known)).alias(names[1])]
+    return joined.groupBy("label").agg(*out)
 
 
 def benchmark(reference: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row per condition: overlap, review shares, overall ratings, weighted product distances."""
-    products = diagnostics(reference, rows)
-    share = review_share(reference, rows).select("label", F.col("jsd").alias("share_jsd"), F.col("l1").alias("share_l1"))
-    overall = overall_rating(reference, rows).select("label", F.col("jsd").alias("rating_jsd"), F.col("emd").alias("rating_emd"))
-    out = overlap(reference, rows).join(share, "label", "left").join(overall, "label", "left")
-    for metric in ("jsd", "emd"):
-        w = weighted(products, reference, metric).select("label", F.col("egalitarian").alias(f"{metric}_mean"), F.col("utilitarian").alias(f"{metric}_weighted"))
-        out = out.join(w, "label", "left")
+    """One row per condition: overlap, review shares, overall ratings, weighted product distances. The rows are read
+    once, into counts that all parts share."""
+    counts = Counts.of(reference, rows, keep=True)
+    share = _review_share(counts).select("label", F.col("jsd").alias("share_jsd"), F.col("l1").alias("share_l1"))
+    overall = _overall_rating(counts).select("label", F.col("jsd").alias("rating_jsd"), F.col("emd").alias("rating_emd"))
+    products = weighted(_diagnostics(counts), counts.reference, "jsd", "emd")
+    out = _overlap(counts)
+    for part in (share, overall, products):
+        out = out.join(part, "label", "left")
     return out
 
 

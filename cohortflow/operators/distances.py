@@ -61,6 +61,20 @@ def emd(pair: DataFrame, keys: list[str], point: str) -> DataFrame:
     return group(moved, keys).agg(F.when(both, F.coalesce(F.sum("_m"), F.lit(0.0))).alias("emd"))
 
 
+def summary(pair: DataFrame, keys: list[str], point: str) -> DataFrame:
+    """keys, na, nb, mean_a, mean_b, jsd, l1, emd of each group in one pass: jsd_l1(), emd() and the means, with one shuffle."""
+    part = W.partitionBy(*keys)
+    order = part.orderBy(point)
+    rows = pair.withColumn("na", F.sum("a").over(part)).withColumn("nb", F.sum("b").over(part)).withColumn("p", F.try_divide("a", "na")).withColumn("q", F.try_divide("b", "nb"))
+    gap = F.abs(F.sum(F.col("p") - F.col("q")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = rows.withColumn("_m", gap * (F.lead(point).over(order) - F.col(point)))
+    p, q, both = F.coalesce("p", F.lit(0.0)), F.coalesce("q", F.lit(0.0)), (F.col("na") > 0) & (F.col("nb") > 0)
+    mean = lambda n: F.try_divide(F.sum(F.col(point) * F.col(n)), F.sum(n))
+    out = rows.groupBy(*keys).agg(F.max("na").alias("na"), F.max("nb").alias("nb"), mean("a").alias("mean_a"), mean("b").alias("mean_b"), F.sum(js_terms()).alias("_js"), F.sum(F.abs(p - q)).alias("_l1"), F.sum("_m").alias("_emd"))
+    js, far = F.when(both, F.greatest("_js", F.lit(0.0))), F.when(both, F.coalesce("_emd", F.lit(0.0)))
+    return out.select(*keys, "na", "nb", "mean_a", "mean_b", js.alias("jsd"), F.when((F.col("na") > 0) | (F.col("nb") > 0), F.col("_l1")).alias("l1"), far.alias("emd"))
+
+
 def rmse_shared(left: DataFrame, right: DataFrame, keys: list[str], value: str, groups: list[str] = ()) -> DataFrame:
     """Root mean square difference of the means per key on both sides, over shared keys (null keys match)."""
     by = [*groups, *keys]

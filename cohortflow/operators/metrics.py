@@ -90,16 +90,33 @@ def mean_within(events: DataFrame, value: Column, outer: str, inner: str) -> Dat
     return spread.agg(F.avg("variance").alias("mean_variance"), F.count("*").alias("n_groups"))
 
 
-def mean_pairwise_distance(events: DataFrame, value: Column, entity: str, item: str) -> DataFrame:
+#: Entities of an item that meet in one key, so that a key makes BLOCK * BLOCK pairs at most.
+BLOCK = 1024
+
+
+def pairwise_work(events: DataFrame, value: Column, entity: str, item: str) -> DataFrame:
+    """One row: how many pairs mean_pairwise_distance() would make, n (n - 1) / 2 for each item of n entities, with the
+    number of items and the most entities of one. To look at before the run: one aggregation."""
+    cells = by_group(events.where(F.col(entity).isNotNull() & F.col(item).isNotNull()), value, entity, item)
+    n = F.col("n")
+    per_item = cells.groupBy(item).agg(F.count("*").alias("n"))
+    return per_item.agg(F.count("*").alias("n_items"), F.coalesce(F.max("n"), F.lit(0)).alias("most_entities"), F.coalesce(F.sum(F.floor(n * (n - 1) / 2)), F.lit(0)).alias("n_pair_rows"))
+
+
+def mean_pairwise_distance(events: DataFrame, value: Column, entity: str, item: str, block: int = BLOCK) -> DataFrame:
     """One row: the mean, over pairs of entities with shared items, of the mean absolute difference of
     their values; and the number of such pairs.
 
-    Pairs meet on shared items only. An item that very many entities share makes a square of pairs by
-    itself; such pairs are what the metric is about.
+    Pairs meet on shared items only (pairwise_work() tells how many there are). The entities of an item that very many
+    share are dealt to blocks, and blocks meet two by two, each pair of blocks in a key of its own.
     """
-    cells = by_group(events.where(F.col(entity).isNotNull()), value, entity, item).select(F.col(entity).alias("e"), F.col(item).alias("i"), F.col("mean").alias("x"))
-    other = cells.select(F.col("e").alias("f"), "i", F.col("x").alias("y"))
-    pairs = cells.join(other, "i").where("e < f").groupBy("e", "f").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("d"))
+    cells = by_group(events.where(F.col(entity).isNotNull() & F.col(item).isNotNull()), value, entity, item).select(F.col(entity).alias("e"), F.col(item).alias("i"), F.col("mean").alias("x"))
+    sizes = cells.groupBy("i").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = cells.join(sizes, "i", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("e"), "blocks").cast("int"))
+    left = dealt.select("e", "i", "x", F.col("b").alias("low"), F.explode(F.sequence("b", F.col("blocks") - 1)).alias("high"))
+    right = dealt.select(F.col("e").alias("f"), "i", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), "b")).alias("low"), F.col("b").alias("high"))
+    met = left.join(right, ["i", "low", "high"]).where("low < high OR e < f")
+    pairs = met.groupBy(F.least("e", "f").alias("e"), F.greatest("e", "f").alias("f")).agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("d"))
     return pairs.agg(F.avg("d").alias("mean_distance"), F.count("*").alias("n_pairs"))
 
 

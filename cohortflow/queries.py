@@ -78,7 +78,8 @@ def rating() -> Column:
 
 def conditions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The reference's rows and those of all conditions, labelled."""
-    ev = A.evaluations(spark, sf_dir).select(F.concat_ws("-", "model", "strategy").alias("label"), "panelist_id", "product_id", rating().alias("rating"), P.label(F.col("outcomes"), "rating").alias("raw_label"), "real", "_ord")
+    rated = A.reviews(spark, sf_dir).where("user_id IS NOT NULL")
+    ev = rated.select(F.concat_ws("-", "model", "strategy").alias("label"), F.col("user_id").alias("panelist_id"), F.col("parent_asin").alias("product_id"), "rating", P.number_label(F.col("rating")).alias("raw_label"), "real", "_ord")
     return ev.where("real"), ev.where("NOT real")
 
 
@@ -309,6 +310,11 @@ def pairwise_product_distance(spark, sf):
     return rounded(M.mean_pairwise_distance(A.evaluations(spark, sf), rating(), "product_id", "panelist_id"))
 
 
+@query(f"WITH {EVENTS}, c AS (SELECT product_id, count(DISTINCT panelist_id) AS n FROM ev WHERE rating IS NOT NULL GROUP BY 1) SELECT count(*) AS n_items, max(n) AS most_entities, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS n_pair_rows FROM c")
+def pairwise_panelist_work(spark, sf):
+    return M.pairwise_work(A.evaluations(spark, sf), rating(), "panelist_id", "product_id")
+
+
 # selections
 
 
