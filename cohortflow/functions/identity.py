@@ -33,16 +33,41 @@ def canonical_digest(raw: pd.Series) -> pd.Series:
     return raw.map(one, na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def blake_id(text: pd.Series) -> pd.Series:
-    """blake2b of 128 bits in hex."""
-    return text.map(lambda s: hashlib.blake2b(s.encode(), digest_size=16).hexdigest(), na_action="ignore")
+def shown(value: object) -> str:
+    """A value as event ids spell it: texts quoted, lists and objects item by item, keys in order."""
+    if value is None:
+        return "null"
+    if isinstance(value, list):
+        return f"[{','.join(map(shown, value))}]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{k}:{shown(value[k])}" for k in sorted(value)) + "}"
+    return repr(value)
+
+
+def spelled_id(namespace: str, parts: dict) -> str:
+    """blake2b of 128 bits in hex, of the namespace and the named parts in order of their names."""
+    text = "|".join([namespace, *[f"{k}={shown(parts[k])}" for k in sorted(parts)]])
+    return hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
 
 
 def event_id(namespace: str, **parts: Column) -> Column:
-    """Stable id of an event: the namespace and the named parts in order of their names."""
-    named = [F.concat(F.lit(f"|{k}="), F.coalesce(parts[k].cast("string"), F.lit("None"))) for k in sorted(parts)]
-    return blake_id(F.concat(F.lit(namespace), *named))
+    """spelled_id() of columns: texts, whole numbers, flags and lists of them. blake2b is no built-in function, and the
+    spelling is Python's: batches of JSON go to Python."""
+
+    @F.pandas_udf(StringType())
+    def made(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda text: spelled_id(namespace, json.loads(text)))
+
+    struct = F.struct(*[parts[k].alias(k) for k in sorted(parts)])
+    return made(F.to_json(struct, {"ignoreNullFields": "false"}))
+
+
+def evaluation_id(namespace: str, policy: Column, panelist_id: Column, t: Column, product_id: Column, selection_id: Column, schema_version: str = "0.1.0") -> Column:
+    return event_id(namespace, schema_version=F.lit(schema_version), event_type=F.lit("evaluation"), policy=policy, panelist_id=panelist_id, t=t, product_id=product_id, selection_id=selection_id)
+
+
+def selection_id(namespace: str, policy: Column, panelist_id: Column, t: Column, choice_set: Column, selected: Column, schema_version: str = "0.1.0") -> Column:
+    return event_id(namespace, schema_version=F.lit(schema_version), event_type=F.lit("selection"), policy=policy, panelist_id=panelist_id, t=t, choice_set=choice_set, selected_product_ids=selected)
 
 
 def imported_id(**parts: Column) -> Column:

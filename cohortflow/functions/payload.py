@@ -9,7 +9,10 @@ NUMBER = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 
 def _path(name: str) -> str:
-    return "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    """Paths have no escapes: a name is put between the quotes that it does not hold itself."""
+    if "'" in name and '"' in name:
+        raise ValueError(f"no path can name a field with both kinds of quotes: {name}")
+    return f'$["{name}"]' if "'" in name else f"$['{name}']"
 
 
 def field(payload: Column, name: str) -> Column:

@@ -53,12 +53,14 @@ def deterministic(rows: DataFrame, fields: list[Field]) -> DataFrame:
     return out.drop("_u")
 
 
-def evaluation_events(rows: DataFrame, fields: list[Field], policy: str = "random", *keep: str) -> DataFrame:
-    """Canonical evaluation events from assigned rows that have a column per field; keep: further columns."""
-    parts = dict(panelist_id=F.col("panelist_id"), product_id=F.col("product_id"), t=F.col("t"))
+def evaluation_events(rows: DataFrame, fields: list[Field], policy: str = "random", *keep: str, namespace: str = "events") -> DataFrame:
+    """Canonical evaluation events from assigned rows that have a column per field; keep: further columns. Rows of a
+    selection have its selection_id, which is part of their ids."""
+    chosen = F.col("selection_id") if "selection_id" in rows.columns else F.lit(None).cast("string")
+    ids = identity.evaluation_id(namespace, F.lit(policy), F.col("panelist_id"), F.col("t"), F.col("product_id"), chosen)
     shown = F.coalesce("product_display", "product_id") if "product_display" in rows.columns else F.col("product_id")
     outcomes = F.to_variant_object(F.struct(*[f.name for f in fields]))
-    return rows.select(F.lit("0.1.0").alias("schema_version"), identity.event_id("evaluation", **parts).alias("event_id"), F.lit("evaluation").alias("event_type"), F.lit(policy).alias("policy"), "panelist_id", "t", "product_id", shown.alias("product_display"), outcomes.alias("outcomes"), *keep)
+    return rows.select(F.lit("0.1.0").alias("schema_version"), ids.alias("event_id"), F.lit("evaluation").alias("event_type"), F.lit(policy).alias("policy"), "panelist_id", "t", "product_id", shown.alias("product_display"), outcomes.alias("outcomes"), *keep)
 
 
 def render(template: str, **values: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import payload as P
 from ..functions import stats as S
+from .features import leaves
 
 
 def evaluations(events: DataFrame) -> DataFrame:
@@ -151,12 +152,11 @@ def flat_evaluations(events: DataFrame, outcomes: list[str], features: list[str]
 
 
 def feature_paths(events: DataFrame, payload: str) -> DataFrame:
-    """path, value of all scalar leaves of an object, with dotted paths; lists are left out."""
-    level = events.select("event_id", F.explode(F.try_variant_get(F.col(payload), "$", "map<string,variant>")).alias("path", "v"))
-    done, deeper = None, P.is_object(F.col("v"))
-    while True:  # one round for each level of nesting that the data have
-        leaf = level.where(~deeper & ~F.schema_of_variant("v").startswith("ARRAY")).select("event_id", "path", F.to_json("v").alias("value"))
-        done = leaf if done is None else done.unionByName(leaf)
-        if level.where(deeper).isEmpty():
-            return done
-        level = level.where(deeper).select("event_id", "path", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("k", "w")).select("event_id", F.concat_ws(".", "path", "k").alias("path"), F.col("w").alias("v"))
+    """path, value of all scalar leaves of an object, with dotted paths; lists are left out. The paths are found
+    first (features.leaves), then all are read in one pass."""
+    (found,) = leaves(events, payload)
+    if not found:
+        return events.select("event_id", F.lit("").alias("path"), F.lit("").alias("value")).limit(0)
+    each = F.array(*[F.struct(F.lit(leaf.name).alias("path"), F.try_variant_get(F.col(payload), leaf.path, "variant").alias("v")) for leaf in found])
+    rows = events.select("event_id", F.explode(each).alias("x")).select("event_id", "x.path", "x.v")
+    return rows.where(F.col("v").isNotNull() & ~F.schema_of_variant("v").rlike("^(ARRAY|OBJECT)")).select("event_id", "path", F.to_json("v").alias("value"))

@@ -60,8 +60,7 @@ def selection_events(rows: DataFrame, policy: Policy, namespace: str = "events")
     """Canonical selection events from panelist_id, t, choice_set, selected_product_ids; executed and
     dropped products are always recorded in traces."""
     executed, dropped = execute(F.col("selected_product_ids"), F.col("choice_set"), policy.cap, not policy.allow_empty)
-    lists = {c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]")) for c in ("choice_set", "selected_product_ids")}
-    ids = identity.event_id(namespace, event_type=F.lit("selection"), policy=F.lit(policy.name), panelist_id=F.col("panelist_id"), t=F.col("t"), **lists)
+    ids = identity.selection_id(namespace, F.lit(policy.name), F.col("panelist_id"), F.col("t"), F.col("choice_set"), F.col("selected_product_ids"))
     done = rows.withColumn("executed", executed).withColumn("dropped", dropped)
     return done.select(
         F.lit("0.1.0").alias("schema_version"), ids.alias("event_id"), F.lit("selection").alias("event_type"), F.lit(policy.name).alias("policy"), "panelist_id", "t", "choice_set", "selected_product_ids",

@@ -543,7 +543,7 @@ def deterministic_outcomes(spark, sf):
 @query()
 def event_ids(spark, sf):
     rows = A.evaluations(spark, sf)
-    return rows.select(F.col("_ord").alias("id"), identity.event_id("evaluation", panelist_id=F.col("panelist_id"), product_id=F.col("product_id"), t=F.col("t")).alias("event_id"))
+    return rows.select(F.col("_ord").alias("id"), identity.evaluation_id("events", F.col("policy"), F.col("panelist_id"), F.col("t"), F.col("product_id"), F.lit(None).cast("string")).alias("event_id"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS product_id, 'Rate ' || p_name || ' by ' || p_brand || ' (' || p_size || ')' AS prompt FROM part")

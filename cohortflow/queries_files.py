@@ -11,21 +11,22 @@ from .operators import runs as N
 from .operators import subset as U
 from .operators import validate as V
 from .plans.storage import scratch
-from .queries import EVENTS, ITEMS, REVIEWS, conditions, frozen, query, raw_events
+from .queries import EVENTS, INTENT, ITEMS, RATING, REVIEWS, frozen, query, r6, raw_events
 from .sources import adapters as A
 from .sources import jsonl as J
+from .sources import landing as L
 from .sources import raw_files as W
 from .sources import reviews as I
 
 
 def review_lines(spark, sf, compression: str = "none") -> str:
-    """A file of raw reviews, with votes under either name and some timestamps as padded text."""
+    """Files of raw reviews, in order of their names, with votes under either name and some timestamps as padded text."""
     rows = A.reviews(spark, sf).orderBy("_ord")
     votes = [F.when(F.col("_ord") % 2 == k, F.col("helpful_vote")).alias(n) for k, n in ((0, "helpful_vote"), (1, "helpful_votes"))]
     stamp = F.when(F.col("_ord") % 5 == 0, F.concat(F.lit(" "), F.col("timestamp").cast("string"))).otherwise(F.col("timestamp").cast("string"))
     path = scratch(spark) + (".jsonl.gz" if compression == "gzip" else ".jsonl")
     struct = F.struct("user_id", "parent_asin", "asin", stamp.alias("timestamp"), "rating", "verified_purchase", *votes, F.concat(F.lit("  "), F.col("comment")).alias("title"), F.col("_ord").alias("id"))
-    rows.coalesce(1).select(F.to_json(struct).alias("value")).write.option("compression", compression).text(path)
+    rows.select(F.to_json(struct).alias("value")).write.option("compression", compression).text(path)
     return path
 
 
@@ -52,7 +53,7 @@ def item_lines(spark, sf) -> str:
         F.when(k % 4 == 0, "none").otherwise(F.col("p_retailprice").cast("string")).alias("price"), (F.col("p_size") + 0.5).alias("rating_number"), F.array(F.lit(" a "), F.lit(""), F.col("p_type")).alias("categories"),
     )
     path = scratch(spark) + ".jsonl"
-    rows.coalesce(1).select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
     return path
 
 
@@ -82,7 +83,7 @@ def bundle_export(spark, sf):
 @query("SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size > 5 THEN p_size END AS size FROM part")
 def jsonl_round_trip(spark, sf):
     path = scratch(spark)
-    J.write_jsonl(A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 5, F.col("p_size")).alias("size")), path, single_file=True)
+    J.write_jsonl(A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 5, F.col("p_size")).alias("size")), path)
     row = F.col("row")
     return J.scan(spark, path).select(P.number(row, "id").cast("bigint").alias("id"), P.string(row, "name").alias("name"), P.number(row, "size").cast("int").alias("size"))
 
@@ -124,7 +125,7 @@ def planned(spark, sf):
 @query(SCHEDULE)
 def schedule_from_csv(spark, sf):
     path = scratch(spark)
-    planned(spark, sf).coalesce(1).write.csv(path, header=True)
+    planned(spark, sf).write.csv(path, header=True)
     return J.load_schedule(spark, path, "csv_long")
 
 
@@ -133,8 +134,8 @@ def schedule_from_json(spark, sf):
     path, rows = scratch(spark), planned(spark, sf)
     lists = rows.groupBy(F.btrim("panelist_id").alias("panelist_id"), F.coalesce("t", F.lit("0")).alias("t")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.substring("product_id", 2, 20).cast("bigint").alias("o"), "product_id"))), lambda x: x["product_id"]).alias("items"))
     one = lists.groupBy("panelist_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "items"))).alias("by_t"))
-    # a schedule file is one JSON object
-    one.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("panelist_id", "by_t")))).alias("value")).coalesce(1).write.text(path)
+    # a schedule file is one JSON object; here one file for each group of panelists
+    one.groupBy(F.pmod(F.xxhash64("panelist_id"), F.lit(64))).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("panelist_id", "by_t")))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
     return J.load_schedule(spark, path, "json")
 
 
@@ -159,7 +160,7 @@ def imported_event_ids(spark, sf):
 
 @query(f"WITH {EVENTS} SELECT count(*) AS n, count(DISTINCT (panelist_id, product_id, t)) AS n_distinct, CAST(32 AS BIGINT) AS width, TRUE AS hex FROM ev")
 def event_id_shape(spark, sf):
-    ids = A.evaluations(spark, sf).select(identity.event_id("evaluation", panelist_id=F.col("panelist_id"), product_id=F.col("product_id"), t=F.col("t")).alias("e"))
+    ids = A.evaluations(spark, sf).select(identity.evaluation_id("events", F.col("policy"), F.col("panelist_id"), F.col("t"), F.col("product_id"), F.lit(None).cast("string")).alias("e"))
     return ids.agg(F.count("*").alias("n"), F.count_distinct("e").alias("n_distinct"), F.max(F.length("e")).cast("bigint").alias("width"), F.bool_and(F.col("e").rlike("^[0-9a-f]{32}$")).alias("hex"))
 
 
@@ -186,14 +187,15 @@ def subset_products_semi(spark, sf):
     return U.products_of(I.products(A.metadata(spark, sf)), ids).select("product_id", "title", "price")
 
 
-@query(f"WITH {EVENTS}, p AS (SELECT product_id FROM ev WHERE rating IS NOT NULL GROUP BY 1 HAVING count(*) >= 30) SELECT count(*) AS n, count(DISTINCT label) AS n_labels FROM (SELECT model || '-' || strategy AS label FROM ev WHERE NOT is_real) HAVING (SELECT count(*) FROM p) >= 0")
+@query(f"WITH {EVENTS}, p AS (SELECT product_id FROM ev WHERE rating IS NOT NULL GROUP BY 1 HAVING count(*) >= 30) SELECT 'subset' AS name, event_id AS id, product_id, CAST(rating AS VARCHAR) AS value FROM ev WHERE rating IS NOT NULL AND product_id IN (SELECT product_id FROM p) UNION ALL SELECT 'condition', event_id, product_id, '[\"' || model || '\",\"' || strategy || '\"]' FROM ev WHERE NOT is_real")
 def result_tables_round_trip(spark, sf):
-    """A subset and a comparison written as tables, then read again."""
+    """A subset and a table with a nested column written, then read again from CSV, value by value."""
     folder = scratch(spark)
-    rows = conditions(spark, sf)[1].select("label", "panelist_id", "product_id", "rating")
-    W.write_tables({"subset": frozen(spark, sf).select("event_id", "product_id", F.col("_rating").alias("rating")), "conditions": rows}, folder)
-    W.write_tables({"conditions": rows.limit(0)}, folder, overwrite=False)
-    return spark.read.csv(f"{folder}/conditions.csv", header=True).agg(F.count("*").alias("n"), F.count_distinct("label").alias("n_labels"))
+    real = A.evaluations(spark, sf).where("NOT real").select("event_id", "product_id", F.array("model", "strategy").alias("condition"))
+    W.write_tables({"subset": frozen(spark, sf).select("event_id", "product_id", F.col("_rating").alias("rating")), "conditions": real}, folder)
+    W.write_tables({"conditions": real.limit(0)}, folder, overwrite=False)
+    read = lambda name, value: spark.read.csv(f"{folder}/{name}.csv", header=True, escape='"').select(F.lit("subset" if name == "subset" else "condition").alias("name"), F.col("event_id").alias("id"), "product_id", F.col(value).alias("value"))
+    return read("subset", "rating").unionByName(read("conditions", "condition"))
 
 
 @query(f"WITH {EVENTS} SELECT CAST(200 AS BIGINT) AS n, CAST(200 AS BIGINT) AS n_distinct, TRUE AS all_known FROM (SELECT count(*) AS c FROM ev) WHERE c >= 200")
@@ -210,3 +212,43 @@ def seeded_subset_counts(spark, sf):
     ids = U.chosen(can, 20, 7)
     return ids.join(can.select("product_id", F.lit(1).alias("one")), "product_id", "left").agg(F.count("*").alias("n"), F.sum("one").alias("n_eligible"))
 
+
+
+@query(f"WITH {EVENTS}, p AS (SELECT product_id FROM ev WHERE rating IS NOT NULL GROUP BY 1 HAVING count(*) >= 30) SELECT '{{\"event_id\": \"' || event_id || '\",  \"product_id\":\"' || product_id || '\"}}' AS line FROM ev WHERE product_id IN (SELECT product_id FROM p)")
+def subset_lines_unchanged(spark, sf):
+    """Event lines, spaces and all, that a subset keeps: as they were read."""
+    path, out = scratch(spark), scratch(spark)
+    ev = A.evaluations(spark, sf)
+    ev.select(F.format_string('{"event_id": "%s",  "product_id":"%s"}', "event_id", "product_id").alias("value")).write.text(path)
+    lines = J.scan(spark, path).withColumn("product_id", P.string(F.col("row"), "product_id"))
+    W.write_lines(lines.join(U.eligible(ev, 30).select("product_id"), "product_id", "left_semi"), out)
+    return spark.read.text(out).select(F.col("value").alias("line"))
+
+
+@query(f"WITH {EVENTS} SELECT product_id, count(*) AS n, round(avg(rating), 6) + 0.0 AS mean, min(intent) AS least_intent FROM ev WHERE rating >= 4 GROUP BY 1")
+def landed_events(spark, sf):
+    """Events of both types landed as typed Parquet, then filtered by type and value."""
+    folder = scratch(spark)
+    both = A.evaluations(spark, sf).unionByName(A.selections(spark, sf).drop("executed", "dropped"), allowMissingColumns=True)
+    L.land(both, folder, [RATING, INTENT])
+    rows = L.landed(spark, folder).where("event_type = 'evaluation' AND outcome_rating >= 4")
+    return rows.groupBy("product_id").agg(F.count("*").alias("n"), r6(F.avg("outcome_rating")).alias("mean"), F.min("outcome_intent").alias("least_intent"))
+
+
+@query(f"WITH {EVENTS} SELECT count(*) AS n_rows, count(DISTINCT panelist_id) AS panelists, count(DISTINCT product_id) AS products, count(DISTINCT t) AS periods, CAST(7 AS BIGINT) AS seed, 'manual' AS policy, sha256('{{\"a\":[1,2]}}') AS digest FROM ev")
+def run_metadata_record(spark, sf):
+    """A run's description, written as a line of JSON and read again."""
+    path = scratch(spark)
+    J.write_jsonl(W.run_metadata(A.evaluations(spark, sf), 7, "manual", {"a": [1, 2]}), path)
+    row = F.col("row")
+    counts = [P.number(P.field(row, "counts"), c).cast("bigint").alias(n) for c, n in (("rows", "n_rows"), ("panelists", "panelists"), ("products", "products"), ("periods", "periods"))]
+    return J.scan(spark, path).select(*counts, P.number(row, "seed").cast("bigint").alias("seed"), P.string(row, "policy").alias("policy"), P.string(row, "config_hash_sha256").alias("digest"))
+
+
+@query(f"WITH {REVIEWS} SELECT ord AS id, comment AS title, asin AS child, ts AS stamp, CASE WHEN comment IS NULL THEN 'source' ELSE 'review_title,source' END AS keys FROM reviews WHERE user_id IS NOT NULL")
+def import_traces(spark, sf):
+    """Traces of imported reviews: texts under their names, the source, and no nulls."""
+    reviews = A.reviews(spark, sf).withColumn("title", F.concat(F.lit(" "), F.col("comment")))
+    ev = I.events(reviews, I.products(A.metadata(spark, sf)), I.personas(reviews, 3))
+    source = P.field(F.col("traces"), "source")
+    return ev.select(F.col("_ord").alias("id"), P.string(F.col("traces"), "review_title").alias("title"), P.string(source, "child_asin").alias("child"), P.number(source, "timestamp").cast("bigint").alias("stamp"), F.array_join(F.array_sort(P.keys(F.col("traces"))), ",").alias("keys"))

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from .functions import payload as P
 from .operators import absorb as B
 from .operators import designs as Z
+from .operators import features as X
 from .operators import generate as G
 from .operators import regression as R
 from .operators import runs as N
 from .queries import INTENT, RATING, SELECTIONS, catalog, coefficients, deterministic_outcomes, design, iid_weighted_assign, llm_mock_outcomes, panelists, query, r6, uniform_assign
 from .queries_files import planned
+from .plans.storage import scratch
 from .sources import adapters as A
 from .sources import jsonl as J
+from .sources import raw_files as W
 
 # exposure and runs
 
@@ -324,3 +327,36 @@ def ordered_probit_thresholds(spark, sf):
     """The cut points as shares, and their errors by way of the normal density there."""
     rows = [(r.term, float(R.normal_cdf(r.estimate)), float(R.normal_pdf(r.estimate)) * r.std_error) for r in thresholds(spark, sf, "ordered_probit").collect()]  # a row a cut point
     return spark.createDataFrame(rows, "term string, share double, error double").select("term", r6("share").alias("share"), r6("error").alias("error_of_share"))
+
+
+# features that no one declared; results on disk
+
+FOUND = "WITH l AS (SELECT l_extendedprice / 1000 AS y, c_acctbal AS x1, CAST(p_size AS DOUBLE) AS x2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey)"
+
+
+def feature_rows(spark, sf):
+    """Line items with panelist_features and product_features as open payloads."""
+    rows = A.table(spark, sf, "lineitem").join(A.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(A.table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(A.table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    person = F.to_variant_object(F.struct(F.struct(F.col("c_acctbal").alias("balance")).alias("account"), F.array("c_mktsegment").alias("segments")))
+    thing = F.to_variant_object(F.struct(F.col("p_size").alias("size"), F.lit(None).cast("string").alias("nothing")))
+    return rows.select((F.col("l_extendedprice") / 1000).alias("price"), F.col("o_custkey").cast("string").alias("panelist_id"), F.col("l_partkey").cast("string").alias("product_id"), person.alias("panelist_features"), thing.alias("product_features"))
+
+
+@query(f"""{FOUND}, m AS (SELECT avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, covar_pop(y, x1) AS s1y, covar_pop(y, x2) AS s2y, var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12 FROM l),
+ b AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM m)
+ SELECT 'const' AS term, round(my - b1 * m1 - b2 * m2, 6) + 0.0 AS estimate FROM b UNION ALL SELECT 'panelist.account.balance', round(b1, 6) + 0.0 FROM b UNION ALL SELECT 'product.size', round(b2, 6) + 0.0 FROM b""")
+def design_from_found_features(spark, sf):
+    """A design from whatever scalar features the payloads hold."""
+    rows = X.as_columns(feature_rows(spark, sf), {"panelist": "panelist_features", "product": "product_features"}).drop("panelist_features", "product_features")
+    return coefficients(R.fit(Z.build(rows, "panelist_plus_product_features", "price")), spark).select("term", "estimate")
+
+
+@query(f"{TWO} SELECT 'coefficients_full' AS name, term, round(e, 6) + 0.0 AS estimate FROM (SELECT 'const' AS term, my - b1 * m1 - b2 * m2 AS e FROM b UNION ALL SELECT 'x1', b1 FROM b UNION ALL SELECT 'x2', b2 FROM b) UNION ALL SELECT 'coefficients_attributes', term, round(e, 6) + 0.0 FROM (SELECT 'x1' AS term, b1 AS e FROM b UNION ALL SELECT 'x2', b2 FROM b) UNION ALL SELECT 'coefficients_top_attributes', CASE WHEN abs(b1) >= abs(b2) THEN 'x1' ELSE 'x2' END, round(CASE WHEN abs(b1) >= abs(b2) THEN b1 ELSE b2 END, 6) + 0.0 FROM b UNION ALL SELECT 'dropped_columns', 'again', NULL UNION ALL SELECT 'summary', 'ols', CAST((SELECT count(*) FROM lineitem) AS DOUBLE)")
+def fit_tables_round_trip(spark, sf):
+    """A regression's tables on disk, read again from CSV."""
+    d, folder = design(spark, sf, "y", "x1", "again", "x2"), scratch(spark)
+    out = R.fit(R.Design(d.rows.withColumn("again", F.col("x1")), "y", d.columns))
+    W.write_tables(W.fit_tables(spark, out, "two", "y", top=1), folder)
+    read = lambda name, term, value: spark.read.csv(f"{folder}/{name}.csv", header=True).select(F.lit(name).alias("name"), F.col(term).alias("term"), r6(F.expr(value).cast("double")).alias("estimate"))
+    parts = [read(f"coefficients_{k}", "term", "estimate") for k in ("full", "attributes", "top_attributes")] + [read("dropped_columns", "term", "NULL"), read("summary", "family", "n")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])

@@ -14,12 +14,22 @@ class BadRows(ValueError):
     pass
 
 
+#: Where a line stands: its file, the start of the split in which it was read, and its place after that. Splits of a file
+#: are read from their start on by one task, so this orders lines of any number of files however Spark packs them.
+ORDER = "struct<file:string,start:bigint,line:bigint>"
+
+
+def in_files(rows: DataFrame) -> DataFrame:
+    """Adds _ord, the order of lines by file name and place, to rows as they are read from text files."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    return rows.withColumn("_ord", place)
+
+
 def scan(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """_ord (order of input), _raw, row (VARIANT) of each line that is not blank; .gz is unpacked, one
-    task a file, and then spread. strict: a line that is no JSON object is an error, raised when the rows
-    are read, which names the line's text. Lines of one file are in its order, whatever its splits; those of
-    a folder's files are in the order in which Spark packs them."""
-    lines = spark.read.text(path).withColumn("_ord", F.monotonically_increasing_id())
+    """_ord (order of input: by file name, then as they stand), _raw, row (VARIANT) of each line that is not blank; .gz
+    is unpacked, one task a file, and then spread. strict: a line that is no JSON object is an error, raised when
+    the rows are read, which names the line's text."""
+    lines = in_files(spark.read.text(path))
     if path.endswith(".gz"):
         lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = lines.where("trim(value) <> ''").select("_ord", F.col("value").alias("_raw"), F.try_parse_json("value").alias("row"))
@@ -37,7 +47,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def records(spark: SparkSession, path: str, key: str, variant: str, missing_ok: bool = False) -> DataFrame:
     """Dimension records (personas or products) with defaults: version 0.1.0, variant "default", spec_key
     from the attributes where it is absent. missing_ok: a missing path is an empty table."""
-    schema = f"{key} string, {variant} string, schema_version string, text string, attributes variant, spec_key string, _ord bigint"
+    schema = f"{key} string, {variant} string, schema_version string, text string, attributes variant, spec_key string, _ord {ORDER}"
     if missing_ok and not exists(spark, path):
         return spark.createDataFrame([], schema)
     row = F.col("row")
@@ -88,10 +98,10 @@ def schedule(rows: DataFrame, default_t: int = 0, panelists: DataFrame | None =
 
 
 def schedule_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    rows = spark.read.csv(path, header=True)
+    rows = in_files(spark.read.csv(path, header=True))
     if "t" not in rows.columns:
         rows = rows.withColumn("t", F.lit(None).cast("string"))
-    return schedule(rows.withColumn("_ord", F.monotonically_increasing_id()), **options)
+    return schedule(rows, **options)
 
 
 def schedule_json(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import payload as P
+from ..functions.identity import canonical_json, json_digest
+from ..operators.designs import selected, top_attributes
+from ..operators.regression import Result
 from . import reviews as R
 from .jsonl import scan, write_jsonl
 
@@ -74,10 +77,39 @@ def export(b: Bundle, folder: str) -> None:
         write_jsonl(df.drop("_ord") if "_ord" in df.columns else df, f"{folder}/{name}.jsonl")
 
 
+def write_lines(rows: DataFrame, path: str) -> None:
+    """Rows of scan(), filtered or joined meanwhile, as the lines that they were, in order."""
+    rows.orderBy("_ord").select("_raw").write.mode("overwrite").text(path)
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str, overwrite: bool = True) -> None:
-    """Results (metrics, comparisons, coefficients, subsets) as Parquet and, where no column is nested, as CSV
-    tables; overwrite=False leaves those alone that are there."""
+    """Results (metrics, comparisons, coefficients, subsets) as Parquet and CSV tables, nested columns as JSON in the
+    latter; overwrite=False leaves those alone that are there."""
+    mode = "overwrite" if overwrite else "ignore"
     for name, df in tables.items():
-        df.write.mode("overwrite" if overwrite else "ignore").parquet(f"{folder}/{name}.parquet")
-        if not any(k.startswith(("array", "map", "struct", "variant")) for _, k in df.dtypes):
-            df.write.mode("overwrite" if overwrite else "ignore").csv(f"{folder}/{name}.csv", header=True)
+        df.write.mode(mode).parquet(f"{folder}/{name}.parquet")
+        flat = [F.to_json(c).alias(c) if k.startswith(("array", "map", "struct", "variant")) else F.col(f"`{c}`") for c, k in df.dtypes]
+        df.select(*flat).write.mode(mode).option("escape", '"').csv(f"{folder}/{name}.csv", header=True)
+
+
+def fit_tables(spark: SparkSession, fit: Result, design: str = "", outcome: str = "", top: int = 20) -> dict[str, DataFrame]:
+    """What a regression leaves: a summary row, all coefficients, those of attributes, the top ones, dropped columns."""
+    coefficients = fit.frame(spark)
+    known = {k: v for k, v in fit.fit.items() if v == v}
+    summary = spark.createDataFrame([(fit.family, design, outcome, float(fit.n), len(fit.terms), fit.df)], "family string, design string, outcome string, n double, n_terms long, df double")
+    return {
+        "summary": summary.select("*", *[F.lit(float(v)).alias(f"fit_{k}") for k, v in known.items()]), "coefficients_full": coefficients,
+        "coefficients_attributes": selected(coefficients, intercept=False, thresholds=False, fixed_effects=False), "coefficients_top_attributes": top_attributes(coefficients, top),
+        "dropped_columns": spark.createDataFrame(fit.dropped, "term string, reason string"),
+    }
+
+
+def run_metadata(events: DataFrame, seed: int, policy: str | None = None, config: dict | None = None, schema_version: str = "0.1.0", extra: dict | None = None) -> DataFrame:
+    """One row that describes a run: counts of its events, seed, policy, and the configuration with its hash (absent and
+    empty ones: null)."""
+    seen = events.agg(F.count("*").alias("rows"), *[F.count_distinct(c).alias(n) for c, n in (("panelist_id", "panelists"), ("product_id", "products"), ("t", "periods"))])
+    texts = {"policy": policy, "config_hash_sha256": json_digest(config) if config else None, "config_snapshot": canonical_json(config) if config else None, "extra": canonical_json(extra) if extra else None}
+    return seen.select(
+        F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("generated_at_utc"), F.lit(schema_version).alias("schema_version"), F.lit(seed).cast("bigint").alias("seed"),
+        F.struct("rows", "panelists", "products", "periods").alias("counts"), *[F.lit(v).cast("string").alias(k) for k, v in texts.items()],
+    )

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import identity
+from ..functions import payload as P
 from ..plans.storage import stored
 
 
@@ -74,8 +75,26 @@ def matched(reviews: DataFrame, items: DataFrame) -> DataFrame:
     return reviews.join(known, "parent_asin", "left").withColumn("matched", F.coalesce(F.col("_known") & named, F.lit(False))).drop("_known")
 
 
-def events(reviews: DataFrame, items: DataFrame, people: DataFrame, mode: str = "panelist_sequence", require_match: bool = False) -> DataFrame:
-    """Canonical evaluation events. t is given before unmatched reviews go, so gaps stay. Products
+#: Texts of a review and their names among an event's traces.
+TRACES = {"title": "review_title", "text": "review_text"}
+
+
+def traces(reviews: DataFrame, names: dict[str, str] | None = None, raw: bool = False) -> Column:
+    """VARIANT: the review's trimmed texts under their names, and its source (child_asin, timestamp; raw: the review's
+    fields, nulls too). Absent and empty values are left out; nothing left: null."""
+    names = TRACES if names is None else names
+    texts = [P.clean_text(F.col(c)).alias(n) for c, n in names.items() if c in reviews.columns]
+    parts = [F.col("asin").alias("child_asin"), F.col("timestamp").alias("timestamp")]
+    if raw:
+        fields = [c for c in ("asin", "parent_asin", "title", "text", "rating", "helpful_vote", "verified_purchase", "timestamp") if c in reviews.columns]
+        parts.append(F.parse_json(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})).alias("raw"))
+    source = F.to_json(F.struct(*parts))
+    made = F.to_json(F.struct(*texts, F.when(source != "{}", F.parse_json(source)).alias("source")))
+    return F.parse_json(F.nullif(made, F.lit("{}")))
+
+
+def events(reviews: DataFrame, items: DataFrame, people: DataFrame, mode: str = "panelist_sequence", require_match: bool = False, trace_names: dict[str, str] | None = None, raw: bool = False) -> DataFrame:
+    """Canonical evaluation events, with traces(). t is given before unmatched reviews go, so gaps stay. Products
     without metadata show "" and {}; users without a persona have no features. One shuffle by user
     serves the sequence and the persona lookup."""
     rows = sequenced(reviews, mode).where("user_id <> '' AND parent_asin <> ''")
@@ -90,7 +109,7 @@ def events(reviews: DataFrame, items: DataFrame, people: DataFrame, mode: str =
         F.col("user_id").alias("panelist_id"), "t", F.lit(None).cast("string").alias("selection_id"), F.lit(None).cast("array<string>").alias("choice_set"),
         F.lit(None).cast("array<string>").alias("selected_product_ids"), F.col("parent_asin").alias("product_id"), F.coalesce("display_name", F.lit("")).alias("product_display"),
         F.parse_json(F.coalesce("panelist_features", empty)).alias("panelist_features"), F.parse_json(F.coalesce("product_features", empty)).alias("product_features"),
-        F.to_variant_object(F.struct("rating", "verified_purchase", "helpful_vote")).alias("outcomes"), F.to_variant_object(F.struct("asin", "timestamp")).alias("traces"), "_ord",
+        F.to_variant_object(F.struct("rating", "verified_purchase", "helpful_vote")).alias("outcomes"), traces(joined, trace_names, raw).alias("traces"), "_ord",
     )
 
 

@@ -54,9 +54,19 @@ def test_outcomes_suit_families():
 def test_golden_hashes(spark):
     assert runs.nonce("personas", 7, 0) == hashlib.sha256(b'{"batch_idx":0,"kind":"personas","seed":7}').hexdigest()[:12]
     assert runs.message_digest([{"role": "user", "content": " hi "}]) == runs.message_digest([{"content": "hi"}])
+    row = spark.createDataFrame([("p", "it's \\ \u200b\n", 3, ["a,b", "c"], ["c"])], "panelist_id string, product_id string, t long, choice_set array<string>, selected array<string>")
+    blake = lambda text: hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
+    c, none = F.col, F.lit(None).cast("string")
+    ids = row.select(
+        identity.evaluation_id("ns", F.lit("random"), c("panelist_id"), c("t"), c("product_id"), none).alias("plain"), identity.evaluation_id("ns", F.lit("self_selection"), c("panelist_id"), c("t"), c("product_id"), F.lit("s1")).alias("chosen"),
+        identity.selection_id("ns", F.lit("self_selection"), c("panelist_id"), c("t"), c("choice_set"), c("selected")).alias("selection"),
+    ).first()
+    start = "ns|event_type='evaluation'|panelist_id='p'|"
+    assert ids.plain == blake(start + r"""policy='random'|product_id="it's \\ \u200b\n"|schema_version='0.1.0'|selection_id=null|t=3""")
+    assert ids.chosen == blake(start + r"""policy='self_selection'|product_id="it's \\ \u200b\n"|schema_version='0.1.0'|selection_id='s1'|t=3""")
+    assert ids.selection == blake("ns|choice_set=['a,b','c']|event_type='selection'|panelist_id='p'|policy='self_selection'|schema_version='0.1.0'|selected_product_ids=['c']|t=3")
+    assert identity.shown({"b": [1, None, True], "a": 2.5}) == "{a:2.5,b:[1,null,True]}"
     row = spark.createDataFrame([("p", None, 3)], "panelist_id string, product_id string, t long")
-    ids = row.select(identity.event_id("ns", **{c: F.col(c) for c in row.columns}).alias("e")).first().e
-    assert ids == hashlib.blake2b(b"ns|panelist_id=p|product_id=None|t=3", digest_size=16).hexdigest()
     made = generate.deterministic(row.withColumn("product_id", F.lit("q")), [Field("rating", "int", True, (), 1, 5), Field("f", "float", True, (), 0, 2), Field("b", "bool")]).first()
     u = int.from_bytes(hashlib.blake2b(b"p|q|3", digest_size=8).digest(), "big")
     assert (made.rating, made.f, made.b) == (1 + u % 5, 2.0 * (u % 10_000) / 10_000, u % 2 == 1)
