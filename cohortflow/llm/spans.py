@@ -34,7 +34,7 @@ TOGETHER = 1 << 18
 CROWDED = 1 << 62
 #: An fp is crowded with CROWD rows or more in one of SAMPLE documents: some 256 rows in all.
 SAMPLE, CROWD = 32, 8
-#: Crowded fps up to which they are broadcast (8 bytes each); more of them are joined by shuffle.
+#: Crowded fps up to which they go with the tasks (8 bytes each); more of them are joined by shuffle.
 BROADCAST_CROWD = 1 << 18
 ROWS = "fp long, span long, key long, at long"
 
@@ -83,18 +83,45 @@ def crowded(docs: DataFrame, by: str, window: int, inner: int, path: str | None
     return stored(counts.where(F.col("count") >= CROWD).select("fp"), path)
 
 
+def few(crowd: DataFrame) -> np.ndarray | None:
+    """The crowded fps in order, if they are BROADCAST_CROWD at most."""
+    found = crowd.limit(BROADCAST_CROWD + 1).toArrow().column(0).to_numpy()
+    return np.sort(found) if len(found) <= BROADCAST_CROWD else None
+
+
+def by_kind(fp: np.ndarray, span: np.ndarray, at: np.ndarray, crowd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """fp and at, those of crowded fps dealt by kind."""
+    if not len(crowd):
+        return fp, at
+    mine = (at >= 0) & (at < CROWDED) & (crowd[np.minimum(np.searchsorted(crowd, fp), len(crowd) - 1)] == fp)
+    return np.where(mine, fp ^ span, fp), np.where(mine, at | CROWDED, at)
+
+
 def dealt(rows: DataFrame, crowd: DataFrame) -> DataFrame:
-    """rows of winnowed(), those of crowded fps dealt by kind. crowd: fp, distinct."""
-    few = crowd.limit(BROADCAST_CROWD + 1).count() <= BROADCAST_CROWD
-    marked = crowd.withColumn("c", F.lit(True))
-    of_crowd = F.col("c").isNotNull() & (F.col("at") >= 0) & (F.col("at") < F.lit(CROWDED))
-    fp = F.when(of_crowd, F.col("fp").bitwiseXOR(F.col("span"))).otherwise(F.col("fp"))
-    at = F.when(of_crowd, F.col("at") + F.lit(CROWDED)).otherwise(F.col("at"))
-    return rows.join(F.broadcast(marked) if few else marked, "fp", "left").select(fp.alias("fp"), "span", "key", at.alias("at"))
+    """rows as winnowed() makes them, those of crowded fps (fp, distinct) dealt by kind."""
+    known = few(crowd)
+    if known is None:
+        of_crowd = F.col("c").isNotNull() & (F.col("at") >= 0) & (F.col("at") < F.lit(CROWDED))
+        fp = F.when(of_crowd, F.col("fp").bitwiseXOR(F.col("span"))).otherwise(F.col("fp"))
+        at = F.when(of_crowd, F.col("at") + F.lit(CROWDED)).otherwise(F.col("at"))
+        return rows.join(crowd.withColumn("c", F.lit(True)), "fp", "left").select(fp.alias("fp"), "span", "key", at.alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, at = by_kind(*(batch.column(i).to_numpy() for i in (0, 1, 3)), known)
+            yield pa.RecordBatch.from_arrays([pa.array(fp), batch.column(1), batch.column(2), pa.array(at)], ["fp", "span", "key", "at"])
+
+    return rows.select("fp", "span", "key", "at").mapInArrow(run, ROWS) if len(known) else rows
+
+
+def placed(docs: DataFrame, by: str, window: int, inner: int, crowd: DataFrame) -> DataFrame:
+    """winnowed(), dealt()."""
+    known = few(crowd)
+    return dealt(winnowed(docs, by, window, inner), crowd) if known is None else winnowed(docs, by, window, inner, known)
 
 
-def winnowed(docs: DataFrame, by: str, window: int, inner: int) -> DataFrame:
-    """docs: _key, text."""
+def winnowed(docs: DataFrame, by: str, window: int, inner: int, crowd: np.ndarray | None = None) -> DataFrame:
+    """docs: _key, text. crowd: fps whose rows are dealt by kind."""
     if window - inner > 254:
         raise ValueError("windows that share an inner hash are counted in 8 bits: window - inner is at most 254")
 
@@ -102,6 +129,8 @@ def winnowed(docs: DataFrame, by: str, window: int, inner: int) -> DataFrame:
         fp, span, key, at = (np.concatenate(x).astype(np.int64, copy=False) for x in zip(*found, strict=True))
         more = copies_before(fp, span, key, at) >= 2
         at = np.where(more, -1 - at, at)
+        if crowd is not None:
+            fp, at = by_kind(fp, span, at, crowd)
         fp = np.where(more, spread(key, at), fp)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, span, key, at)], ["fp", "span", "key", "at"])
 

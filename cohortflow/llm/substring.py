@@ -80,7 +80,7 @@ class FingerprintIndex:
         """docs: _key (unique over all batches), text."""
         mine = spans.crowded(docs, "words", self.window, self.inner, f"{self.folder}/crowd_{len(self.crowds)}")
         crowd = union([*self.crowds, mine]).distinct()
-        name = self.write_run(spans.dealt(spans.winnowed(docs, "words", self.window, self.inner), crowd))
+        name = self.write_run(spans.placed(docs, "words", self.window, self.inner, crowd))
         new = self.spark.table(name).where(BY_FP).select("fp")
         found = [new.groupBy("fp").count().where("count > 1").select("fp")]
         for old in self.runs():

@@ -6,7 +6,8 @@ to shards by hash. A shard builds one suffix array over its texts by Larsson-Sad
 Kasai's common prefixes of neighbours, and groups window starts whose common prefix reaches the window.
 If the texts of one hash fill several shards, a shard's first windows are merged with the sorted
 windows of the shards before by binary search. Crowded hashes (spans.py) are dealt by window instead: each
-window is a text of its own, dealt by its own hash, and of equal windows in a task only the first is sent.
+window is a row of its own (at >= CROWDED), dealt by its own hash; of equal windows in a task only the first is sent,
+and where those of one hash meet, their bytes are compared as they are.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,11 +196,26 @@ def judge_shards(batches: Iterator[pa.RecordBatch], window: int, shard_bytes: in
         t, j = text[gone], k[gone]
         return pa.RecordBatch.from_arrays([pa.array(key[t]), pa.array(((at[t] >> 8) + j) << 8 | 1)], ["key", "at"])
 
+    seen_fp, seen = None, set()
     for batch in batches:
         done = batch.filter(batch.column(3).is_null())
         if done.num_rows:
             yield done.select(["key", "at"])
             batch = batch.filter(batch.column(3).is_valid())
+        single = pc.greater_equal(batch.column(2), spans.CROWDED)
+        alone = batch.filter(single)
+        if alone.num_rows:
+            later = []
+            for i, (x, cut) in enumerate(zip(alone.column(0).to_pylist(), alone.column(3).to_pylist(), strict=True)):
+                if x != seen_fp:
+                    seen_fp, seen = x, {cut}
+                elif cut in seen:
+                    later.append(i)
+                else:
+                    seen.add(cut)
+            gone = alone.take(pa.array(later, pa.int64()))
+            yield pa.RecordBatch.from_arrays([gone.column(1), pc.subtract(gone.column(2), spans.CROWDED)], ["key", "at"])
+            batch = batch.filter(pc.invert(single))
         fp, key, at = (batch.column(i).to_pylist() for i in range(3))
         for i, text in enumerate(batch.column(3).to_pylist()):
             if size + len(text) > shard_bytes and texts:
@@ -226,7 +243,7 @@ def first_windows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
     head = cut[~gone]
     off = np.arange(len(head) + 1, dtype=np.int32) * head.shape[1]
     texts = pa.BinaryArray.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(head))])
-    yield pa.RecordBatch.from_arrays([pa.array(fp[~gone]), pa.array(key[~gone]), pa.array(first[~gone] << 8 | 1), texts], SNIPPET)
+    yield pa.RecordBatch.from_arrays([pa.array(fp[~gone]), pa.array(key[~gone]), pa.array(first[~gone] << 8 | 1 | spans.CROWDED), texts], SNIPPET)
 
 
 def snippets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -266,7 +283,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, inner: int = INNER, shard_by
     """key, list: the windows of each document that also start earlier (first << 8 | count, in bytes)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     crowd = spans.crowded(docs, "bytes", window, inner)
-    rows = spans.dealt(spans.winnowed(docs, "bytes", window, inner), crowd).repartition(parts, "fp")
+    rows = spans.placed(docs, "bytes", window, inner, crowd).repartition(parts, "fp")
     judged = spans.judged(rows, later_only=True).where("whole OR edge")
     edges = spans.lists(judged.where("edge"), F.struct("fp", "at", "crowded"))
     cuts = spans.with_text(docs, edges, "inner", partial(snippets, window=window), "fp long, key long, at long, cut binary", *columns)

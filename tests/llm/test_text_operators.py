@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortflow.llm import bpe, flat, licenses, minhash, packing, quality, substring, suffix
+from cohortflow.llm import bpe, flat, licenses, minhash, packing, quality, spans, substring, suffix
 from cohortflow.llm.queries import tokenizer_path
 
 NONE = hashlib.sha256(b"").hexdigest()
@@ -328,9 +328,12 @@ def test_suffix_of_a_table_not_in_order_of_ids(spark):
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup(docs).collect()} == brute.suffix(texts)
 
 
-@pytest.mark.parametrize("operator", ["suffix", "substring"])
+@pytest.mark.parametrize("operator", ["suffix", "substring", "joined"])
 def test_passage_in_many_surroundings(spark, monkeypatch, operator):
-    """One passage in ever different surroundings is not dealt to one task, and goes all the same."""
+    """One passage in ever different surroundings is not dealt to one task, and goes all the same; joined: with more crowded
+    hashes than tasks take along."""
+    if operator == "joined":
+        monkeypatch.setattr(spans, "BROADCAST_CROWD", 0)
     rng = np.random.default_rng(7)
     passage = [f"p{x}" for x in rng.integers(0, 10**6, 60)]
     word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
