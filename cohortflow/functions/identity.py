@@ -76,7 +76,13 @@ def imported_id(**parts: Column) -> Column:
     return F.concat(F.lit("evt_"), F.left(F.sha2(F.to_json(struct, {"ignoreNullFields": "false"}), 256), F.lit(16)))
 
 
+def bits(seed: int, *keys: Column) -> Column:
+    """52 random bits that depend on seed and keys alone, not on order or partitioning: of the md5 of their texts, so that
+    any engine can repeat the draw."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("null")) for k in keys])
+    return F.conv(F.left(F.md5(text), F.lit(13)), 16, 10).cast("bigint")
+
+
 def draw(seed: int, *keys: Column) -> Column:
-    """A uniform number in [0, 1) that depends on seed and keys alone, not on order or partitioning."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11)
-    return bits.cast("double") * F.lit(2.0**-53)
+    """A uniform number in [0, 1) from bits()."""
+    return bits(seed, *keys).cast("double") * F.lit(2.0**-52)

@@ -40,7 +40,7 @@ def balanced(panelists: DataFrame, products: DataFrame, n_periods: int = 1, per_
         raise ValueError("no products to assign")
     per_period = min(per_period, m)
     slots = periods(people, n_periods).join(people, "panelist_id").select("panelist_id", "t", "i", F.explode(upto(per_period)).alias("slot"))
-    shift = F.pmod(F.xxhash64(F.lit(seed), F.lit("shift"), "t"), F.lit(m))
+    shift = F.pmod(identity.bits(seed, F.lit("shift"), F.col("t")), F.lit(m))
     return slots.withColumn("j", F.pmod(F.col("i") * per_period + F.col("slot") + shift, F.lit(m))).join(goods, "j").select("panelist_id", "t", "slot", "product_id")
 
 
@@ -135,8 +135,8 @@ def uniform(panelists: DataFrame, products: DataFrame, k: int, n_periods: int =
         raise ValueError(f"{m} products, {k} wanted")
     prime = next(p for p in range(max(m, 2), 4 * m + 8) if all(p % d for d in range(2, int(p**0.5) + 1)))
     # places beyond the catalog are skipped: the stride walk over a prime visits k real ones within k + prime - m steps
-    start = F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "panelist_id", "t"), F.lit(prime))
-    stride = F.pmod(F.xxhash64(F.lit(seed), F.lit("stride"), "panelist_id", "t"), F.lit(prime - 1)) + 1
+    start = F.pmod(identity.bits(seed, F.lit("start"), F.col("panelist_id"), F.col("t")), F.lit(prime))
+    stride = F.pmod(identity.bits(seed, F.lit("stride"), F.col("panelist_id"), F.col("t")), F.lit(prime - 1)) + 1
     walk = F.transform(F.sequence(F.lit(0), F.lit(k + prime - m - 1)), lambda s: F.pmod(start + s.cast("bigint") * stride, F.lit(prime)))
     places = F.slice(F.filter(walk, lambda x: x < m), 1, k)
     rows = periods(panelists, n_periods).select("panelist_id", "t", F.posexplode(places).alias("slot", "j"))

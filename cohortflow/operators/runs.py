@@ -104,7 +104,7 @@ def message_digest(messages: list[dict]) -> str:
 
 def row_sample(rows: DataFrame, n: int, seed: int = 0, key: str = "event_id") -> DataFrame:
     """n rows, the same in every run: those with the smallest seeded hash of their key (ties: the key)."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return rows.orderBy(identity.bits(seed, F.col(key)), key).limit(n)
 
 
 def find_questionnaire(config: object) -> dict | None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import identity
 from ..functions import payload as P
 
 
@@ -42,7 +43,7 @@ def chosen(products: DataFrame, max_products: int | None, seed: int) -> DataFram
     id). A top-k, so no more than k ids of a task travel."""
     if max_products is None:
         return products.select("product_id")
-    return products.orderBy(F.xxhash64(F.lit(seed), "product_id"), "product_id").limit(max_products).select("product_id")
+    return products.orderBy(identity.bits(seed, F.col("product_id")), "product_id").limit(max_products).select("product_id")
 
 
 def product_ids(products: DataFrame) -> DataFrame:

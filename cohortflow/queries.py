@@ -25,6 +25,13 @@ from .sources import reviews as I
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+
+
+def bits(*keys: str) -> str:
+    """identity.bits() of SQL expressions."""
+    return f"CAST('0x' || left(md5(concat_ws('|', {', '.join(keys)})), 13) AS BIGINT)"
+
+
 REVIEWS = """reviews AS (SELECT CASE WHEN l_orderkey % 97 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS user_id, CAST(l_partkey AS VARCHAR) AS parent_asin,
  CAST(l_partkey * 1000 + l_suppkey AS VARCHAR) AS asin, CAST(epoch(l_shipdate) AS BIGINT) AS ts, CASE WHEN l_linenumber <> 7 THEN CAST(1 + floor((l_quantity - 1) / 10) AS DOUBLE) END AS rating,
  l_linestatus = 'F' AS verified, CASE WHEN l_tax > 0.07 THEN NULL WHEN l_discount < 0.03 THEN 'no' WHEN l_discount < 0.07 THEN 'maybe' ELSE 'yes' END AS intent,
@@ -378,7 +385,7 @@ def subset_stats(spark, sf):
     return rounded(U.stats(frozen(spark, sf)))
 
 
-@query()
+@query(f"WITH {EVENTS} SELECT product_id FROM (SELECT product_id, {bits('7', 'product_id')} AS b FROM ev WHERE rating IS NOT NULL GROUP BY 1 HAVING count(*) >= 25 ORDER BY b, product_id LIMIT 20)")
 def seeded_subset(spark, sf):
     return U.chosen(U.eligible(A.evaluations(spark, sf), 25), 20, 7)
 
@@ -510,7 +517,12 @@ def choice_set_all_products(spark, sf):
     return rows.select("panelist_id", "t", F.size("choice_set").cast("bigint").alias("shown"), F.md5(F.array_join("choice_set", ",")).alias("digest"))
 
 
-@query()
+#: Panelists and products in their seeded orders.
+DEALT = f"""people AS (SELECT CAST(c_custkey AS VARCHAR) AS panelist_id, row_number() OVER (ORDER BY {bits('7', "'panelist'", 'c_custkey')}, CAST(c_custkey AS VARCHAR)) - 1 AS i FROM customer),
+ goods AS (SELECT CAST(s_suppkey AS VARCHAR) AS product_id, row_number() OVER (ORDER BY {bits('7', "'product'", 's_suppkey')}, CAST(s_suppkey AS VARCHAR)) - 1 AS j, count(*) OVER () AS m FROM supplier)"""
+
+
+@query(f"WITH {DEALT}, n AS (SELECT max(m) AS m FROM goods) SELECT panelist_id, t.t, s.slot, product_id FROM people, range(2) t(t), range(2) s(slot), n JOIN goods ON j = (i * 2 + s.slot + {bits('7', chr(39) + 'shift' + chr(39), 't.t')} % n.m) % n.m")
 def balanced_quota_assign(spark, sf):
     return X.balanced(panelists(spark, sf), catalog(spark, sf), 2, 2, 7)
 
@@ -526,7 +538,11 @@ def iid_weighted_assign(spark, sf):
     return X.weighted(panelists(spark, sf), catalog(spark, sf), 2, 1, 7)
 
 
-@query()
+@query(
+    f"""WITH {DEALT}, n AS (SELECT max(m) AS m FROM goods), q AS (SELECT m, (SELECT min(p) FROM range(m, 4 * m + 8) r(p) WHERE p >= 2 AND NOT EXISTS (SELECT 1 FROM range(2, m + 8) d(d) WHERE d.d * d.d <= r.p AND r.p % d.d = 0)) AS prime FROM n),
+    w AS (SELECT panelist_id, s.s, ({bits('7', "'start'", 'panelist_id', '0')} % prime + s.s * ({bits('7', "'stride'", 'panelist_id', '0')} % (prime - 1) + 1)) % prime AS j FROM people, q, range(0, 3 + prime - m) s(s)),
+    k AS (SELECT w.*, row_number() OVER (PARTITION BY panelist_id ORDER BY s) - 1 AS slot FROM w, n WHERE w.j < n.m) SELECT panelist_id, CAST(0 AS BIGINT) AS t, slot, product_id FROM k JOIN goods ON goods.j = k.j WHERE slot < 3"""
+)
 def uniform_assign(spark, sf):
     return X.uniform(panelists(spark, sf), catalog(spark, sf), 3, 1, 7)
 

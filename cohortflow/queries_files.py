@@ -11,7 +11,7 @@ from .operators import runs as N
 from .operators import subset as U
 from .operators import validate as V
 from .plans.storage import scratch
-from .queries import EVENTS, INTENT, ITEMS, RATING, REVIEWS, frozen, query, r6, raw_events
+from .queries import EVENTS, INTENT, ITEMS, RATING, REVIEWS, bits, frozen, query, r6, raw_events
 from .sources import adapters as A
 from .sources import jsonl as J
 from .sources import landing as L
@@ -198,12 +198,9 @@ def result_tables_round_trip(spark, sf):
     return read("subset", "rating").unionByName(read("conditions", "condition"))
 
 
-@query(f"WITH {EVENTS} SELECT CAST(200 AS BIGINT) AS n, CAST(200 AS BIGINT) AS n_distinct, TRUE AS all_known FROM (SELECT count(*) AS c FROM ev) WHERE c >= 200")
+@query(f"WITH {EVENTS} SELECT event_id FROM ev ORDER BY {bits('7', 'event_id')}, event_id LIMIT 200")
 def seeded_row_sample(spark, sf):
-    ev = A.evaluations(spark, sf).select("event_id").distinct()
-    sample = N.row_sample(ev, 200, 7)
-    known = sample.join(ev.withColumn("known", F.lit(True)), "event_id", "left")
-    return known.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_distinct"), F.bool_and(F.coalesce("known", F.lit(False))).alias("all_known"))
+    return N.row_sample(A.evaluations(spark, sf).select("event_id"), 200, 7)
 
 
 @query(f"WITH {EVENTS}, p AS (SELECT product_id FROM ev WHERE rating IS NOT NULL GROUP BY 1 HAVING count(*) >= 25) SELECT least(count(*), 20) AS n, least(count(*), 20) AS n_eligible FROM p")
