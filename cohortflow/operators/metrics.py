@@ -54,6 +54,33 @@ def text_summary(long: DataFrame) -> DataFrame:
     return long.groupBy("field").agg(F.count("text").alias("n"), F.avg(n).alias("mean_chars"), F.min(n).cast("bigint").alias("min_chars"), F.max(n).cast("bigint").alias("max_chars"))
 
 
+#: Which summary suits a declared type.
+SUMMARIES = {"int": "numeric", "float": "numeric", "categorical": "categorical", "bool": "categorical", "text": "text"}
+
+
+def value_summaries(long: DataFrame, types: dict[str, str]) -> DataFrame:
+    """field, kind, n_observed, n_missing and what suits the field's declared type (others null), in one pass: mean, min,
+    max, variance of numbers; values, entropy of categories; mean_chars of texts. Fields that are not declared, or of a
+    type without a summary, are left out."""
+    kinds = {f: SUMMARIES[t] for f, t in types.items() if t in SUMMARIES}
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("field")]
+    rows = long.where(F.col("field").isin(list(kinds))).withColumn("kind", kind)
+    per_value = rows.groupBy("field", "kind", "label").agg(
+        F.count_if("there").alias("n"), F.count_if(~F.col("there")).alias("gone"), F.count("number").alias("k"), F.sum("number").alias("s"), F.min("number").alias("low"), F.max("number").alias("high"),
+        F.count("text").alias("texts"), F.sum(F.length("text")).alias("chars"),
+    )
+    # values are counted first; a label's numbers are all alike, so moments follow from the counts
+    counted = F.when(F.col("label").isNotNull(), F.col("n"))
+    mean = F.try_divide(F.sum("s"), F.sum("k"))
+    square = F.try_divide(F.sum(F.when(F.col("k") > 0, F.col("s") * F.col("s") / F.col("k"))), F.sum("k"))
+    out = per_value.groupBy("field", "kind").agg(
+        F.sum("n").alias("n_observed"), F.sum("gone").alias("n_missing"), mean.alias("mean"), F.min("low").alias("min"), F.max("high").alias("max"), F.when(F.sum("k") >= 2, F.greatest(square - mean * mean, F.lit(0.0))).alias("variance"),
+        F.count_if(counted > 0).alias("values"), S.entropy(F.when(counted > 0, counted)).alias("entropy"), F.try_divide(F.sum("chars"), F.sum("texts")).alias("mean_chars"),
+    )
+    suits = {"numeric": ("mean", "min", "max", "variance"), "categorical": ("values", "entropy"), "text": ("mean_chars",)}
+    return out.select("field", "kind", "n_observed", "n_missing", *[F.when(F.col("kind") == k, F.col(c)).alias(c) for k, names in suits.items() for c in names])
+
+
 def missing_rates(long: DataFrame) -> DataFrame:
     return long.groupBy("field").agg(S.rate(~F.col("there")).alias("missing_rate"))
 

@@ -56,6 +56,16 @@ def decide(policy: Policy, panelists: DataFrame, products: DataFrame, schedule:
     return draw(panelists, products, p.per_period, p.periods, p.seed)
 
 
+def shown(rows: DataFrame, products: DataFrame, display: str = "product_display") -> DataFrame:
+    """Decisions with the products that they name: the catalog's other columns, and product_display (without one, the
+    id). A product that the catalog does not have fails."""
+    known = products.withColumn("_known", F.lit(True))
+    joined = rows.join(known, "product_id", "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown product "), F.col("product_id"))).cast("string")
+    text = F.coalesce(F.col(display), F.col("product_id")) if display in products.columns else F.col("product_id")
+    return joined.withColumn("product_display", F.when(F.col("_known"), text).otherwise(unknown)).drop("_known")
+
+
 def selection_events(rows: DataFrame, policy: Policy, namespace: str = "events") -> DataFrame:
     """Canonical selection events from panelist_id, t, choice_set, selected_product_ids; executed and
     dropped products are always recorded in traces."""

@@ -13,8 +13,10 @@ from .operators import designs as Z
 from .operators import features as X
 from .operators import generate as G
 from .operators import regression as R
+from .operators import metrics as M
 from .operators import runs as N
-from .queries import INTENT, RATING, SELECTIONS, catalog, coefficients, deterministic_outcomes, design, iid_weighted_assign, llm_mock_outcomes, panelists, query, r6, uniform_assign
+from .operators.validate import Field
+from .queries import DEALT, EVENTS, INTENT, RATING, SELECTIONS, bits, catalog, coefficients, deterministic_outcomes, design, fields, iid_weighted_assign, llm_mock_outcomes, panelists, query, r6, rounded, uniform_assign
 from .queries_files import planned
 from .plans.storage import scratch
 from .sources import adapters as A
@@ -360,3 +362,36 @@ def fit_tables_round_trip(spark, sf):
     read = lambda name, term, value: spark.read.csv(f"{folder}/{name}.csv", header=True).select(F.lit(name).alias("name"), F.col(term).alias("term"), r6(F.expr(value).cast("double")).alias("estimate"))
     parts = [read(f"coefficients_{k}", "term", "estimate") for k in ("full", "attributes", "top_attributes")] + [read("dropped_columns", "term", "NULL"), read("summary", "family", "n")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+
+
+# dispatch by declared types, decisions with their products, coded targets
+
+
+@query(f"""WITH {EVENTS}, i AS (SELECT intent, count(*) AS n FROM ev WHERE intent IS NOT NULL GROUP BY 1) SELECT 'rating' AS field, 'numeric' AS kind, count(rating) AS n_observed, count(*) - count(rating) AS n_missing, round(avg(rating), 6) + 0.0 AS mean, round(var_pop(rating), 6) + 0.0 AS variance, CAST(NULL AS BIGINT) AS values, CAST(NULL AS DOUBLE) AS entropy FROM ev
+ UNION ALL SELECT 'intent', 'categorical', count(intent), count(*) - count(intent), NULL, NULL, (SELECT count(*) FROM i), (SELECT round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) + 0.0 FROM i) FROM ev""")
+def declared_summaries(spark, sf):
+    out = M.value_summaries(fields(spark, sf), {"rating": "int", "intent": "categorical", "absent": "json"})
+    return rounded(out).select("field", "kind", "n_observed", "n_missing", "mean", "variance", "values", "entropy")
+
+
+@query(f"WITH {DEALT}, n AS (SELECT max(m) AS m FROM goods) SELECT panelist_id, t.t, s.slot, s_name AS product_display FROM people, range(2) t(t), range(2) s(slot), n JOIN goods ON j = (i * 2 + s.slot + {bits('7', chr(39) + 'shift' + chr(39), 't.t')} % n.m) % n.m JOIN supplier ON CAST(s_suppkey AS VARCHAR) = product_id")
+def decisions_with_products(spark, sf):
+    goods = A.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("product_id"), F.col("s_name").alias("product_display"))
+    rows = N.shown(N.decide(N.Policy("random", periods=2, per_period=2, seed=7), panelists(spark, sf), goods), goods)
+    return rows.select("panelist_id", "t", "slot", "product_display")
+
+
+@query(f"WITH {EVENTS} SELECT CAST(CASE intent WHEN 'no' THEN 0 WHEN 'maybe' THEN 1 WHEN 'yes' THEN 2 END AS DOUBLE) AS code, count(*) AS n FROM ev GROUP BY 1")
+def coded_targets(spark, sf):
+    """An ordinal outcome as its places in the declared order."""
+    field = Field("intent", "categorical", True, ("no", "maybe", "yes"), analysis="ordinal", choice_order=("no", "maybe", "yes"))
+    _, order = Z.resolve([field], "intent", "ordered_logit")
+    rows = A.evaluations(spark, sf).select(P.string(F.col("outcomes"), "intent").alias("intent"))
+    return Z.target(rows, field, order).groupBy(F.col("intent").alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS product_id FROM lineitem WHERE l_partkey % 10 = 0")
+def unscheduled_products(spark, sf):
+    """Products of a schedule that the catalog does not have."""
+    plan = A.table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("product_id"))
+    return N.unscheduled_products(plan, A.metadata(spark, sf).select(F.col("parent_asin").alias("product_id")))
