@@ -104,7 +104,8 @@ def near_duplicates(vectors: DataFrame, params: Params | None = None, id_col: st
 
     Null labels and vectors that are null, zero, or hold null or non-finite components have no links.
     Vectors of different dimension do not link. If ids repeat or are null, vectors are numbered by (id,
-    vector, label), and component_id is the number. An empty table gives no rows.
+    vector, label), and component_id is the number. Equal vectors of a label link like others; a cosine of exactly the threshold
+    links. An empty table gives no rows; other columns are not read, whatever their names.
     """
     p = params or Params()
     rows = V.keyed_vectors(vectors, id_col, vec_col, label_col)

@@ -33,10 +33,8 @@ class Params:
     scale: int = 256  # a component x becomes floor(scale * x)
     seed: str = "2:"
 
-    @property
-    def limit(self) -> int:
-        """Components below it in size have squared distances of which four times are still 64-bit integers."""
-        return int(2**29 / self.dimension**0.5)
+    #: Of a vector's squared length, as integers: squared distances are then below 2 ** 62, and fit 64 bits.
+    longest: int = 1 << 60
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -55,7 +53,7 @@ def nearest(x: np.ndarray, start: np.ndarray, centroids: np.ndarray) -> tuple[np
         rows, own = rows[far], own[far]
         mine, best, near = x[rows], own.copy(), np.full(len(rows), c)
         for j in np.argsort(apart, kind="stable"):
-            look = int(np.searchsorted(-4 * own, -apart[j], "right"))
+            look = int(np.searchsorted(-own, -((apart[j] + 3) // 4), "right"))  # apart <= 4 * own
             if not look:
                 break
             if j != c:
@@ -95,7 +93,8 @@ def kept(vectors: DataFrame, p: Params, id_col: str, vec_col: str) -> DataFrame:
     """id, v, cluster: the vectors that take part, as integers, to start from centroid 0."""
     v = F.col("raw")
     whole = F.transform(v, lambda x: F.floor(x * p.scale))
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < p.limit / p.scale))
+    size = F.aggregate(v, F.lit(0.0), lambda s, x: s + F.pow(F.abs(x) * p.scale + 1, 2))  # infinite and NaN components fail too
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)) & (size < p.longest)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("raw"))
     return rows.where((F.size(v) == p.dimension) & fine).select("id", whole.cast("array<int>").alias("v"), F.lit(0).alias("cluster"))
 
@@ -109,9 +108,9 @@ def first_centroids(points: DataFrame, p: Params) -> np.ndarray:
 def cluster(vectors: DataFrame, params: Params | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, cluster, distance (squared), cluster_inertia, inertia, centroid_sha256: a row for each vector that takes part.
 
-    Vectors of another length, null, or with null or non-finite components take no part; nor do those with a component
-    that reaches Params.limit as an integer (2 ** 26 for 64 dimensions), whose squared distances need not fit 64
-    bits. Zero vectors do. Repeated ids and repeated rows are vectors of their own (among first centroids: in order of
+    Vectors of another length, null, or with null or non-finite components take no part; nor do those so long (Params.longest;
+    as integers some 2 ** 30, with components in the millions) that squared distances need not fit 64 bits. Zero
+    vectors do. Repeated ids and repeated rows are vectors of their own (among first centroids: in order of
     their vectors); null ids are drawn as empty ones. Equal centroids: the smallest number has all. Fewer vectors than
     clusters: as many clusters. A sum of distances beyond 64 bits is null. An empty table gives no rows; other
     columns are not read, whatever their names.

@@ -268,9 +268,9 @@ def test_sortmeans_of_few_and_odd_rows(spark):
     twice = spark.createDataFrame([(None, [1.0, 2.0]), (None, [1.0, 2.0]), (5, [1.0, 2.0]), (5, [9.0, 9.0]), (6, [1e300, 0.0])], "vec_id long, embedding array<double>")
     rows = sortmeans.cluster(twice, p).collect()
     assert Counter(r.vec_id for r in rows) == {None: 2, 5: 2} and {r.inertia for r in rows} == {0}
-    big = spark.createDataFrame([(i, [s * (p.limit - 1) / 256.0] * 2) for i, s in enumerate((1, -1))], "vec_id long, embedding array<double>")
-    one = sortmeans.cluster(big, sortmeans.Params(dimension=2, clusters=1, rounds=1)).collect()
-    assert len(one) == 2 and all(r.distance > 0 for r in one)
+    far = {0: [4e6, 0.0], 1: [-4e6, 1.0], 2: [2.9e6, 2.9e6], 3: [1.0, 1.0]}
+    big = spark.createDataFrame([*far.items(), (9, [4.2e6, 0.0]), (10, [-1e19, 1.0])], "vec_id long, embedding array<double>")
+    check_clusters(big, far, sortmeans.Params(dimension=2, clusters=2, rounds=3))
 
 
 def test_sortmeans_scans_in_order_and_stops(spark, monkeypatch):

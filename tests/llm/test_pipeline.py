@@ -63,3 +63,4 @@ def test_stages_on_odd_rows(spark, data, docs, odd, none, tmp_path):
     out = quality_of(spark, more, data)
     assert out.columns == more.columns and 0 < out.count() < more.count()
     assert out.where("doc_id IS NOT NULL AND NOT score <=> doc_id").count() == 0
+    assert quality_of(spark, more.limit(0), data).count() == 0 and quality_of(spark, more.limit(0), data).columns == more.columns

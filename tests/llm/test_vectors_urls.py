@@ -51,6 +51,8 @@ def test_pigeonhole_of_odd_rows(spark, frame):
     assert pigeonhole.near_duplicates(frame.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (None, [1.0, 2.1], 1)], SCHEMA)
     assert [r.n_links for r in pigeonhole.near_duplicates(twice).collect()] == [2, 2, 2]
+    named = frame.selectExpr("*", "label AS key", "vec_id AS a", "embedding AS vec", "vec_id AS _key")
+    assert sorted(map(tuple, pigeonhole.near_duplicates(named).collect())) == sorted(map(tuple, pigeonhole.near_duplicates(frame).collect()))
     small = pigeonhole.Params(chunk=3)
     assert sorted(map(tuple, pigeonhole.near_duplicates(frame, small).collect())) == sorted(map(tuple, pigeonhole.near_duplicates(frame).collect()))
 
