@@ -134,6 +134,7 @@ def cut(docs: DataFrame, vocabulary: str, window: int, end_id: int | None, token
                 if tokens:
                     out.append(pa.ListArray.from_arrays(pa.array(np.append(begin, first[-1]), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names)
+        enc.reset()  # idle workers hold nothing
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, number long" + ", ids array<int>" * tokens)

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from . import flat
 from .common import small_batches
 
-#: Distinct spans, and bytes of them, that a worker remembers before it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 600_000, 64 << 20
+#: Distinct spans, and bytes of them, that a task remembers before it starts anew: some 100 MB.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 32 << 20
 
 
 def byte_table() -> dict[str, int]:
@@ -119,16 +119,17 @@ class SpanEncoder:
         return place[codes]
 
     def lengths(self, place: np.ndarray) -> np.ndarray:
-        return np.diff(np.array(self.ends))[place]
+        ends = np.frombuffer(self.ends, np.int64)
+        return ends[place + 1] - ends[place]
 
     def encode(self, s: flat.Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, and where each row starts in them (and the end)."""
         spans = flat.chunks(s)
         place = self.look_up(s, spans)
-        n, begin = self.lengths(place), np.array(self.ends)[place]
+        n, begin = self.lengths(place), np.frombuffer(self.ends, np.int64)[place]
         total = np.concatenate([[0], np.cumsum(n)])
         at = np.arange(total[-1]) - np.repeat(total[:-1] - begin, n)
-        return np.array(self.ids, np.uint32)[at], total[spans.first]
+        return np.frombuffer(self.ids, np.uint32)[at], total[spans.first]
 
 
 def same_ranks(vocabulary: str, ranks: str) -> None:
@@ -145,7 +146,7 @@ def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
     enc = SpanEncoder.get(path, True)
     for batch in batches:
         n_tokens, ids_sha, bytes_sha = [], [], []
-        for s in flat.slices(batch.column(1), 4 << 20):
+        for s in flat.slices(batch.column(1)):
             spans = flat.chunks(s)
             place = enc.look_up(s, spans)
             count = np.concatenate([[0], np.cumsum(enc.lengths(place))])
@@ -157,6 +158,7 @@ def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
                 bytes_sha.append(hashlib.sha256(b"".join(map(decoded, part))).hexdigest())
         if n_tokens:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n_tokens)), pa.array(ids_sha), pa.array(bytes_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    enc.reset()  # idle workers hold nothing
 
 
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,6 +192,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 base = np.repeat(s.off[:-1], np.diff(first))
                 lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x)) for x in (ids.astype(np.int32), start - base, end - base)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), *lists], ["doc_id", "ids", "starts", "ends"])
+        enc.reset()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, starts array<long>, ends array<long>")

@@ -81,7 +81,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID, sou
         enc, seen = SpanEncoder.get(vocabulary, False), {}
         for batch in batches:
             sources = batch.column(1).to_pylist()
-            for s in flat.slices(batch.column(2), 4 << 20):
+            for s in flat.slices(batch.column(2)):
                 ids, first = enc.encode(s)
                 if end_id is not None:
                     ids = np.insert(ids, first[1:], end_id)
@@ -94,6 +94,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID, sou
                 ids = ids.astype(packed)
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(first * ids.itemsize), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), batch.column(1).slice(s.lo, s.hi - s.lo), raw.cast(pa.binary()), pa.array(n), pa.array(before, pa.int64())], ["doc_id", "source", "ids", "n", "before"])
+        enc.reset()  # idle workers hold nothing
 
     rows = docs.select("doc_id", F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(run, f"doc_id {kind}, source string, ids binary, n long, before long")
