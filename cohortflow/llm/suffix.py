@@ -28,7 +28,7 @@ from .common import keyed
 WINDOW, INNER = 100, 24
 SHARD_BYTES = 2 << 20
 #: Windows of crowded hashes that a task compares before it sends them.
-TOGETHER = 1 << 17
+TOGETHER = 1 << 18
 
 
 def eights(data: np.ndarray) -> np.ndarray:
