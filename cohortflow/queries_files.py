@@ -75,7 +75,7 @@ def raw_item_limit(spark, sf):
 def bundle_export(spark, sf):
     """An import exported as JSON lines, and the lines of each file counted."""
     folder = scratch(spark)
-    W.export(W.bundle(A.reviews(spark, sf), A.metadata(spark, sf), min_reviews=3), folder)
+    W.export(W.bundle(A.reviews(spark, sf), A.metadata(spark, sf), min_reviews=3), folder, "gzip")
     counts = [J.scan(spark, f"{folder}/{n}.jsonl").agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in ("events", "personas", "products", "stats")]
     return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
 

@@ -25,16 +25,20 @@ def in_files(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_ord", place)
 
 
-def scan(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def scan(spark: SparkSession, path: str, strict: bool = True, max_rows: int | None = None) -> DataFrame:
     """_ord (order of input: by file name, then as they stand), _raw, row (VARIANT) of each line that is not blank; .gz
     is unpacked, one task a file, and then spread. strict: a line that is no JSON object is an error, raised when
-    the rows are read, which names the line's text."""
-    lines = in_files(spark.read.text(path))
-    if path.endswith(".gz"):
+    the rows are read, which names the line's text. max_rows: the first ones; later lines are neither parsed nor sent, but
+    for strict=False, where rows are counted after the others went."""
+    lines = in_files(spark.read.text(path)).where("trim(value) <> ''")
+    if strict and max_rows is not None:
+        lines = lines.orderBy("_ord").limit(max_rows)
+    elif path.endswith(".gz"):
         lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = lines.where("trim(value) <> ''").select("_ord", F.col("value").alias("_raw"), F.try_parse_json("value").alias("row"))
+    rows = lines.select("_ord", F.col("value").alias("_raw"), F.try_parse_json("value").alias("row"))
     if not strict:
-        return rows.where(P.is_object(F.col("row")))
+        rows = rows.where(P.is_object(F.col("row")))
+        return rows if max_rows is None else rows.orderBy("_ord").limit(max_rows)
     wrong = F.raise_error(F.concat(F.lit("no JSON object: "), F.left("_raw", F.lit(200)))).cast("variant")
     return rows.withColumn("row", F.when(P.is_object(F.col("row")), F.col("row")).otherwise(wrong))
 
@@ -125,10 +129,10 @@ def json_line(df: DataFrame) -> Column:
     return F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
 
 
-def write_jsonl(df: DataFrame, path: str, single_file: bool = False) -> None:
+def write_jsonl(df: DataFrame, path: str, single_file: bool = False, compression: str = "none") -> None:
     """Lines with sorted keys, nulls kept; atomic through the output committer."""
     lines = df.select(json_line(df).alias("value"))
-    (lines.coalesce(1) if single_file else lines).write.mode("overwrite").text(path)
+    (lines.coalesce(1) if single_file else lines).write.mode("overwrite").option("compression", compression).text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

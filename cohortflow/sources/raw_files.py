@@ -35,7 +35,7 @@ def review_rows(spark: SparkSession, path: str, max_rows: int | None = None, str
     Lenient timestamps and votes; a rating that is no number is null; helpful_vote counts if that key is
     there (even null), else helpful_votes. max_rows: the first ones in the order of the file.
     """
-    rows, row = R.in_order(scan(spark, path, strict), max_rows), F.col("row")
+    rows, row = scan(spark, path, strict, max_rows), F.col("row")
     votes = F.when(P.field(row, "helpful_vote").isNotNull(), any_text(row, "helpful_vote")).otherwise(any_text(row, "helpful_votes"))
     return rows.select(
         *[any_text(row, c).alias(c) for c in ("user_id", "parent_asin", "asin")], P.lenient_int(any_text(row, "timestamp")).alias("timestamp"), P.number(row, "rating").alias("rating"),
@@ -46,7 +46,7 @@ def review_rows(spark: SparkSession, path: str, max_rows: int | None = None, str
 def item_rows(spark: SparkSession, path: str, max_rows: int | None = None, strict: bool = True, features_for_text: bool = True) -> DataFrame:
     """parent_asin, title, display_text (the description, else the features), main_category, store, price,
     average_rating, rating_number, categories, details, _ord."""
-    rows, row = R.in_order(scan(spark, path, strict), max_rows), F.col("row")
+    rows, row = scan(spark, path, strict, max_rows), F.col("row")
     text = F.coalesce(text_or_list(row, "description"), text_or_list(row, "features")) if features_for_text else text_or_list(row, "description")
     details = F.when(P.is_object(P.field(row, "details")), P.field(row, "details")).otherwise(F.parse_json(F.lit("{}")))
     return rows.select(
@@ -70,11 +70,11 @@ def bundle(reviews: DataFrame, items: DataFrame, mode: str = "panelist_sequence"
     return Bundle(R.events(reviews, goods, people, mode, require_match), people, goods, R.stats(reviews, items, min_reviews))
 
 
-def export(b: Bundle, folder: str) -> None:
-    """events, personas, products and stats as folders of JSON lines below `folder`."""
+def export(b: Bundle, folder: str, compression: str = "none") -> None:
+    """events, personas, products and stats as folders of JSON lines (compression gzip: of .gz files) below `folder`."""
     for name in ("events", "personas", "products", "stats"):
         df = getattr(b, name)
-        write_jsonl(df.drop("_ord") if "_ord" in df.columns else df, f"{folder}/{name}.jsonl")
+        write_jsonl(df.drop("_ord") if "_ord" in df.columns else df, f"{folder}/{name}.jsonl", compression=compression)
 
 
 def write_lines(rows: DataFrame, path: str) -> None:
