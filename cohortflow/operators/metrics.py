@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import payload as P
 from ..functions import stats as S
+from ..plans.storage import stored
 from .features import leaves
 
 
@@ -120,6 +121,8 @@ def mean_within(events: DataFrame, value: Column, outer: str, inner: str) -> Dat
 
 #: Entities of an item that meet in one key, so that a key makes BLOCK * BLOCK pairs at most.
 BLOCK = 1024
+#: Pair rows that a task adds up by pairs (some 300 bytes of memory each).
+PAIR_ROWS = 2_000_000
 
 
 def pairwise_work(events: DataFrame, value: Column, entity: str, item: str) -> DataFrame:
@@ -138,13 +141,18 @@ def mean_pairwise_distance(events: DataFrame, value: Column, entity: str, item:
     Pairs meet on shared items only (pairwise_work() tells how many there are). The entities of an item that very many
     share are dealt to blocks, and blocks meet two by two, each pair of blocks in a key of its own.
     """
-    cells = by_group(events.where(F.col(entity).isNotNull() & F.col(item).isNotNull()), value, entity, item).select(F.col(entity).alias("e"), F.col(item).alias("i"), F.col("mean").alias("x"))
+    cells = stored(by_group(events.where(F.col(entity).isNotNull() & F.col(item).isNotNull()), value, entity, item).select(F.col(entity).alias("e"), F.col(item).alias("i"), F.col("mean").alias("x")))
     sizes = cells.groupBy("i").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1")
     dealt = cells.join(sizes, "i", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("e"), "blocks").cast("int"))
     left = dealt.select("e", "i", "x", F.col("b").alias("low"), F.explode(F.sequence("b", F.col("blocks") - 1)).alias("high"))
     right = dealt.select(F.col("e").alias("f"), "i", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), "b")).alias("low"), F.col("b").alias("high"))
     met = left.join(right, ["i", "low", "high"]).where("low < high OR e < f")
-    pairs = met.groupBy(F.least("e", "f").alias("e"), F.greatest("e", "f").alias("f")).agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("d"))
+    # pairs hardly ever meet twice in a task: they are dealt before they are added up, to tasks in number with the pairs
+    n = F.col("n")
+    n_rows = cells.groupBy("i").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.floor(n * (n - 1) / 2)), F.lit(0))).first()[0]
+    parts = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // PAIR_ROWS))
+    met = met.select(F.least("e", "f").alias("e"), F.greatest("e", "f").alias("f"), "x", "y").repartition(parts, "e", "f")
+    pairs = met.groupBy("e", "f").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("d"))
     return pairs.agg(F.avg("d").alias("mean_distance"), F.count("*").alias("n_pairs"))
 
 
