@@ -139,10 +139,10 @@ def coded(rows: DataFrame, target: str, order: list[str]) -> DataFrame:
     return rows.withColumn(target, F.when(label.isNull(), None).when(places > 0, (places - 1).cast("double")).otherwise(bad))
 
 
-def complete(design: Design) -> DataFrame:
-    """Rows without missing values, as y, x (array), p, q."""
+def complete(design: Design, clustered: bool = True) -> DataFrame:
+    """Rows without missing values, as y, x (array), p, q; ids are carried for clusters only."""
     x = F.array(*[F.col(c).cast("double") for c in design.columns])
-    ids = [F.col(c).cast("string").alias(n) if c else F.lit(None).cast("string").alias(n) for c, n in ((design.panelist, "p"), (design.product, "q"))]
+    ids = [F.col(c).cast("string").alias(n) if c and clustered else F.lit(None).cast("string").alias(n) for c, n in ((design.panelist, "p"), (design.product, "q"))]
     rows = design.rows.select(F.col(design.target).cast("double").alias("y"), x.alias("x"), *ids)
     return rows.where(F.col("y").isNotNull() & F.forall("x", lambda v: v.isNotNull()))
 
@@ -193,15 +193,15 @@ def extremes(rows: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
-def duplicates(rows: DataFrame, columns: list[int], m: int) -> list[int]:
-    """Those of `columns` that equal an earlier one in every row. Equal columns have equal randomly weighted sums, to the
-    last bit; only such are compared, each with the first."""
+def checksum(x: np.ndarray) -> np.ndarray:
+    """A randomly weighted sum of each column."""
+    return (x * np.random.default_rng(len(x)).random(len(x))[:, None]).sum(0)
 
-    def checksum(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return (x * np.random.default_rng(len(y)).random(len(y))[:, None]).sum(0)
 
+def duplicates(rows: DataFrame, columns: list[int], sums: np.ndarray) -> list[int]:
+    """Those of `columns` that equal an earlier one in every row. Equal columns have equal checksum()s (sums), to the
+    last bit; only such are compared, each with the first."""
     groups: dict[float, list[int]] = {}
-    sums = summed(rows, checksum, m)
     for j in columns:
         groups.setdefault(float(sums[j]), []).append(j)
     out: list[int] = []
@@ -307,7 +307,7 @@ def fit(design: Design, family: str = "ols", covariance: str = "nonrobust", stan
     discrete = family != "ols"
     if discrete and covariance == "cluster_two_way":
         covariance = "cluster_panelist"
-    rows = complete(design).persist()
+    rows = complete(design, covariance.startswith("cluster")).persist()
     try:
         return _fit(rows, design, family, covariance, standardize, classes, max_steps, discrete)
     finally:
@@ -322,14 +322,14 @@ def _fit(rows: DataFrame, design: Design, family: str, covariance: str, standard
     ordered = family.startswith("ordered")
     const = not ordered and not design.absorbed
     least, greatest = extremes(rows, m)
-    mean = summed(rows, lambda y, x: x.sum(0), m) / n
-    if design.absorbed:
-        mean = np.zeros(m)
-    deviation = np.sqrt(summed(rows, lambda y, x: ((x - mean) ** 2).sum(0), m) / max(n - 1, 1))
+    total = summed(rows, lambda y, x: np.append(x.sum(0), y.sum()), m + 1)
+    mean = np.zeros(m) if design.absorbed else total[:m] / n
+    second = summed(rows, lambda y, x: np.concatenate([((x - mean) ** 2).sum(0), checksum(x)]), 2 * m)
+    deviation = np.sqrt(second[:m] / max(n - 1, 1))
     varied = [j for j in range(m) if least[j] < greatest[j] and deviation[j] > 0]
-    again = duplicates(rows, varied, m)
+    again = duplicates(rows, varied, second[m:])
     fine = [j for j in varied if j not in again]
-    level = float(summed(rows, lambda y, x: y.sum(keepdims=True), 1)[0] / n) if const else 0.0
+    level = float(total[m] / n) if const else 0.0
     # centred, scaled columns and the target, free of the intercept
     whole = triangle(rows, lambda y, x: np.column_stack([(x[:, fine] - mean[fine]) / deviation[fine], y - level]), len(fine) + 1)
     kept = independent(whole[: len(fine), : len(fine)], n)
@@ -353,21 +353,21 @@ def _fit(rows: DataFrame, design: Design, family: str, covariance: str, standard
     else:
         model, size, names_ = _ordered(family, classes, k), k + classes - 1, terms + [f"{c}/{c + 1}" for c in range(classes - 1)]
     theta = model.start(size)
-    value = None
+    value, grad, hess = _pass(rows, z, model, theta, size)
     for _ in range(max_steps):
-        value, grad, hess = _pass(rows, z, model, theta, size)
         step = np.linalg.solve(hess, grad)
-        rate = 1.0
+        rate, steepest = 1.0, np.abs(grad).max()
         for _ in range(30):  # halve steps that do not help
-            if _likelihood(rows, z, model, theta + rate * step) >= value - 1e-12:
+            there = _pass(rows, z, model, theta + rate * step, size)  # also the next step's start
+            if there[0] >= value - 1e-12:
                 break
             rate /= 2
         else:  # no step along this direction helps: as far as numbers go
             break
         theta = theta + rate * step
-        if np.abs(grad).max() < 1e-8 * max(1.0, n) and np.abs(step).max() < 1e-8:
+        value, grad, hess = there
+        if steepest < 1e-8 * max(1.0, n) and np.abs(step).max() < 1e-8:
             break
-    value, grad, hess = _pass(rows, z, model, theta, size)
     bread = np.linalg.inv(hess)
     cov, df = (bread, None) if covariance == "nonrobust" else sandwich(rows, bread, lambda y, x: model.parts(y, z(x), theta)[1], n, covariance, True)
     out = {"n": n, "llf": value, "aic": -2 * value + 2 * size, "bic": -2 * value + size * math.log(n), "gradient": float(np.abs(grad).max()), "converged": float(np.abs(grad).max() < 1e-6 * max(1.0, n))}
@@ -391,10 +391,6 @@ def _pass(rows: DataFrame, z: Callable, model, theta: np.ndarray, size: int) ->
     return v[0], v[1 : 1 + size], v[1 + size :].reshape(size, size)
 
 
-def _likelihood(rows: DataFrame, z: Callable, model, theta: np.ndarray) -> float:
-    return float(summed(rows, lambda y, x: np.array([model.parts(y, z(x), theta)[0]]), 1)[0])
-
-
 def _ols(
     rows: DataFrame, r: np.ndarray, keep: list[int], mean: np.ndarray, scale: np.ndarray, level: float, const: bool, standardize: bool, terms: list[str], n: int, covariance: str, dropped: list, absorbed: int
 ) -> Result:
