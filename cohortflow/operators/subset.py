@@ -14,8 +14,9 @@ def rating(events: DataFrame):
     numeric text are taken."""
     out = F.col("outcomes")
     inner = P.field(out, "rating")
-    text = F.try_variant_get(inner, "$", "string")
-    value = F.when(P.kind(out, "rating") == "BOOLEAN", F.try_variant_get(inner, "$", "boolean").cast("double")).otherwise(P.lenient_number(text))
+    number, text = F.try_variant_get(inner, "$", "double"), F.try_variant_get(inner, "$", "string")
+    # numbers, nearly all, are not spelled out to be read again
+    value = F.when(P.kind(out, "rating").rlike(P.NUMBER), number).when(P.kind(out, "rating") == "BOOLEAN", F.try_variant_get(inner, "$", "boolean").cast("double")).otherwise(P.lenient_number(text))
     return F.when(inner.isNotNull(), value).otherwise(F.col("rating").cast("double") if "rating" in events.columns else F.lit(None).cast("double"))
 
 
