@@ -108,9 +108,8 @@ def joined(items: Column) -> Column:
 
 def json_object(reply: Column) -> Column:
     """The JSON object in a model's reply: the whole text, else from the first { to the last }."""
-    whole = F.try_parse_json(F.btrim(reply))
-    inside = F.try_parse_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0))
-    return F.when(is_object(whole), whole).when(is_object(inside), inside)
+    parsed = lambda text: F.element_at(F.transform(F.array(F.try_parse_json(text)), lambda x: F.when(is_object(x), x)), 1)  # noqa: E731  parsed once
+    return F.coalesce(parsed(F.btrim(reply)), parsed(F.regexp_extract(reply, r"(?s)\{.*\}", 0)))
 
 
 def excerpt(text: Column, length: int = 800) -> Column:

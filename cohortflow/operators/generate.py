@@ -176,8 +176,9 @@ def read_reply(rows: DataFrame, outcomes: list[Field], traces: list[Field] = ())
 
 def read_selection(rows: DataFrame, key: str = "selected_product_ids", cap: int | None = None, fallback_first: bool = True) -> DataFrame:
     """Adds requested, executed, dropped from a reply over choice_set; wrong replies request nothing."""
-    asked = P.clean_list(P.strings(P.json_object(F.col("reply")), key))
-    out = rows.withColumn("requested", F.array_distinct(asked))
+    # each step is a column of its own, so that none is worked out anew where the next names it several times
+    out = rows.withColumn("_json", P.json_object(F.col("reply"))).withColumn("_list", P.strings(F.col("_json"), key))
+    out = out.withColumn("requested", F.array_distinct(P.clean_list(F.col("_list")))).drop("_json", "_list")
     executed, dropped = execute(F.col("requested"), F.col("choice_set"), cap, fallback_first)
     return out.withColumn("executed", executed).withColumn("dropped", dropped)
 
