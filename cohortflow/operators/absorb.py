@@ -1,10 +1,11 @@
 """Least squares with fixed effects of any number of levels.
 
-The outcome and the columns are freed of the effects by alternating group means: the levels of one effect take
-the mean of what the other leaves, in turn, until no mean moves. Rows are first summed to cells of equal
-levels; a round reads the cells and writes one mean per level and column. By the theorem of Frisch and Waugh
-the slopes, residuals and clustered covariances are those of the design with a dummy for each level, which is
-never made. The levels' own estimates follow from the same means, as a table.
+The outcome and the columns are freed of the effects by group means. For two effects the means of one solve the
+equations that are left once the other's are put in; conjugate gradients take some seven rounds where alternating means
+take ten, and far fewer on graphs where means travel slowly. Rows are dealt by one effect and counted to cells of equal
+levels, which are kept dealt by either effect: a round sends sums by level and task, never the cells. By the theorem of
+Frisch and Waugh the slopes, residuals and clustered covariances are those of the design with a dummy for each level,
+which is never made. The levels' own estimates follow from the same means, as a table.
 """
 
 from __future__ import annotations
@@ -34,56 +35,69 @@ class Absorbed:
     change: float  # of the last round, in standard deviations
 
 
-def free(values: list[str], cells: DataFrame, one: str, others: DataFrame | None, other: str, n_other: int = 0) -> DataFrame:
-    """Per level of `one` the mean of each value less the other effect's means."""
-    rest = cells
-    if others is not None:
-        means = others.withColumnsRenamed({v: f"m_{v}" for v in values})
-        small = n_other * len(values) <= BROADCAST_NUMBERS
-        rest = cells.join(F.broadcast(means) if small else means, other)
-        rest = rest.select(one, "n", *[(F.col(v) - F.col("n") * F.col(f"m_{v}")).alias(v) for v in values])
-    return rest.groupBy(one).agg(*[(F.sum(v) / F.sum("n")).alias(v) for v in values])
+def across(values: list[str], cells: DataFrame, one: str, other: str, means: DataFrame, parts: int) -> DataFrame:
+    """Per level of `other` the sum over its rows of what `means` has for their levels of `one`, and the least label
+    among those. cells: dealt by `one` to so many parts, which stay where they are; each sends a row for a level of `other`."""
+    met = cells.join(means.repartition(parts, one).hint("shuffle_hash"), one)
+    return met.groupBy(other).agg(*[F.sum(F.col("n") * F.col(v)).alias(v) for v in values], F.min("label").alias("label"))
 
 
-def steps(values: list[str], key: str, a: DataFrame, b: DataFrame, c: DataFrame, scale: np.ndarray) -> tuple[float, np.ndarray]:
-    """For means a, b, c of three rounds: the largest change from b to c in standard deviations, and for each
-    value the factor by which c goes beyond b to where the rounds are heading (Irons and Tuck)."""
-    both = c.join(b.withColumnsRenamed({v: f"b_{v}" for v in values}), key).join(a.withColumnsRenamed({v: f"a_{v}" for v in values}), key)
-    last = {v: F.col(v) - F.col(f"b_{v}") for v in values}
-    turn = {v: last[v] - (F.col(f"b_{v}") - F.col(f"a_{v}")) for v in values}
-    row = both.agg(*[x for v in values for x in (F.max(F.abs(last[v])), F.sum(last[v] * turn[v]), F.sum(turn[v] * turn[v]))]).first()
-    most, along, size = (np.array([row[3 * i + k] or 0.0 for i in range(len(values))]) for k in range(3))
-    return float((most / scale).max()), np.where(size > 0, along / np.where(size > 0, size, 1), 0)
+def solve(values: list[str], by_p: DataFrame, by_q: DataFrame, sums_p: DataFrame, sums_q: DataFrame, keys: list[str], scale: np.ndarray, parts: int, tolerance: float, max_rounds: int) -> tuple[DataFrame, DataFrame, int, float, int]:
+    """Means by level of both effects that leave no mean in any level, rounds, the largest mean that is left (in
+    standard deviations), and the number of components of the graph.
 
-
-def alternate(values: list[str], cells: DataFrame, keys: list[str], scale: np.ndarray, levels: list[int], tolerance: float, max_rounds: int) -> tuple[DataFrame, DataFrame, int, float]:
-    """Means by level of both effects that leave no mean in any level."""
+    by_p, by_q: cells (levels, n), dealt by either effect. sums_p, sums_q: rows and sums by level. x are the means of the
+    first effect, r the sums that they leave in its levels, d the direction of the next step; conjugate gradients
+    with the levels' numbers of rows as preconditioner, so r / n is the step of alternating means. Labels (the
+    smallest level within reach) go with the rounds.
+    """
     p, q = keys
-
-    def round_of(means: DataFrame | None) -> DataFrame:
-        second = free(values, cells, q, means, p, levels[0])
-        return stored(free(values, cells, p, second, q, levels[1]))
-
-    history, rounds = [round_of(None)], 1
-    while True:
-        history.append(round_of(history[-1]))
-        rounds += 1
-        if len(history) < 3:
-            continue
-        change, factor = steps(values, p, *history[-3:], scale)
-        if change <= tolerance or rounds >= max_rounds:
-            break
-        if rounds % 3 == 0:  # leap ahead, and start anew from there
-            b, c = history[-2].withColumnsRenamed({v: f"b_{v}" for v in values}), history[-1]
-            leap = c.join(b, p).select(p, *[(F.col(v) - float(f) * (F.col(v) - F.col(f"b_{v}"))).alias(v) for v, f in zip(values, factor.tolist(), strict=True)])
-            leap, old, history = stored(leap), history, []
-            history = [leap]
-        else:
-            old, history = history[:-2], history[-2:]
+    names = {k: [f"{k}{i}" for i in range(len(values))] for k in "xrdw"}
+
+    def there_and_back(first: DataFrame, less: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Means by level of q of what `first` has by level of p (or, less what it has, of the sums in `less`), and
+        their sums by level of p."""
+        at_q = across(values, by_p, p, q, first, parts).join(sums_q.select(q, F.col("n").alias("m"), *[F.col(v).alias(f"s_{v}") for v in values]).hint("shuffle_hash"), q)
+        means = at_q.select(q, "label", *[((F.col(f"s_{v}") - F.col(v) if less is not None else F.col(v)) / F.col("m")).alias(v) for v in values])
+        return means, across(values, by_q, q, p, means, parts)
+
+    zero = sums_p.select(p, F.col(p).alias("label"), *[F.lit(0.0).alias(v) for v in values])
+    back = there_and_back(zero, sums_q)[1].select(p, "label", *[F.col(v).alias(f"b_{v}") for v in values])
+    state = sums_p.join(back.hint("shuffle_hash"), p)
+    left = [(F.col(v) - F.col(f"b_{v}")) for v in values]
+    state = stored(state.select(p, "n", "label", (F.col("label") == F.col(p)).alias("same"), *[F.lit(0.0).alias(x) for x in names["x"]], *[z.alias(r) for z, r in zip(left, names["r"], strict=True)], *[(z / F.col("n")).alias(d) for z, d in zip(left, names["d"], strict=True)]))
+    rounds = 1
+
+    def remaining(table: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+        row = table.agg(F.count_if(~F.col("same")), *[y for r in names["r"] for y in (F.sum(F.col(r) * F.col(r) / F.col("n")), F.max(F.abs(F.col(r)) / F.col("n")))]).first()
+        return np.array(row[1::2], float), np.array(row[2::2], float) / scale, row[0]
+
+    size, change, moved = remaining(state)
+    while change.max() > tolerance and rounds < max_rounds:
+        step = there_and_back(state.select(p, "label", *[F.col(d).alias(v) for d, v in zip(names["d"], values, strict=True)]))[1]
+        step = step.select(p, F.col("label").alias("next"), *[F.col(v).alias(w) for v, w in zip(values, names["w"], strict=True)])
+        tried = stored(state.join(step.hint("shuffle_hash"), p).select(p, "n", "label", "next", *names["x"], *names["r"], *names["d"], *[(F.col("n") * F.col(d) - F.col(w)).alias(w) for d, w in zip(names["d"], names["w"], strict=True)]))
+        along = np.array(tried.agg(*[F.sum(F.col(d) * F.col(w)) for d, w in zip(names["d"], names["w"], strict=True)]).first(), float)
+        go = np.where((along > 0) & (change > tolerance), size / np.where(along > 0, along, 1), 0.0).tolist()  # a column that is done stays
+        x = [(F.col(x) + g * F.col(d)).alias(x) for g, x, d in zip(go, names["x"], names["d"], strict=True)]
+        r = [(F.col(r) - g * F.col(w)).alias(r) for g, r, w in zip(go, names["r"], names["w"], strict=True)]
+        new = tried.select(p, "n", F.col("next").alias("label"), (F.col("label") == F.col("next")).alias("same"), *x, *r, *names["d"])
+        before = size
+        size, change, moved = remaining(new)
+        turn = np.where(before > 0, size / np.where(before > 0, before, 1), 0).tolist()
+        after = new.select(p, "n", "label", "same", *names["x"], *names["r"], *[(F.col(r) / F.col("n") + t * F.col(d)).alias(d) for r, d, t in zip(names["r"], names["d"], turn, strict=True)])
+        old, state = (state, tried), stored(after)
         for table in old:
             dropped(table)
-    first = history[-1]
-    return first, stored(free(values, cells, q, first, p, levels[0])), rounds, change
+        rounds += 1
+    first = state.select(p, "label", *[F.col(x).alias(v) for x, v in zip(names["x"], values, strict=True)])
+    second = stored(there_and_back(first, sums_q)[0])
+    if moved:  # labels still travel: those of levels that meet are joined
+        met = by_p.select(p, q).join(first.select(p, F.col("label").alias("a")).repartition(parts, p).hint("shuffle_hash"), p).join(second.select(q, F.col("label").alias("b")), q)
+        components = component_count(met.select("a", "b").distinct())
+    else:
+        components = first.select("label").distinct().count()
+    return first.drop("label"), second.drop("label"), rounds, float(change.max()), components
 
 
 def nested(rows: DataFrame, effect: str, cluster: str) -> bool:
@@ -110,31 +124,50 @@ def fit(
     if covariance not in R.COVARIANCES:
         raise ValueError(f"unknown {covariance}")
     keys, values = [f"e{i}" for i in range(len(effects))], [f"v{i}" for i in range(len(columns) + 1)]
-    ids = [F.col(f"`{c}`").cast("string").alias(n) if c else F.lit(None).cast("string").alias(n) for c, n in ((panelist, "p"), (product, "q"))]
+    clustered = covariance.startswith("cluster")
+    ids = [F.col(f"`{c}`").cast("string").alias(n) for c, n in ((panelist, "p"), (product, "q")) if c and clustered]
     numbers = [F.col(f"`{c}`").cast("double").alias(v) for c, v in zip((target, *columns), values, strict=True)]
     levels_of = [F.col(f"`{c}`").cast("string").alias(k) for c, k in zip(effects, keys, strict=True)]
     base = stored(rows.select(*numbers, *levels_of, *ids).na.drop(subset=[*values, *keys]))
-    row = base.agg(F.count("*"), *[x for v in values for x in (F.avg(v), F.var_samp(v))]).first()
+    row = base.agg(F.count("*"), *[x for v in values for x in (F.avg(v), F.var_samp(v))], *[F.approx_count_distinct(k) for k in keys]).first()
     n, variance = row[0], np.array([row[2 + 2 * i] or 0.0 for i in range(len(values))])
     if not n or not variance[0] > 0:
         raise ValueError("the target has fewer than two values")
     scale = np.sqrt(np.where(variance > 0, variance, 1))
-    cells = stored(base.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(v).alias(v) for v in values]))
-    levels = [cells.select(k).distinct().count() for k in keys]
-    if len(keys) == 1:
-        tables, rounds, change, parts = [stored(free(values, cells, keys[0], None, ""))], 1, 0.0, levels[0]
-        rank = levels[0]
-    else:
-        *tables, rounds, change = alternate(values, cells, keys, scale, levels, tolerance, max_rounds)
-        edges = cells.select(*[F.concat(F.lit(f"{i}|"), k).alias(c) for i, (k, c) in enumerate(zip(keys, "ab", strict=True))])
-        parts = component_count(edges)
-        rank = sum(levels) - parts
-    left = base
-    for k, table, count in zip(keys, tables, levels, strict=True):
-        means = table.withColumnsRenamed({v: f"m_{v}" for v in values})
-        left = left.join(F.broadcast(means) if count * len(values) <= BROADCAST_NUMBERS else means, k)
-        left = left.select(*[(F.col(v) - F.col(f"m_{v}")).alias(v) for v in values], *keys, "p", "q")
-    left = stored(left)
+    kept: list[DataFrame] = []
+    try:
+        if len(keys) == 1:
+            level_sums = base.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(v).alias(v) for v in values])
+            tables, rounds, change, parts = [stored(level_sums.select(*keys, *[(F.col(v) / F.col("n")).alias(v) for v in values]))], 1, 0.0, None
+        else:
+            p, q = sorted(keys, key=lambda k: -row[1 + 2 * len(values) + keys.index(k)])  # rows are dealt by the effect of more levels
+            deal = base.sparkSession.sparkContext.defaultParallelism
+            base = base.repartition(deal, p).persist()
+            by_p = base.groupBy(p, q).agg(F.count("*").alias("n")).persist()
+            by_q = by_p.repartition(deal, q).persist()
+            kept = [base, by_p, by_q]
+            sums_p, sums_q = (stored(base.groupBy(k).agg(F.count("*").alias("n"), *[F.sum(v).alias(v) for v in values])) for k in (p, q))
+            *found, rounds, change, parts = solve(values, by_p, by_q, sums_p, sums_q, [p, q], scale, deal, tolerance, max_rounds)
+            tables = [dict(zip((p, q), found, strict=True))[k] for k in keys]
+            by_p.unpersist(), by_q.unpersist()
+        levels = [t.count() for t in tables]
+        parts = levels[0] if parts is None else parts
+        rank = levels[0] if len(keys) == 1 else sum(levels) - parts
+        left = base
+        for k, table, count in sorted(zip(keys, tables, levels, strict=True), key=lambda x: -x[2]):
+            means = table.withColumnsRenamed({v: f"m_{v}" for v in values})
+            means = F.broadcast(means) if count * len(values) <= BROADCAST_NUMBERS else means.repartition(deal, k).hint("shuffle_hash") if len(keys) == 2 and k == p else means
+            left = left.join(means, k).select(*[(F.col(v) - F.col(f"m_{v}")).alias(v) for v in values], *keys, *[c for c in "pq" if c in base.columns])
+        counted = rank
+        if not count_nested and clustered:
+            clusters = {"cluster_panelist": "p", "cluster_product": "q"}.get(covariance)
+            for k, count in zip(keys, levels, strict=True):
+                if clusters and nested(base, k, clusters):
+                    counted = max(1, counted - count + 1)
+        left = stored(left.drop(*keys))
+    finally:
+        for table in kept:
+            table.unpersist()
     sums = left.agg(*[F.sum(F.col(v) * F.col(v)) for v in values]).first()
     within = np.array([float(x) for x in sums]) / max(n - 1, 1)
     bare = within <= (100 * tolerance) ** 2 * np.maximum(variance, 1e-300)
@@ -142,13 +175,7 @@ def fit(
         raise ValueError("the effects explain the target wholly")
     used = [i for i in range(1, len(values)) if not bare[i]]
     shown = dict(zip(values[1:], names or columns, strict=True))
-    counted = rank
-    if not count_nested and covariance.startswith("cluster"):
-        clusters = {"cluster_panelist": "p", "cluster_product": "q"}.get(covariance)
-        for k, count in zip(keys, levels, strict=True):
-            if clusters and nested(base, k, clusters):
-                counted = max(1, counted - count + 1)
-    design = R.Design(left, "v0", tuple(values[i] for i in used), "p" if panelist else None, "q" if product else None, tuple(shown[values[i]] for i in used), counted)
+    design = R.Design(left, "v0", tuple(values[i] for i in used), "p" if panelist and clustered else None, "q" if product and clustered else None, tuple(shown[values[i]] for i in used), counted)
     if not used:
         raise ValueError("the effects explain all columns")
     result = R.fit(design, "ols", covariance)
