@@ -155,7 +155,7 @@ def nested_features(spark, sf):
 @query(f"WITH {REVIEWS}, k AS (SELECT *, user_id AS panelist_id, parent_asin AS product_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, parent_asin, asin, ord) - 1 AS t FROM reviews WHERE user_id IS NOT NULL) SELECT ord AS id, 'evt_' || left(sha256('{{\"panelist_id\":\"' || panelist_id || '\",\"product_id\":\"' || product_id || '\",\"source_child_asin\":\"' || asin || '\",\"t\":' || t || ',\"timestamp\":' || ts || '}}'), 16) AS event_id FROM k")
 def imported_event_ids(spark, sf):
     reviews = A.reviews(spark, sf)
-    return I.events(reviews, I.products(A.metadata(spark, sf)), I.personas(reviews, 3)).select(F.col("_ord").alias("id"), "event_id")
+    return I.events(reviews, I.products(A.metadata(spark, sf)), 3).select(F.col("_ord").alias("id"), "event_id")
 
 
 @query(f"WITH {EVENTS} SELECT count(*) AS n, count(DISTINCT (panelist_id, product_id, t)) AS n_distinct, CAST(32 AS BIGINT) AS width, TRUE AS hex FROM ev")
@@ -246,6 +246,6 @@ def run_metadata_record(spark, sf):
 def import_traces(spark, sf):
     """Traces of imported reviews: texts under their names, the source, and no nulls."""
     reviews = A.reviews(spark, sf).withColumn("title", F.concat(F.lit(" "), F.col("comment")))
-    ev = I.events(reviews, I.products(A.metadata(spark, sf)), I.personas(reviews, 3))
+    ev = I.events(reviews, I.products(A.metadata(spark, sf)), 3)
     source = P.field(F.col("traces"), "source")
     return ev.select(F.col("_ord").alias("id"), P.string(F.col("traces"), "review_title").alias("title"), P.string(source, "child_asin").alias("child"), P.number(source, "timestamp").cast("bigint").alias("stamp"), F.array_join(F.array_sort(P.keys(F.col("traces"))), ",").alias("keys"))

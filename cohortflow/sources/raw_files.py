@@ -67,7 +67,7 @@ class Bundle:
 
 def bundle(reviews: DataFrame, items: DataFrame, mode: str = "panelist_sequence", min_reviews: int = 1, require_match: bool = False) -> Bundle:
     people, goods = R.personas(reviews, min_reviews), R.products(items)
-    return Bundle(R.events(reviews, goods, people, mode, require_match), people, goods, R.stats(reviews, items, min_reviews))
+    return Bundle(R.events(reviews, goods, min_reviews, mode, require_match), people, goods, R.stats(reviews, items, min_reviews))
 
 
 def export(b: Bundle, folder: str, compression: str = "none") -> None:

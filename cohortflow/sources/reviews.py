@@ -42,13 +42,17 @@ def order_keys() -> list[Column]:
     return [F.coalesce("timestamp", F.lit(-1)), F.coalesce("parent_asin", F.lit("")), F.coalesce("asin", F.lit("")), F.col("_ord")]
 
 
+def in_sequence(reviews: DataFrame) -> DataFrame:
+    """The reviews with a user, and t, their place among the user's."""
+    t = F.row_number().over(W.partitionBy("user_id").orderBy(*order_keys())) - 1
+    return reviews.where("user_id IS NOT NULL").withColumn("t", t.cast("bigint"))
+
+
 def sequenced(reviews: DataFrame, mode: str = "panelist_sequence") -> DataFrame:
     """Adds t: place among the user's reviews (no user: 0), among all reviews, or the timestamp itself."""
     if mode == "panelist_sequence":
-        t = F.row_number().over(W.partitionBy("user_id").orderBy(*order_keys())) - 1
         # rows without a user are not gathered for a sequence that they do not need
-        known = reviews.where("user_id IS NOT NULL").withColumn("t", t.cast("bigint"))
-        return known.unionByName(reviews.where("user_id IS NULL").withColumn("t", F.lit(0).cast("bigint")))
+        return in_sequence(reviews).unionByName(reviews.where("user_id IS NULL").withColumn("t", F.lit(0).cast("bigint")))
     if mode == "raw_timestamp":
         return reviews.withColumn("t", F.greatest(F.coalesce("timestamp", F.lit(0)), F.lit(0)).cast("bigint"))
     if mode == "global_sequence":
@@ -68,6 +72,19 @@ def numbered(rows: DataFrame, keys: list[Column], name: str) -> DataFrame:
     return joined.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit(low))).drop("_part", "_before", "_id")
 
 
+#: What personas() counts.
+COUNTS = ("n_reviews", "n_unique_products", "n_verified_purchase_reviews", "mean_rating")
+
+
+def counted(reviews: DataFrame) -> DataFrame:
+    """Adds the counts of personas() to each row with a user, prefixed by _person_, in the shuffle by user that a sequence needs."""
+    user = W.partitionBy("user_id")
+    known = F.col("parent_asin").isNotNull()
+    product = F.dense_rank().over(user.orderBy(F.col("parent_asin").asc_nulls_last()))
+    made = (F.count("*").over(user), F.coalesce(F.max(F.when(known, F.col("_rank"))).over(user), F.lit(0)).cast("bigint"), F.count_if(F.coalesce("verified_purchase", F.lit(False))).over(user), F.avg("rating").over(user))
+    return reviews.where("user_id IS NOT NULL").withColumn("_rank", product).withColumns({f"_person_{c}": x for c, x in zip(COUNTS, made, strict=True)}).drop("_rank")
+
+
 def matched(reviews: DataFrame, items: DataFrame) -> DataFrame:
     """Reviews with `matched`: user and product named, and the product known."""
     known = items.select(F.col("product_id").alias("parent_asin"), F.lit(True).alias("_known"))
@@ -93,22 +110,32 @@ def traces(reviews: DataFrame, names: dict[str, str] | None = None, raw: bool =
     return F.parse_json(F.nullif(made, F.lit("{}")))
 
 
-def events(reviews: DataFrame, items: DataFrame, people: DataFrame, mode: str = "panelist_sequence", require_match: bool = False, trace_names: dict[str, str] | None = None, raw: bool = False) -> DataFrame:
+def events(reviews: DataFrame, items: DataFrame, people: DataFrame | int, mode: str = "panelist_sequence", require_match: bool = False, trace_names: dict[str, str] | None = None, raw: bool = False) -> DataFrame:
     """Canonical evaluation events, with traces(). t is given before unmatched reviews go, so gaps stay. Products
     without metadata show "" and {}; users without a persona have no features. One shuffle by user
-    serves the sequence and the persona lookup."""
-    rows = sequenced(reviews, mode).where("user_id <> '' AND parent_asin <> ''")
+    serves the sequence and the persona lookup. people: personas, or the least number of reviews of one, whose
+    counts are then made in that shuffle too."""
+    if isinstance(people, int) and mode != "panelist_sequence":
+        people = personas(reviews, people)
+    if isinstance(people, int):
+        rows = in_sequence(counted(reviews))
+        about = {c: F.when(F.col("_person_n_reviews") >= people, F.col(f"_person_{c}")) for c in COUNTS}
+    else:
+        about = {c: F.col(f"_person_{c}") for c in people.columns if c != "persona_id"}
+        rows = in_sequence(reviews) if mode == "panelist_sequence" else sequenced(reviews, mode)  # no row without a user is left below
+        rows = rows.join(people.select(F.col("persona_id").alias("user_id"), *[F.col(c).alias(f"_person_{c}") for c in about]), "user_id", "left")
+    rows = rows.where("user_id <> '' AND parent_asin <> ''")
+    panelist_features = F.to_json(F.struct(*[x.alias(c) for c, x in about.items()]))  # {} of nulls; after the shuffles, as texts are longer
     features = [c for c in items.columns if c not in ("product_id", "display_name")]
     shown = items.select(F.col("product_id").alias("parent_asin"), "display_name", F.to_json(F.struct(*features)).alias("product_features"))
-    person = people.select(F.col("persona_id").alias("user_id"), F.to_json(F.struct(*[c for c in people.columns if c != "persona_id"])).alias("panelist_features"))
-    joined = rows.join(person, "user_id", "left").join(shown, "parent_asin", "inner" if require_match else "left")
+    joined = rows.join(shown, "parent_asin", "inner" if require_match else "left")
     ids = identity.imported_id(panelist_id=F.col("user_id"), product_id=F.col("parent_asin"), source_child_asin=F.col("asin"), timestamp=F.col("timestamp"), t=F.col("t"))
     empty = F.lit("{}")
     return joined.select(
         F.lit("0.1.0").alias("schema_version"), ids.alias("event_id"), F.lit("evaluation").alias("event_type"), F.lit("manual").alias("policy"),
         F.col("user_id").alias("panelist_id"), "t", F.lit(None).cast("string").alias("selection_id"), F.lit(None).cast("array<string>").alias("choice_set"),
         F.lit(None).cast("array<string>").alias("selected_product_ids"), F.col("parent_asin").alias("product_id"), F.coalesce("display_name", F.lit("")).alias("product_display"),
-        F.parse_json(F.coalesce("panelist_features", empty)).alias("panelist_features"), F.parse_json(F.coalesce("product_features", empty)).alias("product_features"),
+        F.parse_json(panelist_features).alias("panelist_features"), F.parse_json(F.coalesce("product_features", empty)).alias("product_features"),
         F.to_variant_object(F.struct("rating", "verified_purchase", "helpful_vote")).alias("outcomes"), traces(joined, trace_names, raw).alias("traces"), "_ord",
     )
 
