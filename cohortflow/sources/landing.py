@@ -25,9 +25,9 @@ def typed(payload: Column, field: Field) -> Column:
 
 
 def land(events: DataFrame, folder: str, outcomes: list[Field], traces: list[Field] = (), mode: str = "errorifexists") -> None:
-    """Write events to `folder`: their columns as they are, and outcome_x, trace_x for each declared field."""
+    """Write events to `folder`: their columns as they are, and outcome_x, trace_x for each declared field; compressed by zstd."""
     made = [typed(F.col(payload), f).alias(f"{name}_{f.name}") for payload, name, fields in (("outcomes", "outcome", outcomes), ("traces", "trace", traces)) for f in fields]
-    events.select("*", *made).write.partitionBy("event_type").mode(mode).parquet(folder)
+    events.select("*", *made).write.partitionBy("event_type").mode(mode).option("compression", "zstd").parquet(folder)
 
 
 def landed(spark: SparkSession, folder: str) -> DataFrame:
