@@ -35,7 +35,7 @@ IMPORTED = "SELECT user_id, parent_asin, asin, ts AS timestamp, rating, verified
 
 @query(f"WITH {REVIEWS} {IMPORTED}")
 def raw_review_import(spark, sf):
-    rows = W.review_rows(spark, review_lines(spark, sf))
+    rows = W.review_rows(spark, review_lines(spark, sf, "gzip"))
     return rows.select("user_id", "parent_asin", "asin", "timestamp", "rating", "verified_purchase", "helpful_vote", "title")
 
 

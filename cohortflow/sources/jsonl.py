@@ -27,13 +27,13 @@ def in_files(rows: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, path: str, strict: bool = True, max_rows: int | None = None) -> DataFrame:
     """_ord (order of input: by file name, then as they stand), _raw, row (VARIANT) of each line that is not blank; .gz
-    is unpacked, one task a file, and then spread. strict: a line that is no JSON object is an error, raised when
+    is unpacked, one task a file, and then spread if files are fewer than cores. strict: a line that is no JSON object is an error, raised when
     the rows are read, which names the line's text. max_rows: the first ones; later lines are neither parsed nor sent, but
     for strict=False, where rows are counted after the others went."""
     lines = in_files(spark.read.text(path)).where("trim(value) <> ''")
     if strict and max_rows is not None:
         lines = lines.orderBy("_ord").limit(max_rows)
-    elif path.endswith(".gz"):
+    elif path.endswith(".gz") and len(lines.inputFiles()) < spark.sparkContext.defaultParallelism:
         lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = lines.select("_ord", F.col("value").alias("_raw"), F.try_parse_json("value").alias("row"))
     if not strict:
