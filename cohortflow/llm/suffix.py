@@ -6,8 +6,9 @@ to shards by hash. A shard builds one suffix array over its texts by Larsson-Sad
 Kasai's common prefixes of neighbours, and groups window starts whose common prefix reaches the window.
 If the texts of one hash fill several shards, a shard's first windows are merged with the sorted
 windows of the shards before by binary search. Crowded hashes (spans.py) are dealt by window instead: each
-window is a row of its own (at >= CROWDED), dealt by its own hash; of equal windows in a task only the first is sent,
-and where those of one hash meet, their bytes are compared as they are.
+window is a row of its own (at >= CROWDED), dealt by its own hash; of equal windows in a task (their bytes are compared) only
+the first is sent, and where those of one hash meet, digests of 128 bits tell them apart: their bytes would be most
+of what the operator sends.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import keyed
 
 WINDOW, INNER = 100, 24
 SHARD_BYTES = 2 << 20
+#: Bytes of the digest that stands for a window of a crowded hash.
+DIGEST = 16
 #: Windows of crowded hashes that a task compares before it sends them.
 TOGETHER = 1 << 18
 
@@ -231,8 +234,8 @@ SNIPPET = ["fp", "key", "at", "cut"]
 
 
 def first_windows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """found: hash, key, first, bytes of windows. One row with text for each distinct window, its first;
-    rows without text for all others, which stand earlier too."""
+    """found: hash, key, first, bytes of windows. One row with a digest for each distinct window, its first;
+    rows without one for all others, which stand earlier too."""
     fp, key, first, cut = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((first, key, fp))
     fp, key, first, cut = fp[order], key[order], first[order], cut[order]
@@ -240,9 +243,7 @@ def first_windows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
     gone[1:] = (fp[1:] == fp[:-1]) & (cut[1:] == cut[:-1]).all(1)
     k, at = spans.runs(key[gone], first[gone])
     yield pa.RecordBatch.from_arrays([pa.array(spans.spread(k, at)), pa.array(k), pa.array(at), pa.nulls(len(k), pa.binary())], SNIPPET)
-    head = cut[~gone]
-    off = np.arange(len(head) + 1, dtype=np.int32) * head.shape[1]
-    texts = pa.BinaryArray.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(head))])
+    texts = pa.array([hashlib.blake2b(window, digest_size=DIGEST).digest() for window in np.ascontiguousarray(cut[~gone])], pa.binary())
     yield pa.RecordBatch.from_arrays([pa.array(fp[~gone]), pa.array(key[~gone]), pa.array(first[~gone] << 8 | 1 | spans.CROWDED), texts], SNIPPET)
 
 

@@ -384,3 +384,12 @@ def test_span_keys_tell_spans():
     assert flat.same_bytes(data, start, end, other)
     other[spans.index(b"abcdefgh\x00")] = spans.index(b"abcdefgh")
     assert not flat.same_bytes(data, start, end, other)
+
+
+def test_crowded_windows_are_sent_as_digests():
+    """Their bytes were sent: more than the input, in tables of crowded passages."""
+    cut = np.frombuffer(b"a" * 100 + b"b" * 100 + b"a" * 100, np.uint8).reshape(3, 100)
+    found = [(np.array([5, 6, 5]), np.array([1, 1, 2]), np.array([0, 7, 0]), cut)]
+    gone, sent = suffix.first_windows(found)
+    assert gone.column("key").to_pylist() == [2] and gone.column("cut").null_count == 1
+    assert sent.column("key").to_pylist() == [1, 1] and len(set(sent.column("cut").to_pylist())) == 2 and {len(x) for x in sent.column("cut").to_pylist()} == {16}
