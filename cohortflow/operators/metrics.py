@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import payload as P
 from ..functions import stats as S
 from ..plans.storage import stored
+from . import pairs as K
 from .features import leaves
 
 
@@ -121,8 +124,8 @@ def mean_within(events: DataFrame, value: Column, outer: str, inner: str) -> Dat
 
 #: Entities of an item that meet in one key, so that a key makes BLOCK * BLOCK pairs at most.
 BLOCK = 1024
-#: Pair rows that a task adds up by pairs (some 300 bytes of memory each).
-PAIR_ROWS = 2_000_000
+#: Pairs that a task adds up (some 100 bytes of memory each), and the most tasks: of more pairs, a task adds up some at a time.
+PAIR_ROWS, PAIR_TASKS = 2_000_000, 10_000
 
 
 def pairwise_work(events: DataFrame, value: Column, entity: str, item: str) -> DataFrame:
@@ -134,26 +137,41 @@ def pairwise_work(events: DataFrame, value: Column, entity: str, item: str) -> D
     return per_item.agg(F.count("*").alias("n_items"), F.coalesce(F.max("n"), F.lit(0)).alias("most_entities"), F.coalesce(F.sum(F.floor(n * (n - 1) / 2)), F.lit(0)).alias("n_pair_rows"))
 
 
+def numbered_cells(events: DataFrame, value: Column, entity: str, item: str) -> DataFrame:
+    """e, i, x: the mean value of each entity and item, with the entities numbered from 0. One shuffle, by parts of the entities."""
+    rows = events.select(F.col(entity).alias("name"), F.col(item).alias("i"), value.cast("double").alias("x")).where("name IS NOT NULL AND i IS NOT NULL AND x IS NOT NULL")
+    spread = 8 * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = rows.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(spread)).cast("int")).repartition("part").groupBy("part", "name", "i").agg(F.avg("x").alias("x"))
+    placed = stored(cells.select("part", F.dense_rank().over(W.partitionBy("part").orderBy("name")).alias("place"), "i", "x"))
+    counts = placed.groupBy("part").agg(F.max("place").cast("bigint").alias("n"))
+    # `spread` rows
+    before = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    e = F.col("before") + F.col("place") - 1
+    few = F.when(e < 1 << 31, e).otherwise(F.raise_error(F.lit("pairs of more than 2^31 entities")).cast("bigint"))
+    return placed.join(F.broadcast(before), "part").select(few.cast("int").alias("e"), "i", "x")
+
+
 def mean_pairwise_distance(events: DataFrame, value: Column, entity: str, item: str, block: int = BLOCK) -> DataFrame:
     """One row: the mean, over pairs of entities with shared items, of the mean absolute difference of
     their values; and the number of such pairs.
 
     Pairs meet on shared items only (pairwise_work() tells how many there are). The entities of an item that very many
-    share are dealt to blocks, and blocks meet two by two, each pair of blocks in a key of its own.
+    share are dealt to blocks, and blocks meet two by two, each pair of blocks in a list of its own. Pairs are made within
+    tasks from the lists, and sent once, packed, to tasks in number with the pairs.
     """
-    cells = stored(by_group(events.where(F.col(entity).isNotNull() & F.col(item).isNotNull()), value, entity, item).select(F.col(entity).alias("e"), F.col(item).alias("i"), F.col("mean").alias("x")))
-    sizes = cells.groupBy("i").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1")
-    dealt = cells.join(sizes, "i", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("e"), "blocks").cast("int"))
-    left = dealt.select("e", "i", "x", F.col("b").alias("low"), F.explode(F.sequence("b", F.col("blocks") - 1)).alias("high"))
-    right = dealt.select(F.col("e").alias("f"), "i", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), "b")).alias("low"), F.col("b").alias("high"))
-    met = left.join(right, ["i", "low", "high"]).where("low < high OR e < f")
-    # pairs hardly ever meet twice in a task: they are dealt before they are added up, to tasks in number with the pairs
-    n = F.col("n")
-    n_rows = cells.groupBy("i").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.floor(n * (n - 1) / 2)), F.lit(0))).first()[0]
-    parts = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // PAIR_ROWS))
-    met = met.select(F.least("e", "f").alias("e"), F.greatest("e", "f").alias("f"), "x", "y").repartition(parts, "e", "f")
-    pairs = met.groupBy("e", "f").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("d"))
-    return pairs.agg(F.avg("d").alias("mean_distance"), F.count("*").alias("n_pairs"))
+    cells = numbered_cells(events, value, entity, item)
+    sizes, n = stored(cells.groupBy("i").agg(F.count("*").alias("n"))), F.col("n")
+    n_rows = sizes.agg(F.coalesce(F.sum(F.floor(n * (n - 1) / 2)), F.lit(0))).first()[0]
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, min(-(-n_rows // PAIR_ROWS), PAIR_TASKS))
+    shared = sizes.where(n > block).select("i", F.ceil(n / F.lit(block)).cast("int").alias("blocks"))  # a row per `block` cells at most
+    blocked = cells.join(F.broadcast(shared), "i", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("e"), "blocks").cast("int"))
+    each = blocked.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("e", "i", "x", "b", F.least("b", "c").alias("low"), F.greatest("b", "c").alias("high"))
+    side = lambda mine: F.collect_list(F.when(mine, F.struct("e", "x")))
+    lists = each.repartition(max(tasks, -(-parts // 16)), "i", "low", "high").groupBy("i", "low", "high").agg(side(F.col("b") == F.col("low")).alias("near"), side(F.col("b") != F.col("low")).alias("far"))
+    met = lists.select((F.col("low") == F.col("high")).alias("own"), "near", "far").mapInArrow(partial(K.meet, parts=parts), "part int, n long, one binary, two binary, d binary")
+    sums = met.repartitionById(parts, F.col("part")).drop("part").mapInArrow(partial(K.mean_distances, rows=2 * PAIR_ROWS), "s double, n long")
+    return sums.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean_distance"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
 
 
 def persona_metrics(events: DataFrame, value: Column) -> DataFrame:
