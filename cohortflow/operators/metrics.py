@@ -174,15 +174,26 @@ def mean_pairwise_distance(events: DataFrame, value: Column, entity: str, item:
     return sums.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean_distance"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
 
 
-def persona_metrics(events: DataFrame, value: Column) -> DataFrame:
-    """One row of dispersion metrics of a numeric outcome."""
-    of_panelists = by_group(events, value, "panelist_id").agg(S.variance(F.col("mean")).alias("variance_of_panelist_means"))
-    of_products = by_group(events, value, "product_id").agg(S.variance(F.col("mean")).alias("variance_of_product_means"))
-    out = of_panelists.join(of_products)  # single rows, as below
-    for name, outer, inner in (("within_product", "product_id", "panelist_id"), ("within_panelist", "panelist_id", "product_id")):
-        out = out.join(mean_within(events, value, outer, inner).select(F.col("mean_variance").alias(f"{name}_variance")))
-    for name, entity, item in (("panelist_distance", "panelist_id", "product_id"), ("product_distance", "product_id", "panelist_id")):
-        out = out.join(mean_pairwise_distance(events, value, entity, item).select(F.col("mean_distance").alias(name)))
+#: What persona_metrics() gives, and by which entity (and items).
+PERSONA = {
+    "variance_of_panelist_means": ("panelist_id",), "variance_of_product_means": ("product_id",), "within_product_variance": ("product_id", "panelist_id"),
+    "within_panelist_variance": ("panelist_id", "product_id"), "panelist_distance": ("panelist_id", "product_id"), "product_distance": ("product_id", "panelist_id"),
+}
+
+
+def persona_metrics(events: DataFrame, value: Column, *names: str) -> DataFrame:
+    """One row of dispersion metrics of a numeric outcome: those named, or all. Only these are computed: the distances of pairs cost far
+    more than the others, and a column that is dropped later would be computed still."""
+
+    def metric(name: str) -> DataFrame:
+        if name.endswith("_means"):
+            return by_group(events, value, *PERSONA[name]).agg(S.variance(F.col("mean")).alias(name))
+        made = (mean_within if name.endswith("_variance") else mean_pairwise_distance)(events, value, *PERSONA[name])
+        return made.select(F.col(made.columns[0]).alias(name))
+
+    out, *others = [metric(name) for name in names or PERSONA]
+    for one in others:
+        out = out.join(one)  # single rows
     return out
 
 
