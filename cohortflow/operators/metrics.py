@@ -140,8 +140,9 @@ def pairwise_work(events: DataFrame, value: Column, entity: str, item: str) -> D
 def numbered_cells(events: DataFrame, value: Column, entity: str, item: str) -> DataFrame:
     """e, i, x: the mean value of each entity and item, with the entities numbered from 0. One shuffle, by parts of the entities."""
     rows = events.select(F.col(entity).alias("name"), F.col(item).alias("i"), value.cast("double").alias("x")).where("name IS NOT NULL AND i IS NOT NULL AND x IS NOT NULL")
-    spread = 8 * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = rows.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(spread)).cast("int")).repartition("part").groupBy("part", "name", "i").agg(F.avg("x").alias("x"))
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = 8 * tasks
+    cells = rows.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(spread)).cast("int")).repartition(tasks, "part").groupBy("part", "name", "i").agg(F.avg("x").alias("x"))
     placed = stored(cells.select("part", F.dense_rank().over(W.partitionBy("part").orderBy("name")).alias("place"), "i", "x"))
     counts = placed.groupBy("part").agg(F.max("place").cast("bigint").alias("n"))
     # `spread` rows
@@ -163,14 +164,15 @@ def mean_pairwise_distance(events: DataFrame, value: Column, entity: str, item:
     sizes, n = stored(cells.groupBy("i").agg(F.count("*").alias("n"))), F.col("n")
     n_rows = sizes.agg(F.coalesce(F.sum(F.floor(n * (n - 1) / 2)), F.lit(0))).first()[0]
     tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(tasks, min(-(-n_rows // PAIR_ROWS), PAIR_TASKS))
+    parts = max(min(-(-n_rows // PAIR_ROWS), PAIR_TASKS), min(tasks, 1 + 8 * n_rows // PAIR_ROWS))
+    many = [-(-n_rows // (8 * PAIR_ROWS))] if n_rows > 8 * PAIR_ROWS * tasks else []  # else as few tasks as the lists need: each sends to all parts
     shared = sizes.where(n > block).select("i", F.ceil(n / F.lit(block)).cast("int").alias("blocks"))  # a row per `block` cells at most
     blocked = cells.join(F.broadcast(shared), "i", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("e"), "blocks").cast("int"))
     each = blocked.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("e", "i", "x", "b", F.least("b", "c").alias("low"), F.greatest("b", "c").alias("high"))
     side = lambda mine: F.collect_list(F.when(mine, F.struct("e", "x")))
-    lists = each.repartition(max(tasks, -(-parts // 16)), "i", "low", "high").groupBy("i", "low", "high").agg(side(F.col("b") == F.col("low")).alias("near"), side(F.col("b") != F.col("low")).alias("far"))
-    met = lists.select((F.col("low") == F.col("high")).alias("own"), "near", "far").mapInArrow(partial(K.meet, parts=parts), "part int, n long, one binary, two binary, d binary")
-    sums = met.repartitionById(parts, F.col("part")).drop("part").mapInArrow(partial(K.mean_distances, rows=2 * PAIR_ROWS), "s double, n long")
+    lists = each.repartition(*many, "i", "low", "high").groupBy("i", "low", "high").agg(side(F.col("b") == F.col("low")).alias("near"), side(F.col("b") != F.col("low")).alias("far"))
+    sent = lists.select((F.col("low") == F.col("high")).alias("own"), "near", "far").mapInArrow(partial(K.meet, parts=parts), "part int, n long, one binary, two binary, d binary")
+    sums = sent.repartitionById(parts, F.col("part")).drop("part").mapInArrow(partial(K.mean_distances, rows=2 * PAIR_ROWS), "s double, n long")
     return sums.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean_distance"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
 
 
